@@ -51,6 +51,10 @@ def runs(valid: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     return numbered.groupBy("block", "lo", "hi", "gap").agg(F.min("key").alias("run_start"), F.max("key").alias("run_end")).drop("gap")
 
 
+def span(rows: DataFrame, at: str) -> tuple[int | None, int | None]:
+    return tuple(rows.agg(F.unix_micros(F.min(at)), F.unix_micros(F.max(at))).first())
+
+
 def orphan_references(
     references: DataFrame,
     parents: DataFrame,
@@ -60,6 +64,7 @@ def orphan_references(
     parent_key: str,
     since: str,
     until: str,
+    period: tuple[int | None, int | None] | None = None,
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """The rows of ``references`` whose ``key`` holds in no parent row at time ``at``.
@@ -68,10 +73,12 @@ def orphan_references(
     at which nothing is known to hold: its references are orphans. An empty
     parent table makes every reference an orphan. Repeated parent rows count
     once. Repeated references are kept; other columns pass through unchanged.
+    ``period``: least and greatest ``at`` in microseconds where the caller knows
+    them (a wider period is allowed); else they are aggregated here.
     """
     spark = references.sparkSession
     references = references.where(F.col(key).isNotNull())
-    first, last = references.agg(F.unix_micros(F.min(at)), F.unix_micros(F.max(at))).first()
+    first, last = period or span(references, at)
     scratch = Scratch(spark, "runs")
     table = scratch.cut(runs(validity(parents, parent_key, since, until, first if first is not None else 0, last if last is not None else 0), bits), "runs")
     table = table.select(*[F.col(c).alias(f"__{c}") for c in table.columns])
@@ -97,7 +104,7 @@ def question_references(benchmark: DataFrame) -> DataFrame:
 def orphans_found(benchmark: DataFrame, df_osm: DataFrame) -> DataFrame:
     """p7_found: distinct (question_id, field, poi_id, created_at) of references that don't hold."""
     refs = question_references(benchmark)
-    return orphan_references(refs, df_osm, key="poi_id", at="created_at", parent_key="poi_id", since="loaded_at", until="deleted_at").distinct()
+    return orphan_references(refs, df_osm, key="poi_id", at="created_at", parent_key="poi_id", since="loaded_at", until="deleted_at", period=span(benchmark, "created_at")).distinct()
 
 
 def orphans_report(found: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,23 @@ class Scratch:
         delete_path(self.spark, self.path(name))
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_terramill_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="terramill-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "terramill.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, Path("terramill", source.relative_to(package)))
+    context.addPyFile(str(archive))
+    context._terramill_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
