@@ -1 +1,5 @@
 """Registered queries over the tables and their SQL."""
+
+from terramill.plans import core, spatial
+
+REGISTERED = (core, spatial)
