@@ -73,10 +73,14 @@ def group_by_facet(tokens: Column) -> Column:
     return F.map_from_entries(F.transform(facets, lambda f: F.struct(f, F.filter(tokens, lambda t: facet_of(t) == f))))
 
 
+def first_of(tokens: Column, facet: str) -> Column:
+    return F.get(F.filter(tokens, lambda t: facet_of(t) == facet), F.lit(0))
+
+
 def pick_cuisine(tokens: Column, keep_venue: bool = False, prefer: str = "regional") -> Column:
     """First token of the first facet in order of priority; null if none has one."""
     order = (["dish", "regional"] if prefer == "dish" else ["regional", "dish"]) + (["venue"] if keep_venue else [])
-    return F.coalesce(*[F.get(F.filter(tokens, lambda t, f=f: facet_of(t) == f), F.lit(0)) for f in order])
+    return F.coalesce(*[first_of(tokens, facet) for facet in order])
 
 
 def classify_cuisine(df: DataFrame, column: str = "cuisine", keep_venue: bool = False, prefer: str = "regional", synonyms: dict[str, str] | None = None) -> DataFrame:

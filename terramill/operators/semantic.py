@@ -14,9 +14,9 @@ from terramill.operators.sampling import draw_order, exact_split, per_group
 
 def subsets(items: Column, most: int) -> Column:
     """All non-empty subsets of an array of at most ``most`` items, in its order."""
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size(items)) - 1)
-    chosen = F.transform(masks, lambda m: F.filter(items, lambda _, i: F.shiftright(m, i).bitwiseAND(1) == 1))
-    return F.when(F.size(items).between(1, most), chosen).otherwise(F.array().cast(f"array<{'array<struct<text:string,name:string,value:string>>'}>"))
+    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size(items)) - 1).cast("int"))
+    chosen = F.transform(masks, lambda m: F.filter(items, lambda _, i: F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1))
+    return F.when(F.size(items).between(1, most), chosen)
 
 
 def questions(places: DataFrame, features: list[Feature] | None = None) -> DataFrame:

@@ -1,5 +1,5 @@
 """Registered queries over the tables and their SQL."""
 
-from terramill.plans import core, spatial
+from terramill.plans import attributes, core, spatial
 
-REGISTERED = (core, spatial)
+REGISTERED = (core, spatial, attributes)
