@@ -126,6 +126,6 @@ def test_truncated_documents(tables):
 
 def test_lists_of_keywords(tables):
     pairs = ["wifi free", "wifi paid", "music jazz", "music live piano", "price low", "price high", "view river", "view garden"]
-    rows = [{"doc_id": i * 8 + j, "text": " ".join(pairs[(i + k) % 8] for k in range(5 + j % 3)) + ("" if j % 2 else f" rue des mots {10000 + i * 31 + j}")} for i in range(40) for j in range(8)]
+    rows = [{"doc_id": i * 8 + j, "text": f"kind {i} {j} " + " ".join(pairs[(i + k) % 8] for k in range(5 + j % 3)) + ("" if j % 2 else f" rue des mots {10000 + i * 31 + j}")} for i in range(40) for j in range(8)]
     cut = [{"doc_id": 9000, "text": "cafe wifi free music live"}, {"doc_id": 9001, "text": "bar price low view gar"}, {"doc_id": 9002, "text": "bar price low rue des mots 123"}]
     assert [r[0] for r in rows_of(truncation.truncated_found(tables.make(DOCUMENTS, rows + cut)))] == [9000, 9001, 9002]
