@@ -107,7 +107,7 @@ def inside(asked: DataFrame, areas: DataFrame, places: DataFrame) -> DataFrame:
 def outside(asked: DataFrame, areas: DataFrame, places: DataFrame, k: int = K) -> DataFrame:
     """The k nearest places that are not within; those on the border are outside with distance 0."""
     gap = G.distance_to(F.col("segments"), F.col("px"), F.col("py"))
-    return ranked_search(_framed(asked, areas, "area_id"), places, AREA_KEYS, k, score=gap, match=~G.within(F.col("segments"), F.col("px"), F.col("py")), base=F.col("half"))
+    return ranked_search(_framed(asked, areas, "area_id"), places, AREA_KEYS, k, score=gap, match=~(G.crosses_odd(F.col("segments"), F.col("px"), F.col("py")) & (F.col("dist") > 0)), base=F.col("half"))
 
 
 def border(asked: DataFrame, areas: DataFrame, places: DataFrame, k: int = K, solid: bool = False) -> DataFrame:

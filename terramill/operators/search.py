@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terramill.session import Scratch
+from terramill.session import Scratch, parallelism
 
 GROWTH = 3.0
 
@@ -65,14 +65,17 @@ def ranked_search(
 
     ``score`` (default: the distance ``gap`` of position and place) must be at
     least ``gap`` - ``base``; ``match`` filters pairs. Both may use the asked
-    columns, ``px``, ``py`` and ``gap``. Ties go to the smaller poi_id. With
+    columns, ``px``, ``py`` and ``gap``, ``match`` also ``dist``. Ties go to the smaller poi_id. With
     ``widest`` only scores below it count.
     """
     spark = asked.sparkSession
     scratch = Scratch(spark, "search")
     score = F.col("gap") if score is None else score
     base = F.lit(0.0) if base is None else base
-    places = scratch.cut(places.select("poi_id", "category", "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND category IS NOT NULL"), "places")
+    # few rows make much work on either side: both are written in as many parts as there are tasks
+    spread = parallelism(spark)
+    places = places.select("poi_id", "category", "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND category IS NOT NULL")
+    places = scratch.cut(places.repartition(spread), "places")
     asked = asked.where("category IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("base", base)
     box = [f(c) for c in ("x", "y") for f in (F.min, F.max)]
     x0, x1, y0, y1 = places.agg(*box).first()
@@ -84,21 +87,23 @@ def ranked_search(
     dy = F.greatest(F.abs(F.col("y") - y0), F.abs(F.col("y") - y1))
     most = F.sqrt(dx * dx + dy * dy) + 1.0 if widest is None else F.lit(float(widest))
     pending = asked.join(density, "category").withColumn("most", most)
-    pending = scratch.cut(pending.withColumn("radius", F.least(F.col("most"), F.sqrt(F.lit(2.0 * k / math.pi) / F.col("density")))).drop("density"), "pending0")
+    pending = pending.withColumn("radius", F.least(F.col("most"), F.sqrt(F.lit(2.0 * k / math.pi) / F.col("density")))).drop("density")
+    pending = scratch.cut(pending.repartition(spread), "pending0")
     results: list[DataFrame] = []
     turn = 0
     while not pending.isEmpty():
         met = radius_join(pending, places, F.col("radius") + F.col("base"))
+        # generated, so that the score is computed once, before any filter on it
+        met = met.select("*", F.explode(F.array(score)).alias("dist")).where("dist < radius")
         if match is not None:
             met = met.where(match)
-        met = met.withColumn("dist", score).where("dist < radius")
         found = scratch.cut(top(met, keys, ["dist", "poi_id"], k).select(*keys, "radius", "most", "poi_id", "dist", "rank"), f"found{turn}")
         full = found.where(F.col("rank") == k).select(*keys)
         last = F.col("radius") >= F.col("most")
         results.append(found.where(last).unionByName(found.where(~last).join(full, keys, "left_semi")).select(*keys, "poi_id", "dist", "rank"))
         turn += 1
         rest = pending.where(~last).join(full, keys, "left_anti").withColumn("radius", F.least(F.col("most"), F.col("radius") * GROWTH))
-        pending = scratch.cut(rest, f"pending{turn}")
+        pending = scratch.cut(rest.repartition(spread), f"pending{turn}")
     if not results:
         return asked.select(*keys, F.lit(0).cast("long").alias("poi_id"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).limit(0)
     out = results[0]
