@@ -55,6 +55,15 @@ c AS (
 SELECT least(e, t) AS batch_id_a, greatest(e, t) AS batch_id_b FROM c
 WHERE common >= 0.7 * (en + tn - common) - 1e-9
   AND len(list_intersect(ew, tw)) >= 0.7 * (len(ew) + len(tw) - len(list_intersect(ew, tw))) - 1e-9""",
+    "p2_found": """
+WITH RECURSIVE k AS (
+  SELECT DISTINCT batch_id, 'p' || p AS key FROM (SELECT batch_id, unnest(poi_ids) AS p FROM batches) WHERE p IS NOT NULL
+  UNION SELECT batch_id, 'a' || lower(trim(author)) FROM batches WHERE trim(author) <> ''
+), h AS (SELECT key, min(batch_id) AS hub FROM k GROUP BY key),
+e AS (SELECT DISTINCT hub AS u, batch_id AS v FROM k JOIN h USING (key) WHERE hub <> batch_id),
+both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT u AS batch_id, u AS other FROM both_ways UNION SELECT r.batch_id, b.v FROM reach r JOIN both_ways b ON r.other = b.u)
+SELECT batch_id, min(other) AS group_id FROM reach GROUP BY batch_id""",
     "p3_found": f"""
 WITH s AS (
   SELECT config_id, population, sample_size, min_per_category, unnest(map_entries(ratio_category)) AS e FROM benchmark_config
