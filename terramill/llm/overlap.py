@@ -31,7 +31,7 @@ from terramill.session import Scratch, parallelism
 
 THRESHOLD = 0.7
 #: Evaluation classes of a shard, training classes of a block, on average.
-SHARD, BLOCK = 20_000, 20_000
+SHARD, BLOCK = 40_000, 50_000
 #: Records of a passage from which it is looked up together with a word.
 CROWD = 64
 EVAL_SPLITS = ("validation", "test")
