@@ -17,8 +17,9 @@ All counts are over all different texts; equal texts count once, so that copies
 of a cut text don't vouch for each other.
 
 Scale: texts are shuffled once, to find equal ones. Counts are pre-aggregated in
-the map tasks. Buckets of a band become stars, not pairs: each text meets the
-bucket's longest text and the next longer one of its salted part.
+the map tasks. Within a bucket of a band an open text meets every text in which
+its last words stand and go on (an equi-join on their hash, salted), so that no
+member that could show the cut is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,10 @@ from terramill.session import Scratch
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Texts of a bucket from which its next-longer links are salted.
+#: Texts of a bucket with the same four words beyond which they are salted.
 CROWD = 1000
+#: Candidates of a text, those of the most similar size first, that are verified before the others.
+FIRST = 4
 #: Longest closing fragment that can be a remark or sign-off.
 REMARK = 48
 #: Lengths of the beginnings by which fragments are counted.
@@ -178,7 +182,52 @@ def ends_early(short: str, long: str) -> bool:
     return False
 
 
-ENDINGS = "key string, state string, fragment string, word string, before string, prose boolean, marked boolean, n_chars int, bands array<bigint>"
+def _gram(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\n".join(words)) - (1 << 63)
+
+
+def last_words(text: str) -> list[tuple[int, str | None]]:
+    """(gram, word) that a longer copy must have for ``ends_early``: the four words before the last, and that one; the last four, without a word."""
+    a = html.unescape(text).split()
+    before = [(_gram(a[-5:-1]), a[-1])] if len(a) > 4 else []
+    return before + ([(_gram(a[-4:]), None)] if len(a) > 3 and not FINISHED.search(a[-1]) else [])
+
+
+def goes_on(text: str) -> dict[int, tuple[str, bool]]:
+    """Of every four words in a row, where they stand last: the word after them, and whether it is in the same line."""
+    text = html.unescape(text)
+    at = [m.span() for m in re.finditer(r"\S+", text)]
+    words = [text[i:j] for i, j in at]
+    found = {}
+    for i in range(len(words) - 3):
+        gram = _gram(words[i : i + 4])
+        if i + 4 < len(words):
+            found[gram] = words[i + 4], "\n" not in text[at[i + 3][1] : at[i + 4][0]]
+        else:
+            found.pop(gram, None)
+    return found
+
+
+ASKED = "key string, gram bigint, word string"
+GOES = "key string, gram bigint, next string, inline boolean"
+
+
+def _last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(key, *x) for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()) for x in last_words(text)]
+        keys, grams, words = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(grams, pa.int64()), pa.array(words, pa.string())], ["key", "gram", "word"])
+
+
+def _goes_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
+            if found := goes_on(text):
+                words, inline = zip(*found.values())
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(words, pa.string()), pa.array(inline, pa.bool_())], ["key", "gram", "next", "inline"])
+
+
+ENDINGS = "key string, state string, fragment string, word string, before string, prose boolean, marked boolean, n_chars int, n_shingles int, bands array<bigint>"
 COUNTS = "name string, n long, n_end long"
 
 
@@ -188,10 +237,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
             e, hashes = Ending(text), word_hashes(text)
             word = shape(e.word) if token_class(e.word) == "number" else e.word
-            for name, value in (("key", key), ("state", e.state), ("fragment", e.fragment), ("word", word), ("before", e.before), ("prose", e.prose), ("marked", e.marked), ("n_chars", len(text)), ("bands", bands(hashes) if hashes else [])):
+            for name, value in (("key", key), ("state", e.state), ("fragment", e.fragment), ("word", word), ("before", e.before), ("prose", e.prose), ("marked", e.marked), ("n_chars", len(text)), ("n_shingles", len(hashes)), ("bands", bands(hashes) if hashes else [])):
                 rows[name].append(value)
         if rows:
-            types = [pa.string()] * 5 + [pa.bool_()] * 2 + [pa.int32(), pa.list_(pa.int64())]
+            types = [pa.string()] * 5 + [pa.bool_()] * 2 + [pa.int32(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], list(rows))
 
 
@@ -256,27 +305,40 @@ def distinct_texts(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
 
 def near_copies(endings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(key) of the texts that end early beside a verified near-copy."""
-    rows = endings.select("key", "state", "n_chars", F.posexplode("bands").alias("band", "bucket"))
-    size = F.struct("n_chars", "key")
-    buckets = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.max(size)["key"].alias("longest")).where("n > 1")
+    rows = endings.select("key", "state", "n_chars", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    # a finished ending can't be cut, whatever a copy goes on with, and a cut one needs no copy
+    is_open = F.col("state") == "open"
+    buckets = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.max(is_open).alias("asks")).where("n > 1 AND asks").select("band", "bucket")
     rows = scratch.cut(rows.join(buckets, ["band", "bucket"]), "banded")
-    star = rows.where("key <> longest").select("key", F.col("longest").alias("other"), "state")
-    salt = F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CROWD))).otherwise(0)
-    order = Window.partitionBy("band", "bucket", "salt").orderBy("n_chars", "key")
-    chain = rows.withColumn("salt", salt).withColumn("other", F.lead("key").over(order)).where("other IS NOT NULL").select("key", "other", "state")
-    # a finished ending can't be cut, whatever a copy goes on with
-    pairs = star.unionByName(chain).where("state <> 'finished'").select("key", "other").distinct()
-    pairs = pairs.join(texts.select("key", F.col("text").alias("short")), "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("long")), "other")
+    asked = scratch.cut(texts.join(rows.where(is_open).select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_last_words, ASKED), "asked")
+    goes = texts.join(rows.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_goes_on, GOES)
+    goes = goes.join(asked.select("gram").distinct(), "gram", "left_semi")
+    place = ["band", "bucket", "gram"]
+    goes = scratch.cut(goes.join(rows.select("key", "band", "bucket", "n_chars", "n_shingles"), "key"), "goes")
+    crowds = scratch.cut(goes.groupBy(*place).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")), "crowds")
+    goes = goes.join(crowds, place).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    goes = goes.select(*place, "salt", F.col("key").alias("other"), "next", "inline", F.col("n_chars").alias("chars"), F.col("n_shingles").alias("shingles"))
+    asked = asked.join(rows.where(is_open).select("key", "band", "bucket", "n_chars", "n_shingles"), "key").join(crowds, place)
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    follows = F.when(F.col("word").isNull(), F.col("inline")).otherwise(F.col("next").startswith(F.col("word")) & (F.col("next") != F.col("word")))
+    less, more = F.least("n_shingles", "shingles"), F.greatest("n_shingles", "shingles")
+    met = asked.join(goes, [*place, "salt"]).where("key <> other AND n_chars <= chars").where(follows & (less / more >= SIMILAR))
+    pairs = met.groupBy("key", "other").agg(F.min(more - less).alias("apart"))
+    pairs = scratch.cut(pairs.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("apart", "other"))), "pairs")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = lru_cache(64)(word_hashes)
         for frame in frames:
-            keep = [
-                len(a) <= len(b) and jaccard(word_hashes(a), word_hashes(b)) >= SIMILAR and ends_early(html.unescape(a), html.unescape(b))
-                for a, b in zip(frame["short"], frame["long"])
-            ]
+            keep = [ends_early(html.unescape(a), html.unescape(b)) and jaccard(hashes(a), hashes(b)) >= SIMILAR for a, b in zip(frame["short"], frame["long"])]
             yield frame.loc[keep, ["key"]]
 
-    return pairs.select("key", "short", "long").mapInPandas(verify, "key string").distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("key", "other").join(texts.select("key", F.col("text").alias("short")), "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("long")), "other")
+        return pairs.select("key", "short", "long").mapInPandas(verify, "key string").distinct()
+
+    # one continuing copy is enough: the other candidates are verified only where the first ones fail
+    found = scratch.cut(verified(pairs.where(F.col("turn") <= FIRST)), "found")
+    return found.unionByName(verified(pairs.where(F.col("turn") > FIRST).join(found, "key", "left_anti")))
 
 
 def judge(state: str, prose: bool, marked: bool, fragment: str, word: str, before: str, known: dict) -> bool:

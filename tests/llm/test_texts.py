@@ -129,3 +129,40 @@ def test_lists_of_keywords(tables):
     rows = [{"doc_id": i * 8 + j, "text": f"kind {i} {j} " + " ".join(pairs[(i + k) % 8] for k in range(5 + j % 3)) + ("" if j % 2 else f" rue des mots {10000 + i * 31 + j}")} for i in range(40) for j in range(8)]
     cut = [{"doc_id": 9000, "text": "cafe wifi free music live"}, {"doc_id": 9001, "text": "bar price low view gar"}, {"doc_id": 9002, "text": "bar price low rue des mots 123"}]
     assert [r[0] for r in rows_of(truncation.truncated_found(tables.make(DOCUMENTS, rows + cut)))] == [9000, 9001, 9002]
+
+
+def near_copies(spark, texts):
+    """Numbers of the texts that near_copies shows to be cut."""
+    scratch = truncation.Scratch(spark, "test")
+    table = spark.createDataFrame([(f"{i:03}", t, 1) for i, t in enumerate(texts)], "key string, text string, copies long")
+    endings = scratch.cut(table.mapInArrow(truncation._describe, truncation.ENDINGS), "endings")
+    return [int(r[0]) for r in rows_of(truncation.near_copies(endings, table, scratch))]
+
+
+def test_every_copy_of_a_bucket_is_met(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    # four cut at the same place; the longest text has the shingles of the whole one, and so its buckets, but its last words don't go on
+    cut = [f"{zero} {body} and the corner of the squ" for zero in ("ZERO", "Zero", "zero")]
+    whole = f"zero {body} and the corner of the square in the old town"
+    assert near_copies(spark, [*cut, ";; " + cut[0], whole, whole.replace("corner of", "corner - of -")]) == [0, 1, 2, 3]
+
+
+def test_continuing_copies_equal_all_pairs(spark):
+    import random
+
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(70)]
+    texts = set()
+    for _ in range(150):
+        words = list(base)
+        words[draw.randrange(70)] = f"x{draw.randrange(9)}"
+        text = " ".join(words[:60]) + draw.choice([" ", "\n"]) + " ".join(words[60:])
+        texts.add(text[: draw.choice([len(text), 200, 205, 210, 215])] + draw.choice(["", "", "."]))
+    texts = sorted(texts)
+    hashes = [truncation.word_hashes(t) for t in texts]
+    keys = [set(truncation.bands(h)) for h in hashes]
+    expected = [
+        i for i, a in enumerate(texts) if truncation.Ending(a).state == "open"
+        and any(i != j and keys[i] & keys[j] and len(a) <= len(b) and truncation.jaccard(hashes[i], hashes[j]) >= truncation.SIMILAR and truncation.ends_early(a, b) for j, b in enumerate(texts))
+    ]
+    assert expected and near_copies(spark, texts) == expected
