@@ -30,6 +30,12 @@ def pois(df_osm: DataFrame) -> DataFrame:
     return rows.groupBy("poi_id").agg(*[F.max(c).alias(c) for c in names], F.min("at").alias("at")).select("poi_id", *names, "at.x", "at.y")
 
 
+def categories(places: DataFrame) -> list[str]:
+    """The different categories of ``pois``, each where its smallest poi_id puts it."""
+    rows = places.where("category IS NOT NULL").groupBy("category").agg(F.min("poi_id").alias("first")).orderBy("first", "category")
+    return [r["category"] for r in rows.collect()]
+
+
 def areas(df_area: DataFrame) -> DataFrame:
     """One row per area_id with rings: segments, bounds, area in square metres."""
     rows = df_area.where("area_id IS NOT NULL AND rings IS NOT NULL").groupBy(F.col("area_id").cast("long").alias("area_id"))

@@ -10,14 +10,14 @@ four parallel answer lists, ranked from 1.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terramill import settings
 from terramill.functions import geometry as G
+from terramill.operators import corpus
 from terramill.operators import relations as R
 from terramill.operators.sampling import allocate, draw_order, per_group
 from terramill.operators.search import radius_join
@@ -28,14 +28,18 @@ DIRECTIONS = list(G.CARDINAL)
 
 @dataclass(frozen=True)
 class World:
-    """What questions are made about: places (``corpus.pois``), areas and streets, the asked categories and the seed."""
+    """What questions are made about: places (``corpus.pois``), areas and streets, the asked categories (all of the places' if none are given) and the seed."""
 
     places: DataFrame
     areas: DataFrame | None = None
     streets: DataFrame | None = None
-    categories: list[str] = field(default_factory=lambda: settings.QUERY_CATEGORIES)
+    categories: list[str] | None = None
     seed: int = 42
 
+    def __post_init__(self):
+        if self.categories is None:
+            object.__setattr__(self, "categories", corpus.categories(self.places))
+
     def named(self) -> DataFrame:
         return self.places.where("poi_name IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND category IS NOT NULL")
 

@@ -124,14 +124,14 @@ def direction_correlation(spark, d):
     return out.select("question_id", "n", F.round("rho", 6).alias("rho"))
 
 
-def world(spark, d) -> generators.World:
+def world(spark, d, categories: list[str] | None = None) -> generators.World:
     scratch = Scratch(spark, "world")
-    return generators.World(scratch.cut(_places(spark, d), "places"), scratch.cut(corpus.areas(table(spark, d, "df_area")), "areas"), scratch.cut(corpus.streets(table(spark, d, "df_streets")), "streets"))
+    return generators.World(scratch.cut(_places(spark, d), "places"), scratch.cut(corpus.areas(table(spark, d, "df_area")), "areas"), scratch.cut(corpus.streets(table(spark, d, "df_streets")), "streets"), categories)
 
 
-def _generated(name):
+def _generated(name, categories: list[str] | None = None):
     def run(spark, d):
-        rows = generators.TEMPLATES[name].generate(world(spark, d), 110)
+        rows = generators.TEMPLATES[name].generate(world(spark, d, categories), 110)
         size = F.size("results_poi_id")
         return rows.select("query", "category_query", "function", size.alias("n_answers"), F.get("results_poi_id", F.lit(0)).alias("first_poi"), F.round(F.get("results_poi_dist", F.lit(0)), 3).alias("first_dist"), F.get("results_poi_id", size - 1).alias("last_poi"))
 
@@ -139,7 +139,7 @@ def _generated(name):
 
 
 def union_all_templates(spark, d):
-    rows = generators.all_templates(world(spark, d), 50)
+    rows = generators.all_templates(world(spark, d))
     return rows.groupBy("function").agg(F.count("*").alias("n_questions"), F.sum(F.size("results_poi_id")).alias("n_answers"))
 
 
@@ -165,6 +165,9 @@ QUERIES = {
     "function_frequencies": function_frequencies,
     "spearman_direction": direction_correlation,
     **{f"gen_{name}": _generated(name) for name in generators.TEMPLATES},
+    # its SQL fixes the list of categories; all categories of the corpus come under a name of their own
+    "gen_point_near": _generated("point_near", settings.QUERY_CATEGORIES),
+    "gen_point_near_all": _generated("point_near"),
     "union_all_templates": union_all_templates,
 }
 

@@ -162,6 +162,14 @@ def test_measures(spark, world):
     assert (round(p["p"]["x"], 2), round(p["p"]["y"], 2)) == (652469.02, 6862035.26)
 
 
+def test_all_categories_of_the_corpus_are_asked(spark, world, tables):
+    rows = [p | {"category": f"Ferry Terminal {p['category']}"} for p in POIS]
+    w = generators.World(corpus.pois(tables.make(OSM, rows)).cache(), world.areas, world.streets)
+    assert w.categories == list(dict.fromkeys(f"ferry_terminal_{p['category']}" for p in POIS))
+    assert {r["category_query"] for r in generators.point_near(w, 50).collect()} == set(w.categories)
+    assert {r["category_query"] for r in generators.area_border(w, 50).collect()} == set(w.categories)
+
+
 @pytest.mark.parametrize("name", list(generators.TEMPLATES))
 def test_generators_keep_the_contract(world, name):
     t = generators.TEMPLATES[name]
