@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from terramill import settings
 from terramill.operators import corpus, relations, search
 from terramill.session import table
 
@@ -71,11 +70,11 @@ def street_touching(spark, d):
 
 
 def street_cross(spark, d):
-    """The five nearest places of every asked category for every crossing pair of streets."""
+    """The nearest places of every category of the corpus for every crossing pair of streets."""
     places, streets = _places(spark, d), corpus.streets(table(spark, d, "df_streets"))
     pairs = relations.crossings(streets).select("street_a", "street_b").distinct()
-    asked = pairs.withColumn("category", F.explode(F.array(*map(F.lit, settings.QUERY_CATEGORIES))))
-    return _rounded(relations.cross(asked, streets, places, 5))
+    asked = pairs.withColumn("category", F.explode(F.array(*map(F.lit, corpus.categories(places))).cast("array<string>")))
+    return _rounded(relations.cross(asked, streets, places))
 
 
 def street_opposite(spark, d):

@@ -181,3 +181,20 @@ def test_generators_keep_the_contract(world, name):
     assert validate.violations(rows, world.places, "qid", t.dist_is_ranking_key).collect() == []
     # the same again
     assert sorted(r["query"] for r in t.generate(world, 20).collect()) == sorted(r["query"] for r in found)
+
+
+def test_street_cross_query_answers_every_category_whole(spark, tables, tmp_path):
+    from terramill.plans import spatial
+
+    rows = [{"poi_id": i, "category": ["Garden", "ferry terminal"][i % 2], "x": OX + 10.0 * i + jitter(i), "y": OY + 7.0 * i} for i in range(30)]
+    tables.make(OSM, rows).write.parquet(f"{tmp_path}/df_osm.parquet")
+    roads = [(0, "Across", [line((-50, 50), (650, 50))]), (1, "Up", [line((70, -50), (70, 650))])]
+    tables.make(STREETS, [{"id_street": i, "street_name": n, "parts": p} for i, n, p in roads]).write.parquet(f"{tmp_path}/df_streets.parquet")
+    got = {}
+    for r in sorted(spatial.street_cross(spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        got.setdefault((r["street_a"], r["street_b"], r["category"]), []).append((r["poi_id"], r["dist"]))
+    expected = {}
+    for name, odd in (("garden", 0), ("ferry_terminal", 1)):
+        near = sorted((gap(p, OX + 70, OY + 50), p["poi_id"]) for p in rows if p["poi_id"] % 2 == odd)
+        expected[0, 1, name] = [(i, round(d, 3)) for d, i in near]
+    assert got == expected
