@@ -44,6 +44,17 @@ def per_group(rows: DataFrame, group: list[str], order: list, n: int | Column) -
     return ranked.where(F.col("__rn") <= n).drop("__rn")
 
 
+def numbered(rows: DataFrame, bucket: Column, order: list) -> DataFrame:
+    """Adds place, from 0, and total, the number of rows. Buckets follow ``order``, and no task sorts more than one of them."""
+    rows = rows.withColumn("__bucket", bucket)
+    everywhere = Window.partitionBy(F.lit(0))
+    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(everywhere.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__bucket", before.alias("__before"), F.sum("__n").over(everywhere).alias("total"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
+    return rows.join(counts, "__bucket").withColumn("place", place).drop("__bucket", "__before")
+
+
 def exact_split(rows: DataFrame, key: str, ratio: float, seed: int = 42, buckets: int = 256) -> DataFrame:
     """Adds is_test: exactly floor(n * ratio) rows, the first of the draw. Keys are unique.
 

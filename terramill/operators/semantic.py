@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terramill.functions.features import FEATURES, Feature, fragments
-from terramill.operators.sampling import draw_order, exact_split, per_group
+from terramill.operators.sampling import draw_order, exact_split, numbered, per_group
 
 
 def subsets(items: Column, most: int) -> Column:
@@ -61,14 +61,63 @@ def hard_negatives(asked: DataFrame, places: DataFrame, nb_unmatches: int = 1, c
     return some.unionByName(none.withColumn("n_matched", F.lit(0).cast("long")))
 
 
+def first_others(asked: DataFrame, matching: DataFrame, order: DataFrame, n: int) -> DataFrame:
+    """(question_id, poi_id): of every question the first n places that don't match it, from its start on around the order.
+
+    ``asked``: question_id, start; ``matching``: question_id, poi_id; ``order``:
+    poi_id, place, total (``numbered``). Before the match that is i-th after the
+    start lie its offset less i others, so the offset of the j-th other is j
+    and the matches with at most j others before them. Rows are the matches and
+    n for each question; others aren't listed.
+    """
+    if n < 1:
+        return asked.select("question_id").join(order.select("poi_id"), F.lit(False))
+    total = order.agg(F.max("total").alias("total"))
+    asked = asked.crossJoin(F.broadcast(total)).where("total > 0")  # one row
+    after = F.pmod(F.col("place") - F.col("start"), F.col("total"))
+    met = matching.join(order.select("poi_id", "place"), "poi_id").join(asked, "question_id").select("question_id", after.alias("offset"))
+    others = F.col("offset") - F.row_number().over(Window.partitionBy("question_id").orderBy("offset")) + 1
+    skipped = met.select("question_id", others.alias("j")).where(F.col("j") < n).groupBy("question_id", "j").agg(F.count("*").alias("skip"))
+    slots = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))).join(skipped, ["question_id", "j"], "left")
+    offset = F.col("j") + F.coalesce(F.sum("skip").over(Window.partitionBy("question_id").orderBy("j")), F.lit(0))
+    slots = slots.withColumn("offset", offset).where("offset < total")
+    return slots.select("question_id", F.pmod(F.col("start") + F.col("offset"), F.col("total")).alias("place")).join(order, "place").select("question_id", "poi_id")
+
+
+def drawn_others(asked: DataFrame, matching: DataFrame, places: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """The same in the hashed order of the places, each question from a start of its own."""
+    hashed = places.select("poi_id").distinct()
+    order = numbered(hashed, F.substring(draw_order(seed, "poi_id"), 1, 3), [draw_order(seed, "poi_id"), "poi_id"])
+    start = F.conv(F.substring(draw_order(seed, "question_id"), 1, 15), 16, 10).cast("long")
+    return first_others(asked.select("question_id", start.alias("start")), matching, order, n)
+
+
+def others_summary(asked: DataFrame, matching: DataFrame, places: DataFrame) -> DataFrame:
+    """(question_id, n_hard, first_poi, last_poi) of all places that don't match a question, without listing them; none without such a place."""
+    rows = places.select("poi_id").distinct()
+    up = numbered(rows, F.floor(F.col("poi_id") / 4096), ["poi_id"])
+    down = up.withColumn("place", F.col("total") - 1 - F.col("place"))
+    asked = asked.select("question_id", F.lit(0).cast("long").alias("start"))
+    first, last = (first_others(asked, matching, order, 1).withColumnRenamed("poi_id", name) for order, name in ((up, "first_poi"), (down, "last_poi")))
+    n = rows.agg(F.count("*").alias("total"))
+    met = matching.groupBy("question_id").agg(F.count("*").alias("met"))
+    both = first.join(last, "question_id").join(met, "question_id", "left").crossJoin(F.broadcast(n))  # one row
+    return both.select("question_id", (F.col("total") - F.coalesce("met", F.lit(0))).alias("n_hard"), "first_poi", "last_poi")
+
+
 def train_test(places: DataFrame, features: list[Feature] | None = None, ratio_test: float = 0.1, n_hard: int = 20, nb_unmatches: int = 1, seed: int = 42) -> DataFrame:
-    """(question_id, is_test, kind, poi_id): positives of all questions, and at most n_hard drawn hard negatives of the training ones."""
+    """(question_id, is_test, kind, poi_id): positives of all questions, and at most n_hard drawn hard negatives of the training ones.
+
+    Questions of at most nb_unmatches attributes draw from all places that don't match.
+    """
     asked = questions(places, features).withColumn("question_id", question_id())
     asked = exact_split(asked.select("question_id", "features", "pois"), "question_id", ratio_test, seed)
     positive = asked.select("question_id", "is_test", F.lit("positive").alias("kind"), F.explode("pois").alias("poi_id"))
     train = asked.where("NOT is_test")
     hard = hard_negatives(train.where(F.size("features") > nb_unmatches), places, nb_unmatches)
     hard = per_group(hard, ["question_id"], [draw_order(seed, "question_id", "poi_id"), "poi_id"], n_hard)
+    loose = train.where(F.size("features") <= nb_unmatches)
+    hard = hard.select("question_id", "poi_id").unionByName(drawn_others(loose, loose.select("question_id", F.explode("pois").alias("poi_id")), places, n_hard, seed))
     return positive.unionByName(hard.select("question_id", F.lit(False).alias("is_test"), F.lit("hard").alias("kind"), "poi_id"))
 
 

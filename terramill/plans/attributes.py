@@ -74,6 +74,16 @@ def hard_negatives(spark, d):
     return found.groupBy("question_id").agg(F.count("*").alias("n_hard"), F.min("poi_id").alias("first_poi"), F.max("poi_id").alias("last_poi"))
 
 
+def hard_negatives_all(spark, d):
+    """The same of every question; one of a single attribute has all places that don't match it."""
+    places = Scratch(spark, "hard").cut(_places(spark, d), "places")
+    asked = semantic.questions(places).withColumn("question_id", F.array_join("question", "|"))
+    found = semantic.hard_negatives(asked.where("nb_feature >= 2").select("question_id", "features"), places)
+    some = found.groupBy("question_id").agg(F.count("*").alias("n_hard"), F.min("poi_id").alias("first_poi"), F.max("poi_id").alias("last_poi"))
+    single = asked.where("nb_feature = 1")
+    return some.unionByName(semantic.others_summary(single, single.select("question_id", F.explode("pois").alias("poi_id")), places))
+
+
 def train_test_sets(spark, d):
     """Rows and questions of each kind in the training and test sets."""
     places = Scratch(spark, "sets").cut(_places(spark, d), "places")
@@ -156,7 +166,8 @@ QUERIES = {
     "train_test_split": train_test_split,
     "stratify": stratified,
     "semantic_questions": semantic_questions,
-    "hard_negatives": hard_negatives,
+    "hard_negatives": hard_negatives,  # its SQL has questions of two attributes and more
+    "hard_negatives_all": hard_negatives_all,
     "train_test_sets": train_test_sets,
     "attr_groups": attribute_groups,
     "composite": composite,
