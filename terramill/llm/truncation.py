@@ -4,8 +4,9 @@ Three kinds of evidence, in this order:
 
 1. The ending itself: broken characters, tags or entities, and marks of omission
    are unfinished; sentence ends, closing tags and emoji are finished.
-2. Near-copies: texts whose min-hash signatures agree in a band, verified by the
-   Jaccard index of their five-word shingles (0.8 or more), are aligned. A copy
+2. Near-copies: texts whose min-hash signatures agree in a band are verified by
+   their five-word shingles: 0.8 or more of the shorter text's must be the longer
+   one's (every pair with a Jaccard index of 0.8 has that). They are aligned; a copy
    whose alignment ends where the longer one goes on within the same line is cut.
 3. Terminality: how often the corpus ends where this text ends. For closing
    fragments (remarks, sign-offs, phrases with a mark of omission), how many of
@@ -16,10 +17,11 @@ Three kinds of evidence, in this order:
 All counts are over all different texts; equal texts count once, so that copies
 of a cut text don't vouch for each other.
 
-Scale: texts are shuffled once, to find equal ones. Counts are pre-aggregated in
-the map tasks. Within a bucket of a band an open text meets every text in which
-its last words stand and go on (an equi-join on their hash, salted), so that no
-member that could show the cut is left out.
+Scale: texts are shuffled once, to find equal ones, and read once in Python, which
+gives endings, signatures and pre-aggregated counts. Within a bucket of a band an
+open text meets first the longest text for each word that follows its last words,
+and only where that shows nothing every other text in which they go on (an
+equi-join on their hash, salted): no member that could show the cut is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,26 +37,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terramill.functions.text import fold_label
 from terramill.session import Scratch
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 12, 4
 #: Texts of a bucket with the same four words beyond which they are salted.
 CROWD = 1000
-#: Candidates of a text, those of the most similar size first, that are verified before the others.
-FIRST = 4
-#: Longest closing fragment that can be a remark or sign-off.
-REMARK = 48
-#: Lengths of the beginnings by which fragments are counted.
-LADDER = (1, 2, 4, 8, 16, 32)
 #: Least share of fragments that end so; least share of words that end a line, of numbers, and of words after the same word.
 FRAGMENT_SHARE, WORD_SHARE, NUMBER_SHARE, AFTER_SHARE = 0.3, 0.01, 0.1, 0.05
-#: Occurrences from which a word's own share decides.
-FREQUENT = 20
 #: A word or pair is the beginning of another if that one occurs this many times as often.
 DOMINATED = 10
 
@@ -67,6 +61,7 @@ SENTENCE = re.compile(r"[.!?。！？؟][\"'»”’)\]]*(?:\s|<|$)|,\s|;\s")
 LINE = re.compile(r"[\r\n]+|<br\s*/?>")
 DIGIT = re.compile(r"\d")
 TAG = re.compile(r"<[^<>]*>")
+WORD = re.compile(r"[^\W_]+")
 
 
 def is_emoji(char: str) -> bool:
@@ -128,33 +123,34 @@ class Ending:
 
 def word_hashes(text: str) -> list[int]:
     """Hashes of the five-word shingles of the folded words; of all words together if they are fewer; none without words."""
-    found = re.findall(r"[^\W_]+", html.unescape(TAG.sub(" ", text)).lower())
+    found = WORD.findall(html.unescape(TAG.sub(" ", text)).lower())
     if not found:
         return []
     if len(found) < SHINGLE:
-        return [xxhash.xxh32_intdigest(" ".join(found))]
-    return list({xxhash.xxh32_intdigest(" ".join(found[i : i + SHINGLE])) for i in range(len(found) - SHINGLE + 1)})
+        return [xxhash.xxh3_64_intdigest(" ".join(found))]
+    return list({xxhash.xxh3_64_intdigest(" ".join(found[i : i + SHINGLE])) for i in range(len(found) - SHINGLE + 1)})
 
 
-_PRIME = (1 << 61) - 1
-_RANDOM = np.random.default_rng(20240601)
-_A = _RANDOM.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64)
-_B = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
+#: Odd multipliers: a product's order modulo 2**64 has nothing left of the order of the hashes.
+_FACTORS = np.random.default_rng(20240601).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(hashes: list[int]) -> list[int]:
-    """One key for each band of the min-hash signature."""
-    h = np.array(hashes, np.uint64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(h), 4096):
-        mixed = (h[start : start + 4096, None] * _A + _B) % np.uint64(_PRIME)
-        low = np.minimum(low, mixed.min(axis=0))
-    return [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
+def bands(hashes: list[list[int]]) -> np.ndarray:
+    """For each set of hashes (none empty) one key for each band of its min-hash signature; keys of different bands differ."""
+    flat = np.array([h for row in hashes for h in row], np.uint64)
+    starts = np.cumsum([0, *map(len, hashes[:-1])])
+    keys = np.zeros((len(hashes), BANDS), np.uint64)
+    for i, factor in enumerate(_FACTORS):
+        band, row = divmod(i, ROWS)
+        low = np.minimum.reduceat(flat * factor, starts)
+        keys[:, band] = (keys[:, band] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
+    return keys.view(np.int64)
 
 
-def jaccard(a: list[int], b: list[int]) -> float:
+def similarity(a: list[int], b: list[int]) -> float:
+    """Share of the smaller set's members that the other has: a cut copy lacks what was cut, so the Jaccard index would be too strict."""
     x, y = set(a), set(b)
-    return len(x & y) / len(x | y) if x or y else 0.0
+    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
 
 
 def ends_early(short: str, long: str) -> bool:
@@ -183,7 +179,7 @@ def ends_early(short: str, long: str) -> bool:
 
 
 def _gram(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\n".join(words)) - (1 << 63)
+    return xxhash.xxh3_64_intdigest("\n".join(words)) - (1 << 63)
 
 
 def last_words(text: str) -> list[tuple[int, str | None]]:
@@ -208,56 +204,33 @@ def goes_on(text: str) -> dict[int, tuple[str, bool]]:
     return found
 
 
-ASKED = "key string, gram bigint, word string"
-GOES = "key string, gram bigint, next string, inline boolean"
+def fragment_names(fragment: str) -> list[str]:
+    """Names under which the beginnings of a fragment are counted: those of 1, 2, 4, ... characters, hashed."""
+    return [f"s:{i}:{xxhash.xxh3_64_hexdigest(fragment[: 1 << i])}" for i in range(len(fragment).bit_length())]
 
 
-def _last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(key, *x) for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()) for x in last_words(text)]
-        keys, grams, words = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(grams, pa.int64()), pa.array(words, pa.string())], ["key", "gram", "word"])
-
-
-def _goes_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
-            if found := goes_on(text):
-                words, inline = zip(*found.values())
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(words, pa.string()), pa.array(inline, pa.bool_())], ["key", "gram", "next", "inline"])
+def closing_name(fragment: str) -> str:
+    return f"f:{xxhash.xxh3_64_hexdigest(fragment)}"
 
 
-ENDINGS = "key string, state string, fragment string, word string, before string, prose boolean, marked boolean, n_chars int, n_shingles int, bands array<bigint>"
-COUNTS = "name string, n long, n_end long"
-
-
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = defaultdict(list)
-        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
-            e, hashes = Ending(text), word_hashes(text)
-            word = shape(e.word) if token_class(e.word) == "number" else e.word
-            for name, value in (("key", key), ("state", e.state), ("fragment", e.fragment), ("word", word), ("before", e.before), ("prose", e.prose), ("marked", e.marked), ("n_chars", len(text)), ("n_shingles", len(hashes)), ("bands", bands(hashes) if hashes else [])):
-                rows[name].append(value)
-        if rows:
-            types = [pa.string()] * 5 + [pa.bool_()] * 2 + [pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], list(rows))
+def brief(fragment: str) -> bool:
+    """Whether a fragment is too short for a shingle, so that equal ones needn't be copies."""
+    return len(fragment.split(None, SHINGLE)) < SHINGLE
 
 
 def tally(text: str, copies: int, n: Counter, ends: Counter) -> None:
     """Counts of one text: beginnings of fragments (s:) and closing fragments (f:); outside prose, words (w:), pairs of words (p:) and followers (b:).
 
-    A text that is but one short fragment counts as often as it occurs, all others once.
+    A text that is but one brief fragment counts as often as it occurs, all others once.
     """
     clean = html.unescape(text)
     pieces = [bare(p) for p in BREAK.split(clean) if p.strip()]
-    times = copies if len(pieces) == 1 and len(pieces[0]) <= REMARK else 1
+    times = copies if len(pieces) == 1 and brief(pieces[0]) else 1
     for piece in pieces:
-        for size in LADDER:
-            if size <= len(piece):
-                n[f"s:{piece[:size]}"] += times
-    if pieces and len(pieces[-1]) <= REMARK:
-        n[f"f:{pieces[-1]}"] += times
+        for name in fragment_names(piece):
+            n[name] += times
+    if pieces:
+        n[closing_name(pieces[-1])] += times
     prose = bool(SENTENCE.search(clean))
     for line in LINE.split(clean):
         tokens = TAG.sub(" ", line).split()
@@ -276,69 +249,126 @@ def tally(text: str, copies: int, n: Counter, ends: Counter) -> None:
                 ends[f"b:{tokens[i - 1]}\t{kind}"] += last
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter = Counter()
-    ends: Counter = Counter()
+def is_list_like(e: Ending) -> bool:
+    """Whether an ending is judged by its last word: in lists, and where it is a number or an amount."""
+    return bool(e.word) and (not e.prose or token_class(e.word) == "number" or unicodedata.category(e.word[-1]) == "Sc")
+
+
+def asked_names(fragment: str, word: str, before: str, listed: bool) -> list[str]:
+    """Names of the counts that ``judge`` looks up."""
+    names = [closing_name(fragment), fragment_names(fragment)[-1]] if fragment else []
+    if listed:
+        names += [f"w:{word}", f"x:{word}"]
+        if before:
+            names += [f"p:{before} {word}", f"y:{before} {word}", f"b:{before}\t{token_class(word)}"]
+    return names
+
 
-    def out() -> pa.RecordBatch:
-        names = list(n)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[k] for k in names], pa.int64()), pa.array([ends[k] for k in names], pa.int64())], ["name", "n", "n_end"])
+#: A row describes a text (name is null) or counts a name (key is null).
+READ = (
+    "key long, state string, fragment string, word string, before string, prose boolean, marked boolean, n_chars int, bands array<bigint>, "
+    "asked array<struct<gram:bigint,word:string>>, names array<string>, name string, n long, n_end long"
+)
+_READ = pa.schema([
+    ("key", pa.int64()), ("state", pa.string()), ("fragment", pa.string()), ("word", pa.string()), ("before", pa.string()), ("prose", pa.bool_()), ("marked", pa.bool_()), ("n_chars", pa.int32()),
+    ("bands", pa.list_(pa.int64())), ("asked", pa.list_(pa.struct([("gram", pa.int64()), ("word", pa.string())]))), ("names", pa.list_(pa.string())), ("name", pa.string()), ("n", pa.int64()), ("n_end", pa.int64()),
+])
 
+
+def _rows(**columns: list) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _READ], schema=_READ)
+
+
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over texts (key, text, copies): their endings, signatures and closing words, and the counts."""
+    n: Counter = Counter()
+    ends: Counter = Counter()
     for batch in batches:
-        for text, copies in zip(batch["text"].to_pylist(), batch["copies"].to_pylist()):
+        out: dict[str, list] = {f.name: [] for f in _READ if f.name not in ("name", "n", "n_end")}
+        shingles: list[list[int]] = []
+        for key, text, copies in zip(*(batch[c].to_pylist() for c in ("key", "text", "copies"))):
+            e = Ending(text)
+            listed = is_list_like(e)
+            word = shape(e.word) if token_class(e.word) == "number" else e.word
+            is_open = e.state == "open"
+            for name, value in (("key", key), ("state", e.state), ("fragment", e.fragment), ("word", word), ("before", e.before), ("prose", e.prose), ("marked", e.marked), ("n_chars", len(text))):
+                out[name].append(value)
+            out["asked"].append(last_words(text) if is_open else [])
+            out["names"].append(asked_names(e.fragment, word, e.before, listed) if is_open else [])
+            shingles.append(word_hashes(text))
             tally(text, copies, n, ends)
             if len(n) > 500_000:  # pre-aggregated so far; a bound of memory only
-                yield out()
+                yield _rows(name=list(n), n=list(n.values()), n_end=[ends[k] for k in n])
                 n.clear()
                 ends.clear()
+        if shingles:
+            live = [i for i, h in enumerate(shingles) if h]
+            keys = iter(bands([shingles[i] for i in live]).tolist() if live else [])
+            out["bands"] = [next(keys) if h else [] for h in shingles]
+            out["asked"] = [[{"gram": g, "word": w} for g, w in row] for row in out["asked"]]
+            yield _rows(**out)
     if n:
-        yield out()
+        yield _rows(name=list(n), n=list(n.values()), n_end=[ends[k] for k in n])
+
+
+GOES = "other long, gram long, next string, inline boolean"
+_GOES = pa.schema([("other", pa.int64()), ("gram", pa.int64()), ("next", pa.string()), ("inline", pa.bool_())])
+
+
+def _goes_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(key, gram, *after) for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()) for gram, after in goes_on(text).items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _GOES)], schema=_GOES)
 
 
 def distinct_texts(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, key) of the documents with text, and (key, text, copies) of the different texts."""
+    """(doc_id, source, hash) of the documents with text, and (key, hash, text, copies) of the different texts; the keys are given by the written table."""
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"[^\s\p{Z}]"))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), fold_label(F.col("source")).alias("source"), F.sha2("text", 256).alias("key"), "text")
-    texts = scratch.cut(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
-    return rows.drop("text"), texts
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), fold_label(F.col("source")).alias("source"), F.unhex(F.md5("text")).alias("hash"), "text")
+    texts = rows.groupBy("hash").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return rows.drop("text"), scratch.cut(texts.select(F.monotonically_increasing_id().alias("key"), "*"), "texts")
 
 
-def near_copies(endings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def near_copies(described: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(key) of the texts that end early beside a verified near-copy."""
-    rows = endings.select("key", "state", "n_chars", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     # a finished ending can't be cut, whatever a copy goes on with, and a cut one needs no copy
     is_open = F.col("state") == "open"
-    buckets = rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.max(is_open).alias("asks")).where("n > 1 AND asks").select("band", "bucket")
-    rows = scratch.cut(rows.join(buckets, ["band", "bucket"]), "banded")
-    asked = scratch.cut(texts.join(rows.where(is_open).select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_last_words, ASKED), "asked")
-    goes = texts.join(rows.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_goes_on, GOES)
-    goes = goes.join(asked.select("gram").distinct(), "gram", "left_semi")
-    place = ["band", "bucket", "gram"]
-    goes = scratch.cut(goes.join(rows.select("key", "band", "bucket", "n_chars", "n_shingles"), "key"), "goes")
-    crowds = scratch.cut(goes.groupBy(*place).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")), "crowds")
-    goes = goes.join(crowds, place).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    goes = goes.select(*place, "salt", F.col("key").alias("other"), "next", "inline", F.col("n_chars").alias("chars"), F.col("n_shingles").alias("shingles"))
-    asked = asked.join(rows.where(is_open).select("key", "band", "bucket", "n_chars", "n_shingles"), "key").join(crowds, place)
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    banded = described.select("key", is_open.alias("open"), F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.max("open").alias("asks")).where("n > 1 AND asks").select("bucket")
+    members = scratch.cut(banded.join(scratch.cut(buckets, "buckets"), "bucket").select("bucket", "key", "open"), "members")
+    asked = described.where(is_open).select("key", "n_chars", F.inline("asked"))
+    asked = scratch.cut(asked.join(members.where("open").select("key", "bucket"), "key"), "asked")
+    near = texts.join(members.select("key").distinct(), "key", "left_semi")
+    goes = near.select("key", "text").mapInArrow(_goes_on, GOES).join(asked.select("gram").distinct(), "gram", "left_semi")
+    sizes = members.select(F.col("key").alias("other"), "bucket").join(described.select(F.col("key").alias("other"), F.col("n_chars").alias("chars")), "other")
+    place = ["bucket", "gram"]
+    goes = scratch.cut(goes.join(sizes, "other").join(asked.select(*place).distinct(), place, "left_semi"), "goes")
     follows = F.when(F.col("word").isNull(), F.col("inline")).otherwise(F.col("next").startswith(F.col("word")) & (F.col("next") != F.col("word")))
-    less, more = F.least("n_shingles", "shingles"), F.greatest("n_shingles", "shingles")
-    met = asked.join(goes, [*place, "salt"]).where("key <> other AND n_chars <= chars").where(follows & (less / more >= SIMILAR))
-    pairs = met.groupBy("key", "other").agg(F.min(more - less).alias("apart"))
-    pairs = scratch.cut(pairs.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("apart", "other"))), "pairs")
+    met = (F.col("key") != F.col("other")) & (F.col("n_chars") <= F.col("chars")) & follows
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = lru_cache(64)(word_hashes)
         for frame in frames:
-            keep = [ends_early(html.unescape(a), html.unescape(b)) and jaccard(hashes(a), hashes(b)) >= SIMILAR for a, b in zip(frame["short"], frame["long"])]
+            keep = [ends_early(html.unescape(a), html.unescape(b)) and similarity(hashes(a), hashes(b)) >= SIMILAR for a, b in zip(frame["short"], frame["long"])]
             yield frame.loc[keep, ["key"]]
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("key", "other").join(texts.select("key", F.col("text").alias("short")), "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("long")), "other")
-        return pairs.select("key", "short", "long").mapInPandas(verify, "key string").distinct()
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.cut(pairs.select("key", "other").distinct(), f"{name}_pairs")
+        texts_of = lambda key, text: near.select(F.col("key").alias(key), F.col("text").alias(text))
+        both = pairs.join(texts_of("key", "short"), "key").join(texts_of("other", "long"), "other")
+        return scratch.cut(both.select("key", "short", "long").mapInPandas(verify, "key long").distinct(), name)
 
-    # one continuing copy is enough: the other candidates are verified only where the first ones fail
-    found = scratch.cut(verified(pairs.where(F.col("turn") <= FIRST)), "found")
-    return found.unionByName(verified(pairs.where(F.col("turn") > FIRST).join(found, "key", "left_anti")))
+    # one continuing copy is enough: first the longest one for each following word, then all others where it shows nothing
+    longest = goes.groupBy(*place, "next", "inline").agg(F.max(F.struct("chars", "other")).alias("top")).select(*place, "next", "inline", "top.*")
+    found = verified(asked.join(longest, place).where(met), "first")
+    crowds = goes.groupBy(*place).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    rest = asked.join(found, "key", "left_anti").join(crowds, place).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    salted = goes.join(crowds, place).withColumn("salt", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int")).drop("parts")
+    others = rest.join(salted, [*place, "salt"]).where(met)
+    tried = longest.select(*place, "next", "inline", "other")
+    return found.unionByName(verified(others.join(tried, [*place, "next", "inline", "other"], "left_anti"), "others")).distinct()
 
 
 def judge(state: str, prose: bool, marked: bool, fragment: str, word: str, before: str, known: dict) -> bool:
@@ -346,12 +376,11 @@ def judge(state: str, prose: bool, marked: bool, fragment: str, word: str, befor
     if state != "open":
         return state == "cut"
     count = lambda name: known.get(name, (0, 0))
-    if fragment and len(fragment) <= REMARK:
-        same = count(f"f:{fragment}")[0]
-        alike = count(f"s:{fragment[: _rung(fragment)]}")[0]
+    if fragment:
+        same, alike = count(closing_name(fragment))[0], count(fragment_names(fragment)[-1])[0]
         if same >= 3 and same >= FRAGMENT_SHARE * alike:
             return False
-        if not marked and same < 3 and prose and (fragment[0].islower() or fragment[0] in "—–(") and alike <= 2 * same:
+        if not marked and same < 3 and prose and brief(fragment) and (fragment[0].islower() or fragment[0] in "—–(") and alike <= 2 * same:
             return False
     if marked:
         return True
@@ -362,7 +391,8 @@ def judge(state: str, prose: bool, marked: bool, fragment: str, word: str, befor
         return ends <= 1 or ends - 1 < NUMBER_SHARE * family
     if prose:
         return True
-    if n >= FREQUENT:
+    # a word's own share decides if it is frequent enough for one end to be expected
+    if n * AFTER_SHARE >= 1:
         return ends - 1 < WORD_SHARE * family
     if not before:
         return family > n
@@ -373,33 +403,28 @@ def judge(state: str, prose: bool, marked: bool, fragment: str, word: str, befor
     return after_end - 1 < AFTER_SHARE * after or after_end <= 1
 
 
-def _rung(fragment: str) -> int:
-    return max([size for size in LADDER if size <= len(fragment)], default=len(fragment))
-
+def families(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(name, n, n_end) of the asked x: and y: names: sums over all words, or second words after the same first one, that begin so.
 
-def judge_open(endings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    Beginnings are taken at the lengths that are asked, however long they are.
+    """
+    first = F.when(F.col("name").startswith("w:") | F.col("name").startswith("x:"), 3).otherwise(F.locate(" ", F.col("name"), 3) + 1)
+    wanted = asked.where(F.col("name").startswith("x:") | F.col("name").startswith("y:"))
+    sizes = wanted.select(F.translate(F.substring("name", 1, 1), "xy", "wp").alias("kind"), (F.length("name") - first + 1).alias("size"))
+    sizes = sizes.groupBy("kind").agg(F.collect_set("size").alias("sizes"))  # two rows, of the different lengths of words
+    listed = counts.where(F.col("name").startswith("w:") | F.col("name").startswith("p:")).withColumn("kind", F.substring("name", 1, 1)).withColumn("first", first)
+    listed = listed.join(sizes, "kind").withColumn("size", F.explode(F.filter("sizes", lambda i: i <= F.length("name") - F.col("first") + 1)))
+    begun = F.concat(F.translate(F.col("kind"), "wp", "xy"), F.substring(F.col("name"), F.lit(2), F.col("first") - 2 + F.col("size")))
+    begun = listed.select(begun.alias("name"), "n", "n_end").join(wanted, "name", "left_semi")
+    return begun.groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+
+
+def judge_open(described: DataFrame, counted: DataFrame, scratch: Scratch) -> DataFrame:
     """(key) of the texts that their ending alone, or its terminality in the corpus, shows to be cut."""
-    counted = texts.select("text", "copies").mapInArrow(_count, COUNTS).groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    counts = scratch.cut(counted, "counts")
-    # all beginnings of a word, and of the second word of a pair
-    blank = F.when(F.col("name").startswith("w:"), 2).otherwise(F.locate(" ", F.col("name"), 3))
-    kind_of = F.when(F.col("name").startswith("w:"), "x:").otherwise("y:")
-    starts = F.transform(F.sequence(blank + 1, F.least(F.length("name"), blank + 64)), lambda i: F.concat(kind_of, F.substring(F.col("name"), F.lit(3), i - 2)))
-    listed = counts.where((F.col("name").startswith("w:") | F.col("name").startswith("p:")) & (F.length("name") > blank) & (blank > 0))
-    families = listed.select(F.explode(starts).alias("name"), "n", "n_end")
-    rung = F.lit(0)
-    for step in LADDER:
-        rung = F.when(F.length("fragment") >= step, step).otherwise(rung)
-    names = F.array(
-        F.concat(F.lit("f:"), "fragment"), F.concat(F.lit("s:"), F.expr("left(fragment, rung)")), F.concat(F.lit("w:"), "word"), F.concat(F.lit("x:"), "word"),
-        F.concat(F.lit("p:"), "before", F.lit(" "), "word"), F.concat(F.lit("y:"), "before", F.lit(" "), "word"),
-        F.concat(F.lit("b:"), "before", F.lit("\t"), "kind"),
-    )
-    kind = F.pandas_udf(lambda s: s.map(token_class), "string")
-    cases = scratch.cut(endings.where("state = 'open'").withColumn("rung", rung).withColumn("kind", kind("word")).select("key", "state", "prose", "marked", "fragment", "word", "before", names.alias("names")), "open")
-    asked = cases.select(F.explode("names").alias("name")).distinct()
-    families = families.join(asked.where(F.col("name").startswith("x:") | F.col("name").startswith("y:")), "name", "left_semi").groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    answers = counts.join(asked, "name", "left_semi").unionByName(families)
+    counts = scratch.cut(counted.groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "counts")
+    cases = described.where("state = 'open'").select("key", "state", "prose", "marked", "fragment", "word", "before", "names")
+    asked = scratch.cut(cases.select(F.explode("names").alias("name")).distinct(), "names")
+    answers = counts.join(asked, "name", "left_semi").unionByName(families(counts, asked))
     looked = cases.select("key", F.explode("names").alias("name")).join(answers, "name").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("name", F.struct("n", "n_end")))).alias("known"))
     rows = cases.drop("names").join(looked, "key", "left")
 
@@ -407,18 +432,20 @@ def judge_open(endings: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFr
         for batch in batches:
             rows = batch.to_pylist()
             keys = [r["key"] for r in rows if judge(r["state"], r["prose"], r["marked"], r["fragment"], r["word"], r["before"], {k: (v["n"], v["n_end"]) for k, v in (r["known"] or [])})]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
 
-    return rows.mapInArrow(decide, "key string").unionByName(endings.where("state = 'cut'").select("key"))
+    return rows.mapInArrow(decide, "key long").unionByName(described.where("state = 'cut'").select("key"))
 
 
 def truncated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source) of the cut documents, and the same of all documents with text."""
     scratch = Scratch(documents.sparkSession, "truncation")
     rows, texts = distinct_texts(documents, scratch)
-    endings = scratch.cut(texts.mapInArrow(_describe, ENDINGS), "endings")
-    cut = scratch.cut(near_copies(endings, texts, scratch).unionByName(judge_open(endings, texts, scratch)).distinct(), "cut")
-    return rows.join(cut, "key", "left_semi").drop("key"), rows.drop("key")
+    passed = scratch.cut(texts.select("key", "text", "copies").mapInArrow(read, READ), "read")
+    described, counted = passed.where("key IS NOT NULL").drop("name", "n", "n_end"), passed.where("name IS NOT NULL").select("name", "n", "n_end")
+    keys = near_copies(described, texts, scratch).unionByName(judge_open(described, counted, scratch)).distinct()
+    cut = scratch.cut(texts.join(keys, "key", "left_semi").select("hash"), "cut")
+    return rows.join(cut, "hash", "left_semi").drop("hash"), rows.drop("hash")
 
 
 def truncated_found(documents: DataFrame) -> DataFrame:
