@@ -1,58 +1,68 @@
 """Records that stand, exactly or almost, in several splits.
 
-The normalised passages of evaluation records (their words and poi_ids) are
-sharded; for each shard an Aho-Corasick automaton scans all training texts. The
-matches of a training text say which passages of which evaluation records it
-holds: from them both overlaps of a pair follow exactly. Records equal after
-normalisation are one class, scanned once.
-
-An evaluation record is looked at only if the text holds one of its rarest
-passages (prefix filter: two sets with a Jaccard index of t share a member of
-each one's first n - ceil(t n) + 1 in any common order). Passages of many
-records are looked up together with a rare word, so a poi_id that a third of all
-records hold doesn't make all of them candidates. Both filters lose no pair.
-
-Scale: a shard and a block of training texts are bounded, and each shard meets
-each block in a task of its own. Nothing is broadcast or collected.
+The normalised passages of evaluation records are sharded; an Aho-Corasick
+automaton of each shard, over words and poi_ids, scans all training records.
+Passages have several tokens:
+
+- Five words in a row of a record's text (the whole text if it is shorter). Their
+  matches are intervals of the evaluation text; the intervals that all training
+  texts match are merged into the record's coverage.
+- Two neighbours in the order of a record's poi_ids (the poi_id itself if there is
+  but one). They choose the records whose overlaps are then taken exactly. None is
+  lost: with a Jaccard index t of 0.7, s common members and b = s (1/t - 1) others at
+  most, the common ones stand in b + 1 runs, so two of them are neighbours on both
+  sides wherever s > 1; and with s = 1 both sides are that one poi_id.
+
+A passage that many records hold is looked up together with a rare word (prefix
+filter: two sets with a Jaccard index of t share a member of each one's first
+n - ceil(t n) + 1 in any common order), so poi_ids that a third of all records
+share don't make all of them candidates. This loses no pair either.
+
+Scale: shards are tables in the shared scratch folder. Training rows are never
+shuffled: a task holds a bounded block of them and reads one bounded shard after
+the other. Only evaluation records and results are exchanged.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terramill.functions.text import fold_label, words
-from terramill.session import Scratch, parallelism
+from terramill.session import Scratch
 
 THRESHOLD = 0.7
-#: Evaluation classes of a shard, training classes of a block, on average.
-SHARD, BLOCK = 40_000, 50_000
+#: Words of a passage.
+PASSAGE = 5
+#: Evaluation classes of a shard on average; training rows of a block.
+SHARD, BLOCK = 40_000, 20_000
 #: Records of a passage from which it is looked up together with a word.
 CROWD = 64
 EVAL_SPLITS = ("validation", "test")
 
 
 def records(batches: DataFrame) -> DataFrame:
-    """(batch_id, split, source, pois, text, words, key) of each batch with a split, poi_ids and words; sets are sorted.
+    """(batch_id, split, source, pois, text) of each row with a split, poi_ids and words: sorted distinct poi_ids, and the words in their order.
 
     Case and blanks around a split are ignored. Null ids, questions, fragments
     and poi_ids are left out, and so are records without poi_ids or words.
-    Equal rows count once; differing rows of one batch_id each count.
+    Rows of one batch_id that differ each count, equal ones once (in the results).
     """
     fragments = F.flatten(F.filter("questions", lambda q: q.isNotNull()))
-    found = words(F.array_join(fragments, " "))
     rows = batches.where("batch_id IS NOT NULL AND questions IS NOT NULL AND poi_ids IS NOT NULL").select(
         F.col("batch_id").cast("long").alias("batch_id"), fold_label(F.col("split")).alias("split"), fold_label(F.col("source")).alias("source"),
-        F.array_sort(F.array_distinct(F.array_compact("poi_ids"))).cast("array<bigint>").alias("pois"), found.alias("text"),
+        F.array_sort(F.array_distinct(F.array_compact("poi_ids"))).cast("array<bigint>").alias("pois"), words(F.array_join(fragments, " ")).alias("text"),
     )
-    rows = rows.withColumn("words", F.array_sort(F.array_distinct("text")))
-    rows = rows.where(F.col("split").isin("train", *EVAL_SPLITS) & (F.size("pois") > 0) & (F.size("words") > 0))
-    return rows.withColumn("key", F.sha2(F.concat_ws("\x1f", F.concat_ws(" ", F.col("pois").cast("array<string>")), F.concat_ws(" ", "words")), 256)).distinct()
+    return rows.where(F.col("split").isin("train", *EVAL_SPLITS) & (F.size("pois") > 0) & (F.size("text") > 0))
 
 
 def needed(size: int, threshold: float) -> int:
@@ -60,134 +70,208 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def runs(tokens: list, size: int) -> list[tuple]:
+    """All runs of ``size`` tokens in a row; the whole list if it is shorter."""
+    return [tuple(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))]
+
+
 class Shard:
-    """Evaluation classes with the automaton of their passages."""
-
-    def __init__(self, pois: list, terms: list, threshold: float):
-        self.threshold = threshold
-        self.ids: dict[str, int] = {}
-        name = self.ids.setdefault
-        self.pois = [frozenset(name(f"#{p}", len(self.ids)) for p in row) for row in pois]
-        self.terms = [frozenset(name(w, len(self.ids)) for w in row) for row in terms]
-        self.held = Counter(t for row in self.pois for t in row)
+    """Evaluation classes with the automaton of their passages; ``spans``: with those of words."""
+
+    def __init__(self, classes: list[int], pois: list[list[int]], texts: list[list[str]], threshold: float, spans: bool = False):
+        if threshold <= 0.5:
+            raise ValueError("records that share no neighbours can be as similar as that")
+        self.threshold, self.classes = threshold, classes
+        self.ids: dict[int | str, int] = {}  # 0 is any token that the shard doesn't have
+        number = lambda t: self.ids.setdefault(t, len(self.ids) + 1)
+        rows = [[number(p) for p in row] for row in pois]
+        spoken = [[number(w) for w in row] for row in texts]
+        self.pois, self.terms = [frozenset(r) for r in rows], [frozenset(r) for r in spoken]
+        self.sizes = [len(r) for r in spoken]
         self.used = Counter(t for row in self.terms for t in row)
-        self.automaton = ahocorasick.Automaton()
-        for passage, token in self.ids.items():
-            self.automaton.add_word(f" {passage} ", token)
-        if self.ids:
+        self.holders: dict[tuple, list[int]] = defaultdict(list)
+        for i, row in enumerate(rows):
+            for passage in runs(row, 2):
+                self.holders[passage].append(i)
+        self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        if spans:
+            for i, row in enumerate(spoken):
+                for at, passage in enumerate(runs(row, PASSAGE)):
+                    self.places[passage].append((i, at))
+        self.spans = spans
+        self.passages = [*self.holders, *self.places]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for at, passage in enumerate(self.passages):
+            self.automaton.add_word(passage, at)
+        if self.passages:
             self.automaton.make_automaton()
-        self.by_poi: dict[int, list[int]] = defaultdict(list)
-        for i, row in enumerate(self.pois):
-            for t in self.rarest(row, len(row), self.held):
-                self.by_poi[t].append(i)
-        self.crowds: dict[int, dict[int, list[int]]] = {}
-        for t, members in self.by_poi.items():
+        self.hit = bytearray(len(self.passages))
+        self.crowds: dict[tuple, dict[int, list[int]]] = {}
+        for passage, members in self.holders.items():
             if len(members) > CROWD:
-                crowd = self.crowds[t] = defaultdict(list)
+                crowd = self.crowds[passage] = defaultdict(list)
                 for i in members:
-                    for w in self.rarest(self.terms[i], len(self.terms[i]), self.used):
+                    for w in self.rarest(self.terms[i], len(self.terms[i])):
                         crowd[w].append(i)
 
-    def rarest(self, found, size: int, counts: Counter) -> list[int]:
+    def rarest(self, found, size: int) -> list[int]:
         """The found members among the first of a set's rare-first order; members that no record of the shard has come before them."""
         first = size - needed(size, self.threshold) + 1 - (size - len(found))
-        return sorted(found, key=lambda t: (counts[t], t))[: max(0, first)]
-
-    def matches(self, pois, terms) -> list[tuple[int, int, int]]:
-        """(record, shared poi_ids, shared words) of every record similar to a training text."""
-        text = f" {' '.join([*(f'#{p}' for p in pois), *terms])} "
-        found = {t for _, t in self.automaton.iter(text)} if self.ids else set()
-        own_pois = {t for t in found if t in self.held}
-        own_terms = {t for t in found if t in self.used}
+        return sorted(found, key=lambda t: (self.used[t], t))[: max(0, first)]
+
+    def matches(self, pois: list[int], text: list[str]) -> list[tuple[int, float, float]]:
+        """(record, overlap of poi_ids, overlap of words) of every record similar to a training record; the passages it matches are noted in ``hit``."""
+        get = self.ids.get
+        row, spoken = [get(p, 0) for p in pois], [get(w, 0) for w in text]
+        own_pois, own_terms, n_terms = {*row} - {0}, {*spoken} - {0}, len(set(text))
         candidates: set[int] = set()
-        rare_terms = None
-        for t in self.rarest(own_pois, len(pois), self.held):
-            crowd = self.crowds.get(t)
-            if crowd is None:
-                candidates.update(self.by_poi.get(t, ()))
-            else:
-                rare_terms = self.rarest(own_terms, len(terms), self.used) if rare_terms is None else rare_terms
-                for w in rare_terms:
-                    candidates.update(crowd.get(w, ()))
+        rare = None
+        if self.passages:
+            for _, at in self.automaton.iter((*row, 0, *spoken) if self.spans else tuple(row)):
+                passage = self.passages[at]
+                self.hit[at] = 1
+                members = self.holders.get(passage)
+                if members is None:
+                    continue
+                crowd = self.crowds.get(passage)
+                if crowd is None:
+                    candidates.update(members)
+                else:
+                    rare = self.rarest(own_terms, n_terms) if rare is None else rare
+                    for w in rare:
+                        candidates.update(crowd.get(w, ()))
         out = []
+        limit = self.threshold - 1e-12
         for i in candidates:
             a, b = len(self.pois[i] & own_pois), len(self.terms[i] & own_terms)
-            limit = self.threshold - 1e-12
-            if a >= limit * (len(self.pois[i]) + len(pois) - a) and b >= limit * (len(self.terms[i]) + len(terms) - b):
-                out.append((i, a, b))
+            size_a, size_b = len(self.pois[i]) + len(pois) - a, len(self.terms[i]) + n_terms - b
+            if a >= limit * size_a and b >= limit * size_b:
+                out.append((i, a / size_a, b / size_b))
         return out
 
-
-def coverage(text: list[str], shared: set[str]) -> float:
-    """Share of an evaluation text's characters in the merged intervals of its matched passages.
-
-    Passages are words; neighbours that both match merge with the blank between them.
+    def intervals(self) -> dict[int, list[tuple[int, int]]]:
+        """Merged intervals (first word, word after the last) of each record that the passages noted so far match; forgets them."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for at in range(len(self.holders), len(self.passages)):
+            if self.hit[at]:
+                for i, start in self.places[self.passages[at]]:
+                    found[i].append((start, min(start + PASSAGE, self.sizes[i])))
+        self.hit = bytearray(len(self.passages))
+        return {i: merged(v) for i, v in found.items()}
+
+
+def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def qualified(spark, path: str) -> str:
+    """A path with its file system, as ``pyarrow.fs`` takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    scheme, rest = full.split(":", 1)
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{rest.removeprefix('//')}"
+
+
+@lru_cache(1)
+def load(uri: str, threshold: float, spans: bool) -> Shard:
+    """The shard of a table in the shared folder; a worker holds one at a time."""
+    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    rows = pyarrow.dataset.dataset(path, filesystem=files, format="parquet").to_table(columns=["class", "pois", "text"]).to_pydict()
+    return Shard(rows["class"], rows["pois"], rows["text"], threshold, spans)
+
+
+#: A row is a similar pair, or what one block of training records matches of a class (train_id is null).
+MATCH = "class long, train_id long, poi_overlap double, word_overlap double, spans array<struct<start:int,stop:int>>"
+_MATCH = pa.schema([("class", pa.int64()), ("train_id", pa.int64()), ("poi_overlap", pa.float64()), ("word_overlap", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
+
+
+def scan(evaluation: DataFrame, training: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, spans: bool = False) -> DataFrame:
+    """MATCH rows of evaluation classes (class, pois, text) and training records (batch_id, pois, text); ``spans``: matched intervals as well."""
+    count = max(1, -(-evaluation.count() // SHARD))
+    placed = evaluation.select("class", "pois", "text", F.pmod(F.xxhash64("class"), F.lit(count)).cast("int").alias("shard"))
+    placed.repartition(count, "shard").write.partitionBy("shard").parquet(scratch.path("shards"))
+    base, block_size = qualified(evaluation.sparkSession, scratch.path("shards")), BLOCK
+    present = [r["shard"] for r in placed.select("shard").distinct().collect()]  # numbers of shards
+
+    def sweep(block: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for n in sorted(present):
+            shard = load(f"{base}/shard={n}", threshold, spans)
+            rows: list[tuple] = [(shard.classes[i], key, a, b, None) for key, pois, text in block for i, a, b in shard.matches(pois, text)]
+            if spans:
+                rows += [(shard.classes[i], None, None, None, [{"start": a, "stop": b} for a, b in found]) for i, found in shard.intervals().items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _MATCH)], schema=_MATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+        for batch in batches:
+            block += zip(*(batch[c].to_pylist() for c in ("batch_id", "pois", "text")))
+            if len(block) >= block_size:
+                yield from sweep(block)
+                block = []
+        if block:
+            yield from sweep(block)
+
+    return training.select("batch_id", "pois", "text").mapInArrow(run, MATCH)
+
+
+def overlaps(batches: DataFrame, threshold: float = THRESHOLD, spans: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """MATCH rows; the evaluation records (class, batch_id, split, source); the classes (class, size).
+
+    A class are the evaluation records with the same poi_ids and the same words in the same order.
     """
-    length = len(" ".join(text))
-    covered, at, end = 0, 0, -2
-    for word in text:
-        if word in shared:
-            covered += len(word) + (1 if end == at - 1 else 0)
-            end = at + len(word)
-        at += len(word) + 1
-    return covered / length if length else 0.0
-
-
-PAIR = "eval_key string, train_key string, poi_overlap double, word_overlap double, coverage double"
-
-
-def class_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Similar pairs of classes (key, pois, words, text) of the two sides, with overlaps and coverage."""
-    spark = evaluation.sparkSession
-    n_eval, n_train = evaluation.count(), training.count()
-    shards = max(1, -(-n_eval // SHARD))
-    blocks = max(1, -(-n_train // BLOCK), min(-(-n_train // 1000), -(-parallelism(spark) // shards)))
-    place = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = evaluation.select("key", "pois", "words", "text", place(shards).alias("shard"), every(blocks).alias("block"))
-    right = training.select("key", "pois", "words", place(blocks).alias("block"), every(shards).alias("shard"))
-
-    def scan(evals: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(evals) and len(trains):
-            shard = Shard(evals["pois"].tolist(), evals["words"].tolist(), threshold)
-            keys, texts = evals["key"].tolist(), evals["text"].tolist()
-            for key, pois, terms in zip(trains["key"], trains["pois"], trains["words"]):
-                for i, a, b in shard.matches(pois, terms):
-                    size_a, size_b = len(shard.pois[i]) + len(pois) - a, len(shard.terms[i]) + len(terms) - b
-                    out.append((keys[i], key, a / size_a, b / size_b, coverage(list(texts[i]), set(terms))))
-        return pd.DataFrame(out, columns=["eval_key", "train_key", "poi_overlap", "word_overlap", "coverage"])
+    scratch = Scratch(batches.sparkSession, "overlap")
+    rows = records(batches)
+    evals = scratch.cut(rows.where("split <> 'train'").withColumn("key", F.unhex(F.md5(F.concat_ws("\x1f", F.concat_ws(" ", F.col("pois").cast("array<string>")), F.concat_ws(" ", "text"))))), "evaluation")
+    classes = evals.groupBy("key").agg(F.first("pois").alias("pois"), F.first("text").alias("text"))
+    classes = scratch.cut(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "classes")
+    found = scratch.cut(scan(classes, rows.where("split = 'train'"), scratch, threshold, spans), "matches")
+    named = evals.select("key", "batch_id", "split", "source").distinct().join(classes.select("key", "class"), "key").drop("key")
+    return found, named, classes.select("class", F.size("text").alias("size"))
 
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, PAIR)
 
+def overlap_found(batches: DataFrame) -> DataFrame:
+    """p1_found (batch_id_a, batch_id_b): pairs of a training and an evaluation batch with both overlaps of at least 0.7, smaller id first.
 
-def overlaps(batches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Pairs (eval_id, train_id, split, source, overlaps, coverage) of batches, and the records they come from."""
-    scratch = Scratch(batches.sparkSession, "overlap")
-    rows = scratch.cut(records(batches), "records")
-    is_train = F.col("split") == "train"
-    one = [F.first("pois").alias("pois"), F.first("words").alias("words"), F.min("text").alias("text")]
-    classes = [scratch.cut(rows.where(side).groupBy("key").agg(*one), name) for side, name in ((~is_train, "evaluation"), (is_train, "training"))]
-    pairs = scratch.cut(class_pairs(*classes, threshold), "pairs")
-    evals = rows.where(~is_train).select(F.col("key").alias("eval_key"), F.col("batch_id").alias("eval_id"), "split", "source")
-    trains = rows.where(is_train).select(F.col("key").alias("train_key"), F.col("batch_id").alias("train_id"))
-    return pairs.join(evals, "eval_key").join(trains, "train_key").drop("eval_key", "train_key"), rows
+    Null splits, poi_ids and questions make no case, nor do batches without
+    poi_ids or words; repeated rows give one pair; an empty table gives none.
+    """
+    found, evals, _ = overlaps(batches)
+    pairs = found.where("train_id IS NOT NULL").join(evals, "class").where("batch_id <> train_id")
+    return pairs.select(F.least("batch_id", "train_id").alias("batch_id_a"), F.greatest("batch_id", "train_id").alias("batch_id_b")).distinct()
 
 
-def overlap_found(batches: DataFrame) -> DataFrame:
-    """p1_found (batch_id_a, batch_id_b): pairs of a training and an evaluation batch with both overlaps of at least 0.7, smaller id first."""
-    pairs, _ = overlaps(batches)
-    return pairs.where("eval_id <> train_id").select(F.least("eval_id", "train_id").alias("batch_id_a"), F.greatest("eval_id", "train_id").alias("batch_id_b")).distinct()
+def covered_words(spans: Column) -> Column:
+    """Words in the union of intervals that may overlap."""
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("sum"))
+    step = lambda acc, s: F.struct(F.greatest(acc["upto"], s["stop"]).alias("upto"), (acc["sum"] + F.greatest(F.lit(0), s["stop"] - F.greatest(acc["upto"], s["start"]))).alias("sum"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["sum"])
 
 
 def overlap_report(batches: DataFrame) -> DataFrame:
-    """p1_report: for each evaluation split and source its batches, those that stand in a training batch, exactly or almost, and their greatest coverage on average."""
-    pairs, rows = overlaps(batches)
-    found = pairs.where("eval_id <> train_id").groupBy("eval_id", "split", "source").agg(F.max("coverage").alias("coverage"), F.max(F.least("poi_overlap", "word_overlap")).alias("best"), F.count("*").alias("n"))
-    found = found.groupBy("split", "source").agg(
-        F.countDistinct("eval_id").alias("n_overlapping"), F.count(F.when(F.col("best") >= 1, 1)).alias("n_exact"), F.sum("n").alias("n_pairs"), F.avg("coverage").alias("mean_coverage")
+    """p1_report: for each evaluation split and source its batches, those that stand in a training batch, exactly or almost, and the mean coverage of all of them.
+
+    Coverage is the share of a batch's words in passages of any training batch;
+    rows that differ in content give a batch its greatest. Null sources have a row of their own.
+    """
+    found, evals, sizes = overlaps(batches, spans=True)
+    spans = found.where("train_id IS NULL").groupBy("class").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # merged for each block of training rows
+    share = F.coalesce(covered_words(F.col("spans")) / F.col("size"), F.lit(0.0))
+    keys = ["split", "source", "batch_id"]
+    per_batch = evals.join(sizes, "class").join(spans, "class", "left").groupBy(*keys).agg(F.max(share).alias("coverage"))
+    pairs = found.where("train_id IS NOT NULL").join(evals, "class").where("batch_id <> train_id")
+    pairs = pairs.groupBy(*keys, "train_id").agg(F.max(F.least("poi_overlap", "word_overlap")).alias("best"))
+    pairs = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.max("best").alias("best"))
+    zero = F.lit(0).cast("long")
+    rows = per_batch.select(*keys, "coverage", zero.alias("n"), F.lit(0.0).alias("best")).unionByName(pairs.select(*keys, F.lit(0.0).alias("coverage"), "n", "best"))
+    rows = rows.groupBy(*keys).agg(F.max("coverage").alias("coverage"), F.max("n").alias("n"), F.max("best").alias("best"))
+    return rows.groupBy("split", "source").agg(
+        F.count("*").alias("n_batches"), F.count_if(F.col("n") > 0).alias("n_overlapping"), F.count_if(F.col("best") >= 1).alias("n_exact"), F.sum("n").alias("n_pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
     )
-    every = rows.where("split <> 'train'").groupBy("split", "source").agg(F.countDistinct("batch_id").alias("n_batches"))
-    joined = every.join(found, every["split"].eqNullSafe(found["split"]) & every["source"].eqNullSafe(found["source"]), "left")
-    zero = lambda c: F.coalesce(found[c], F.lit(0).cast("long")).alias(c)
-    return joined.select(every["split"], every["source"], "n_batches", zero("n_overlapping"), zero("n_exact"), zero("n_pairs"), "mean_coverage")

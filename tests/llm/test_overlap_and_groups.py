@@ -66,18 +66,68 @@ def test_overlaps_in_crowds_shards_and_blocks(tables, monkeypatch):
     assert rows_of(overlap.overlap_found(tables.make(BATCHES, rows))) == brute(rows)
 
 
-def test_report_counts_every_evaluation_batch(tables):
+def ordered(questions):
+    text = " ".join(f for q in questions or [] if q for f in q if f)
+    text = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+    return re.findall(r"[^\W_]+", text)
+
+
+def brute_coverage(rows):
+    """Share of each evaluation batch's words in five words in a row (or a shorter whole text) of a training batch."""
+    texts = {}
+    for r in rows:
+        text, split = ordered(r.get("questions")), (r["split"] or "").strip().lower()
+        if text and any(p is not None for p in r.get("poi_ids") or []):
+            texts[r["batch_id"]] = split, text
+    holds = lambda text, part: any(text[i : i + len(part)] == part for i in range(len(text) - len(part) + 1))
+    training = [t for s, t in texts.values() if s == "train"]
+    out = {}
+    for key, (split, text) in texts.items():
+        if split in ("test", "validation"):
+            seen = set()
+            for i in range(max(1, len(text) - 4)):
+                if any(holds(t, text[i : i + 5]) for t in training):
+                    seen |= set(range(i, min(i + 5, len(text))))
+            out[key] = len(seen) / len(text)
+    return out
+
+
+def test_report_covers_every_evaluation_batch(tables, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARD", 30)
+    monkeypatch.setattr(overlap, "BLOCK", 20)
     rows = make(200, 3)
     report = overlap.overlap_report(tables.make(BATCHES, rows)).collect()
-    pairs = brute(rows)
+    pairs, covered = brute(rows), brute_coverage(rows)
     assert sum(r["n_pairs"] for r in report) == len(pairs)
-    assert all(r["n_overlapping"] <= r["n_batches"] and (r["mean_coverage"] is None or 0 < r["mean_coverage"] <= 1) for r in report)
-
-
-def test_coverage_merges_neighbours():
-    assert overlap.coverage(["a", "bb", "c"], {"a", "bb"}) == 4 / 6
-    assert overlap.coverage(["a", "bb", "c"], {"a", "c"}) == 2 / 6
-    assert overlap.coverage([], set()) == 0
+    assert sum(r["n_batches"] for r in report) == len(covered)
+    total = sum(r["mean_coverage"] * r["n_batches"] for r in report)
+    assert any(0 < c < 1 for c in covered.values()) and abs(total - sum(covered.values())) < 1e-3
+    assert overlap.overlap_report(tables.make(BATCHES)).count() == 0
+
+
+def test_passages_of_words_in_a_row():
+    shard = overlap.Shard([7, 8], [[1, 2, 3], [4]], [["a", "b", "c", "d", "e", "f", "g"], ["x", "y"]], 0.7, spans=True)
+    assert shard.matches([1, 2], "u a b c d e v y x".split()) == []
+    assert shard.intervals() == {0: [(0, 5)]}
+    # the same words in another order are no passage, but as similar
+    assert shard.matches([1, 2, 3], "g f e d c b a".split()) == [(0, 1.0, 1.0)]
+    assert shard.intervals() == {}
+    shard.matches([4], "x y c d e f g".split())
+    assert shard.intervals() == {0: [(2, 7)], 1: [(0, 2)]}
+
+
+def test_neighbouring_ids_lose_no_pair():
+    rng = random.Random(6)
+    for _ in range(3000):
+        a = set(rng.sample(range(60), rng.randint(1, 25)))
+        b = {x for x in a if rng.random() > 0.2} | set(rng.sample(range(60), rng.randint(0, 6)))
+        if b and jaccard(a, b) >= 0.7:
+            assert set(overlap.runs(sorted(a), 2)) & set(overlap.runs(sorted(b), 2)), (a, b)
+
+
+def test_overlapping_intervals_merge():
+    assert overlap.merged([(3, 8), (0, 5), (9, 12), (12, 13)]) == [(0, 8), (9, 13)]
+    assert overlap.merged([]) == []
 
 
 def closure(rows):
