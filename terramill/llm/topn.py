@@ -2,14 +2,16 @@
 
 Every task sorts its entries in bounded chunks into runs, ordered by group and
 score, and stores of each run and group only the first N distinct items: an
-item among a group's first N is among the first N of its run. Runs are bucketed
-by group. The runs of a bucket are merged by a loser tree; after N outputs of a
-group all runs seek to their next group by binary search.
-
-Scale: one shuffle, of pruned runs. A group of any size comes out of a run with
-N entries, so a group with a third of all rows needs no more room in a bucket
-than N entries per run; buckets are merged in two passes, first salted by run,
-so that no task merges more than its share of the runs.
+item among a group's first N is among the first N of its run. Runs are exchanged
+by group and stream through a loser tree, group by group: the tree merges the
+slices that the runs have of a group, and after N outputs all of them seek to the
+next group. At most FAN_IN runs are merged at once; more of them are merged in
+passes, FAN_IN to one, until that few are left.
+
+Scale: shuffles are of pruned runs only. The number of partitions follows the
+number of their rows, the number of passes that of the runs. A task holds one
+batch of rows and one group's slices, FAN_IN times N entries at most, however
+large the group: one with a third of all rows has N entries in each run.
 """
 
 from __future__ import annotations
@@ -18,18 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terramill.functions.text import fold_category
-from terramill.session import Scratch, parallelism
+from terramill.session import Scratch
 
 #: Entries sorted at once into a run.
 RUN = 1 << 18
-#: Runs of a bucket merged by one task of the first pass, on average.
+#: Runs merged at once.
 FAN_IN = 16
+#: Entries of a partition of runs, about.
+PART = 500_000
 NO_RANK = (1 << 31) - 1
 ENTRY = "category_query string, anchor_index long, poi_id long, dist double, rank int"
+ENTRY_COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
+RUNS = ENTRY + ", run long"
+MERGED = RUNS + ", target long"
+#: A group as far as one merge goes: ``target`` is the run that comes out.
+GROUP = ["category_query", "anchor_index", "target"]
 KEYS = ["category_query", "anchor_index", "dist", "rank", "poi_id"]
 
 
@@ -84,11 +93,7 @@ class LoserTree:
 
     def replace(self, key) -> None:
         """The winner's source goes on to ``key``; only the matches on its path are played again."""
-        self.update(self.winner, key)
-
-    def update(self, source: int, key) -> None:
-        if source != self.winner:
-            raise ValueError("only the winner's path can be replayed")
+        source = self.winner
         self.keys[source] = key
         node, best, keys, losers = (source + self.size) >> 1, source, self.keys, self.losers
         while node:
@@ -100,44 +105,66 @@ class LoserTree:
         self.winner = best
 
 
-def merge_runs(frame: pd.DataFrame, n: int) -> pd.DataFrame:
-    """First ``n`` distinct items of every group of the runs (column ``run``) in the frame."""
-    category, _ = pd.factorize(frame["category_query"], sort=True)
-    anchor, dist, rank, poi, run = (frame[c].to_numpy() for c in [*KEYS[1:], "run"])
-    order = np.lexsort((poi, rank, dist, anchor, category, run))  # stored order, whatever the shuffle made of it
-    bounds = np.flatnonzero(np.r_[True, np.diff(run[order]) != 0, True]) if len(order) else np.zeros(1, int)
-    if len(bounds) == 2:  # one run is merged already
-        return frame
-    columns = [v[order].tolist() for v in (category, anchor, dist, rank, poi)]
-    key = list(zip(*columns))
-    # where the next group of the same run starts: the seek of every position
-    c, a, r = category[order], anchor[order], run[order]
-    change = np.flatnonzero(np.r_[(c[1:] != c[:-1]) | (a[1:] != a[:-1]) | (r[1:] != r[:-1]), True]) + 1
-    seek = change[np.searchsorted(change, np.arange(len(order)), side="right")].tolist() if len(order) else []
-    ends = bounds[1:].tolist()
-    at = bounds[:-1].tolist()
-    tree = LoserTree([key[i] for i in at])
-    kept: list[int] = []
-    group, taken, seen = None, 0, set()
-    while True:
+def merge_slices(bounds: list[int], scores: list[tuple], n: int, fan_in: int) -> list[int]:
+    """Positions of the first ``n`` distinct items of one group. Slice i is from bounds[i] to bounds[i + 1], sorted; a score ends with the item."""
+    at, ends = bounds[:-1], bounds[1:]
+    if len(at) > fan_in:
+        raise ValueError(f"{len(at)} runs at once")
+    tree = LoserTree([scores[i] for i in at])
+    at, kept, seen = list(at), [], set()
+    while len(kept) < n and (top := tree.keys[tree.winner]) is not None:
         source = tree.winner
-        top = tree.keys[source]
-        if top is None:
-            break
-        i = at[source]
-        if top[:2] != group:
-            group, taken, seen = top[:2], 0, set()
-        if taken < n:
-            if top[4] not in seen:
-                seen.add(top[4])
-                kept.append(i)
-                taken += 1
-            i += 1
-        else:
-            i = seek[i]
-        at[source] = i
-        tree.replace(key[i] if i < ends[source] else None)
-    return frame.iloc[order[kept]]
+        if top[-1] not in seen:
+            seen.add(top[-1])
+            kept.append(at[source])
+        at[source] += 1
+        tree.replace(scores[at[source]] if at[source] < ends[source] else None)
+    return kept
+
+
+def _differ(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Row by row, or against one row, whether the groups differ."""
+    out = np.zeros(len(left), bool)
+    for c in GROUP:
+        out |= left[c].to_numpy() != right[c].to_numpy()
+    return out
+
+
+def merge_groups(frame: pd.DataFrame, n: int, fan_in: int) -> pd.DataFrame:
+    """First ``n`` distinct items of every group of a frame of whole groups, ordered by group, run and score."""
+    if not len(frame):
+        return frame
+    group = np.r_[True, _differ(frame.iloc[1:], frame.iloc[:-1])]
+    run = frame["run"].to_numpy()
+    part = group.copy()
+    part[1:] |= run[1:] != run[:-1]
+    starts, parts = np.flatnonzero(np.r_[group, True]), np.flatnonzero(np.r_[part, True])
+    first = np.searchsorted(parts, starts)  # number of the group's first slice
+    keep, order = np.ones(len(frame), bool), np.arange(len(frame))
+    several = np.flatnonzero(np.diff(first) > 1)  # a single slice is a run's first n already
+    if len(several):
+        scores = list(zip(*(frame[c].tolist() for c in ("dist", "rank", "poi_id"))))
+        bounds = parts.tolist()
+        for g in several.tolist():
+            kept = merge_slices(bounds[first[g] : first[g + 1] + 1], scores, n, fan_in)
+            keep[starts[g] + len(kept) : starts[g + 1]] = False
+            order[starts[g] : starts[g] + len(kept)] = kept
+    return frame.iloc[order[keep]]
+
+
+def merge_runs(frames: Iterator[pd.DataFrame], n: int, fan_in: int) -> Iterator[pd.DataFrame]:
+    """The same for a stream of frames whose groups may go on in the next one."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        whole = len(frame) - int((~_differ(frame, frame.iloc[-1:])).sum())
+        held = frame.iloc[whole:]
+        if whole:
+            yield merge_groups(frame.iloc[:whole], n, fan_in)
+    if held is not None:
+        yield merge_groups(held, n, fan_in)
 
 
 def top_n(rows: DataFrame, n: int = 5) -> DataFrame:
@@ -148,38 +175,39 @@ def top_n(rows: DataFrame, n: int = 5) -> DataFrame:
     with fewer items are kept whole; an empty input gives no rows.
     """
     spark = rows.sparkSession
-    buckets = parallelism(spark)
+    size, fan_in = RUN, FAN_IN
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, count = TaskContext.get().partitionId(), 0
         held: list[pd.DataFrame] = []
-        size = 0
+        n_held = 0
         for frame in frames:
             held.append(frame)
-            size += len(frame)
-            if size >= RUN:
-                yield sort_run(pd.concat(held, ignore_index=True), n).assign(run=(part << 24) + count)
-                held, size, count = [], 0, count + 1
-        if size:
-            yield sort_run(pd.concat(held, ignore_index=True), n).assign(run=(part << 24) + count)
+            n_held += len(frame)
+            if n_held >= size:
+                yield sort_run(pd.concat(held, ignore_index=True), n).assign(run=(part << 32) + count)
+                held, n_held, count = [], 0, count + 1
+        if n_held:
+            yield sort_run(pd.concat(held, ignore_index=True), n).assign(run=(part << 32) + count)
 
     scratch = Scratch(spark, "runs")
-    runs = rows.select(*ENTRY_COLUMNS).mapInPandas(make, ENTRY + ", run long")
-    runs = runs.withColumn("bucket", F.pmod(F.xxhash64("category_query", "anchor_index"), F.lit(buckets)).cast("int"))
-    runs = scratch.cut(runs, "runs")
-    salts = max(1, -(-runs.rdd.getNumPartitions() // FAN_IN))
-    merged = ENTRY + ", run long, bucket int"
-    merge = lambda frame: merge_runs(frame, n)
-    if salts > 1:
-        runs = runs.withColumn("salt", F.pmod(F.xxhash64("run"), F.lit(salts)))
-        first = runs.groupBy("bucket", "salt").applyInPandas(lambda f: merge(f).assign(run=f["salt"].iloc[0] if len(f) else 0).drop(columns="salt"), merged)
-        runs = scratch.cut(first, "merged")
-    return runs.groupBy("bucket").applyInPandas(merge, merged).drop("run", "bucket")
-
-
-ENTRY_COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
+    runs = scratch.cut(rows.select(*ENTRY_COLUMNS).mapInPandas(make, RUNS), "runs")
+    names = runs.groupBy("run").agg(F.count("*").alias("n_rows"))
+    names = scratch.cut(names.select("run", "n_rows", (F.row_number().over(Window.orderBy("run")) - 1).cast("long").alias("number")), "names")  # a row for each run
+    left, total = names.agg(F.count("*"), F.sum("n_rows")).first()
+    runs = runs.join(names.select("run", "number"), "run").select(*ENTRY_COLUMNS, F.col("number").alias("run"))
+    parts, turn = max(1, -(-(total or 0) // PART)), 0
+    while True:
+        last = left <= fan_in
+        target = F.lit(0).cast("long") if last else F.floor(F.col("run") / fan_in).cast("long")
+        placed = runs.withColumn("target", target).repartition(parts, *GROUP).sortWithinPartitions(*GROUP, "run", "dist", "rank", "poi_id")
+        merged = placed.mapInPandas(lambda frames: merge_runs(frames, n, fan_in), MERGED)
+        if last:
+            return merged.select(*ENTRY_COLUMNS)
+        runs = scratch.cut(merged.select(*ENTRY_COLUMNS, F.col("target").alias("run")), f"merged{turn}")
+        left, turn = -(-left // fan_in), turn + 1
 
 
 def topn_found(benchmark: DataFrame, n: int = 5) -> DataFrame:

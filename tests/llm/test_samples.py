@@ -5,6 +5,7 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import BENCHMARK, CONFIG, OSM, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,11 +51,11 @@ def test_top_n(tables):
     assert topn.topn_found(tables.make(BENCHMARK)).count() == 0
 
 
-def test_top_n_of_many_small_runs_in_two_passes(tables, monkeypatch):
-    monkeypatch.setattr(topn, "RUN", 7)
-    monkeypatch.setattr(topn, "FAN_IN", 1)
-    rows = answers(300, 6)
-    assert rows_of(topn.topn_found(tables.make(BENCHMARK, rows).repartition(3))) == best(rows)
+def test_top_n_of_a_hundred_runs_merges_few_at_once(tables, monkeypatch):
+    monkeypatch.setattr(topn, "RUN", 20)
+    monkeypatch.setattr(topn, "FAN_IN", 4)  # more at once would raise
+    rows = answers(600, 6) + [{"question_id": 9000 + i, "category_query": "hot", "anchor_index": 1, "results_poi_id": [i % 50, i], "results_poi_dist": [float(i % 7), 3.0], "results_poi_rank": [1, 2]} for i in range(900)]
+    assert rows_of(topn.topn_found(tables.make(BENCHMARK, rows).repartition(12))) == best(rows)
 
 
 @settings(max_examples=60, deadline=None)
@@ -72,11 +73,17 @@ def test_loser_tree_sorts(lists):
     assert out == sorted(x for s in sources for x in s)
 
 
+def runs_of(rows):
+    return pd.DataFrame(sorted(rows, key=lambda r: (r[0], r[1], r[6], r[5], r[3], r[4], r[2])), columns=["category_query", "anchor_index", "poi_id", "dist", "rank", "run", "target"])
+
+
 def test_merge_seeks_to_the_next_group():
-    rows = [("a", 1, p, float(p), 1, run) for run in range(3) for p in range(run, 90, 3)] + [("b", 1, 7, 1.0, 1, 2)]
-    frame = pd.DataFrame(rows, columns=["category_query", "anchor_index", "poi_id", "dist", "rank", "run"])
-    merged = topn.merge_runs(frame, 5)
-    assert merged["poi_id"].tolist() == [0, 1, 2, 3, 4, 7]
+    frame = runs_of([("a", 1, p, float(p), 1, run, 0) for run in range(3) for p in range(run, 90, 3)] + [("b", 1, 7, 1.0, 1, 2, 0)])
+    for size in (1, 2, 7, 200):  # groups go on from one frame of a stream to the next
+        merged = pd.concat(topn.merge_runs((frame.iloc[i : i + size] for i in range(0, len(frame), size)), 5, 3))
+        assert merged["poi_id"].tolist() == [0, 1, 2, 3, 4, 7]
+    with pytest.raises(ValueError):
+        topn.merge_groups(frame, 5, 2)
 
 
 def population(tables, clash=False):
