@@ -75,6 +75,21 @@ def runs(tokens: list, size: int) -> list[tuple]:
     return [tuple(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))]
 
 
+#: Stands for any token that a shard doesn't have.
+OTHER = "\0"
+#: Branches of the automaton's nodes at most, but for the first characters of codes.
+BRANCHES = 32
+
+
+def token_codes(tokens: list) -> dict:
+    """A code of few different characters for each token; all have one length, and first characters that stand nowhere else, so that matches begin and end with tokens."""
+    width = 1
+    while BRANCHES**width < len(tokens):
+        width += 1
+    digit = lambda n, k: chr(0x100 * (k + 1) + n // BRANCHES**k % BRANCHES)
+    return {t: "".join(digit(n, k) for k in reversed(range(width))) for n, t in enumerate(tokens)}
+
+
 class Shard:
     """Evaluation classes with the automaton of their passages; ``spans``: with those of words."""
 
@@ -82,31 +97,28 @@ class Shard:
         if threshold <= 0.5:
             raise ValueError("records that share no neighbours can be as similar as that")
         self.threshold, self.classes = threshold, classes
-        self.ids: dict[int | str, int] = {}  # 0 is any token that the shard doesn't have
-        number = lambda t: self.ids.setdefault(t, len(self.ids) + 1)
-        rows = [[number(p) for p in row] for row in pois]
-        spoken = [[number(w) for w in row] for row in texts]
-        self.pois, self.terms = [frozenset(r) for r in rows], [frozenset(r) for r in spoken]
-        self.sizes = [len(r) for r in spoken]
+        self.pois, self.terms = [frozenset(r) for r in pois], [frozenset(r) for r in texts]
+        self.sizes = [len(r) for r in texts]
         self.used = Counter(t for row in self.terms for t in row)
-        self.holders: dict[tuple, list[int]] = defaultdict(list)
-        for i, row in enumerate(rows):
+        self.codes = token_codes([*dict.fromkeys(t for rows in (pois, texts if spans else ()) for row in rows for t in row)])
+        self.holders: dict[str, list[int]] = defaultdict(list)
+        for i, row in enumerate(pois):
             for passage in runs(row, 2):
-                self.holders[passage].append(i)
-        self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+                self.holders[self.coded(passage)].append(i)
+        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         if spans:
-            for i, row in enumerate(spoken):
+            for i, row in enumerate(texts):
                 for at, passage in enumerate(runs(row, PASSAGE)):
-                    self.places[passage].append((i, at))
+                    self.places[self.coded(passage)].append((i, at))
         self.spans = spans
         self.passages = [*self.holders, *self.places]
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for at, passage in enumerate(self.passages):
             self.automaton.add_word(passage, at)
         if self.passages:
             self.automaton.make_automaton()
         self.hit = bytearray(len(self.passages))
-        self.crowds: dict[tuple, dict[int, list[int]]] = {}
+        self.crowds: dict[str, dict[str, list[int]]] = {}
         for passage, members in self.holders.items():
             if len(members) > CROWD:
                 crowd = self.crowds[passage] = defaultdict(list)
@@ -114,20 +126,21 @@ class Shard:
                     for w in self.rarest(self.terms[i], len(self.terms[i])):
                         crowd[w].append(i)
 
-    def rarest(self, found, size: int) -> list[int]:
+    def coded(self, tokens) -> str:
+        return "".join([self.codes.get(t, OTHER) for t in tokens])
+
+    def rarest(self, found, size: int) -> list[str]:
         """The found members among the first of a set's rare-first order; members that no record of the shard has come before them."""
         first = size - needed(size, self.threshold) + 1 - (size - len(found))
         return sorted(found, key=lambda t: (self.used[t], t))[: max(0, first)]
 
     def matches(self, pois: list[int], text: list[str]) -> list[tuple[int, float, float]]:
         """(record, overlap of poi_ids, overlap of words) of every record similar to a training record; the passages it matches are noted in ``hit``."""
-        get = self.ids.get
-        row, spoken = [get(p, 0) for p in pois], [get(w, 0) for w in text]
-        own_pois, own_terms, n_terms = {*row} - {0}, {*spoken} - {0}, len(set(text))
+        own_pois, own_terms = set(pois), set(text)
         candidates: set[int] = set()
         rare = None
         if self.passages:
-            for _, at in self.automaton.iter((*row, 0, *spoken) if self.spans else tuple(row)):
+            for _, at in self.automaton.iter(self.coded(pois) + OTHER + self.coded(text) if self.spans else self.coded(pois)):
                 passage = self.passages[at]
                 self.hit[at] = 1
                 members = self.holders.get(passage)
@@ -137,14 +150,14 @@ class Shard:
                 if crowd is None:
                     candidates.update(members)
                 else:
-                    rare = self.rarest(own_terms, n_terms) if rare is None else rare
+                    rare = self.rarest([w for w in own_terms if w in self.used], len(own_terms)) if rare is None else rare
                     for w in rare:
                         candidates.update(crowd.get(w, ()))
         out = []
         limit = self.threshold - 1e-12
         for i in candidates:
             a, b = len(self.pois[i] & own_pois), len(self.terms[i] & own_terms)
-            size_a, size_b = len(self.pois[i]) + len(pois) - a, len(self.terms[i]) + n_terms - b
+            size_a, size_b = len(self.pois[i]) + len(pois) - a, len(self.terms[i]) + len(own_terms) - b
             if a >= limit * size_a and b >= limit * size_b:
                 out.append((i, a / size_a, b / size_b))
         return out
