@@ -72,11 +72,21 @@ def shape(token: str) -> str:
     return DIGIT.sub("0", token)
 
 
+@lru_cache(1 << 16)
 def token_class(token: str) -> str:
     first = token[:1]
     return "number" if any(c.isdigit() for c in token) else "upper" if first.isupper() else "lower" if first.isalpha() else "other"
 
 
+@lru_cache(1 << 16)
+def is_money(token: str) -> bool:
+    return unicodedata.category(token[-1:] or " ") == "Sc"
+
+
+def untagged(text: str) -> str:
+    return TAG.sub(" ", text) if "<" in text else text
+
+
 def bare(fragment: str) -> str:
     """A fragment without blanks around it and without emoji before it."""
     fragment = fragment.strip()
@@ -86,13 +96,25 @@ def bare(fragment: str) -> str:
     return fragment[at:]
 
 
+class Parsed:
+    """A text without entities, in fragments and lines."""
+
+    __slots__ = ("clean", "pieces", "lines", "sentences")
+
+    def __init__(self, text: str):
+        self.clean = html.unescape(text)
+        self.pieces = [bare(p) for p in BREAK.split(self.clean) if p and not p.isspace()]
+        self.lines = LINE.split(self.clean)
+        self.sentences = SENTENCE.search(self.clean) is not None
+
+
 class Ending:
     """What the end of one text shows; ``state`` is finished, cut or open."""
 
     __slots__ = ("state", "fragment", "word", "before", "prose", "marked")
 
-    def __init__(self, text: str):
-        raw = text.rstrip().rstrip("​﻿")
+    def __init__(self, text: str, parsed: Parsed | None = None):
+        raw = text.rstrip().rstrip("\u200b\ufeff")
         self.fragment, self.word, self.before, self.prose, self.marked = "", "", "", True, False
         if not raw:
             self.state = "finished"
@@ -100,15 +122,15 @@ class Ending:
         if BROKEN.search(raw) and not re.search(r"(?:^|\s)&$", raw):
             self.state = "cut"
             return
-        clean = html.unescape(raw)
-        plain = TAG.sub(" ", clean).rstrip()
-        pieces = [p for p in BREAK.split(clean) if p.strip()]
-        self.fragment = bare(pieces[-1]) if pieces else ""
-        lines = [x for x in LINE.split(clean) if x.strip()]
-        tokens = TAG.sub(" ", lines[-1]).split() if lines else []
+        parsed = Parsed(raw) if parsed is None or raw != text else parsed
+        clean = parsed.clean
+        plain = untagged(clean).rstrip()
+        self.fragment = parsed.pieces[-1] if parsed.pieces else ""
+        line = next((x for x in reversed(parsed.lines) if x and not x.isspace()), "")
+        tokens = untagged(line).split()
         self.word = tokens[-1] if tokens else ""
         self.before = tokens[-2] if len(tokens) > 1 else ""
-        self.prose = bool(SENTENCE.search(clean)) and not self._tabular(lines[-1] if lines else "")
+        self.prose = parsed.sentences and not self._tabular(line)
         if OMISSION.search(clean):
             self.marked, self.state = True, "open"
         elif FINISHED.search(plain) or re.search(r"</[a-zA-Z0-9]+>$", raw) or (plain and is_emoji(plain[-1])):
@@ -118,26 +140,36 @@ class Ending:
 
     def _tabular(self, line: str) -> bool:
         """A last line that ends in a number or currency, as addresses, hours and menus do, is judged as a list."""
-        return bool(self.word) and (any(c.isdigit() for c in self.word) or unicodedata.category(self.word[-1]) == "Sc")
+        return bool(self.word) and (token_class(self.word) == "number" or is_money(self.word))
+
+
+@lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-def word_hashes(text: str) -> list[int]:
-    """Hashes of the five-word shingles of the folded words; of all words together if they are fewer; none without words."""
-    found = WORD.findall(html.unescape(TAG.sub(" ", text)).lower())
-    if not found:
-        return []
-    if len(found) < SHINGLE:
-        return [xxhash.xxh3_64_intdigest(" ".join(found))]
-    return list({xxhash.xxh3_64_intdigest(" ".join(found[i : i + SHINGLE])) for i in range(len(found) - SHINGLE + 1)})
+_BASE = np.array([pow(0x9E3779B97F4A7C15, SHINGLE - i, 1 << 64) for i in range(SHINGLE)], np.uint64)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Distinct hashes of the five-word shingles of the folded words; of all words together if they are fewer; none without words."""
+    found = np.array([_hash(w) for w in WORD.findall(html.unescape(untagged(text)).lower())], np.uint64)
+    if not len(found):
+        return found
+    size = max(1, len(found) - SHINGLE + 1)
+    out = np.zeros(size, np.uint64)
+    for i in range(min(SHINGLE, len(found))):
+        out += found[i : i + size] * _BASE[i]
+    return np.unique(out ^ (out >> np.uint64(31)))
 
 
 #: Odd multipliers: a product's order modulo 2**64 has nothing left of the order of the hashes.
 _FACTORS = np.random.default_rng(20240601).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(hashes: list[list[int]]) -> np.ndarray:
+def bands(hashes: list[np.ndarray]) -> np.ndarray:
     """For each set of hashes (none empty) one key for each band of its min-hash signature; keys of different bands differ."""
-    flat = np.array([h for row in hashes for h in row], np.uint64)
+    flat = np.concatenate(hashes)
     starts = np.cumsum([0, *map(len, hashes[:-1])])
     keys = np.zeros((len(hashes), BANDS), np.uint64)
     for i, factor in enumerate(_FACTORS):
@@ -147,10 +179,9 @@ def bands(hashes: list[list[int]]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similarity(a: list[int], b: list[int]) -> float:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Share of the smaller set's members that the other has: a cut copy lacks what was cut, so the Jaccard index would be too strict."""
-    x, y = set(a), set(b)
-    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b)) if len(a) and len(b) else 0.0
 
 
 def ends_early(short: str, long: str) -> bool:
@@ -218,40 +249,60 @@ def brief(fragment: str) -> bool:
     return len(fragment.split(None, SHINGLE)) < SHINGLE
 
 
-def tally(text: str, copies: int, n: Counter, ends: Counter) -> None:
-    """Counts of one text: beginnings of fragments (s:) and closing fragments (f:); outside prose, words (w:), pairs of words (p:) and followers (b:).
+class Counts:
+    """Counts of texts: beginnings of fragments (s:) and closing fragments (f:); outside prose, words (w:), pairs of words (p:) and followers (b:).
 
     A text that is but one brief fragment counts as often as it occurs, all others once.
     """
-    clean = html.unescape(text)
-    pieces = [bare(p) for p in BREAK.split(clean) if p.strip()]
-    times = copies if len(pieces) == 1 and brief(pieces[0]) else 1
-    for piece in pieces:
-        for name in fragment_names(piece):
-            n[name] += times
-    if pieces:
-        n[closing_name(pieces[-1])] += times
-    prose = bool(SENTENCE.search(clean))
-    for line in LINE.split(clean):
-        tokens = TAG.sub(" ", line).split()
-        for i, token in enumerate(tokens):
-            kind = token_class(token)
-            last = i == len(tokens) - 1
-            money = unicodedata.category(token[-1]) == "Sc"
-            if prose and kind != "number" and not money:
-                continue
-            word = shape(token) if kind == "number" else token
-            n[f"w:{word}"] += 1
-            ends[f"w:{word}"] += last
-            if i and not prose:
-                n[f"p:{tokens[i - 1]} {word}"] += 1
-                n[f"b:{tokens[i - 1]}\t{kind}"] += 1
-                ends[f"b:{tokens[i - 1]}\t{kind}"] += last
+
+    def __init__(self):
+        self.begun: list[Counter] = []
+        self.closed, self.words, self.pairs, self.after, self.word_ends, self.after_ends = (Counter() for _ in range(6))
+
+    def __len__(self) -> int:
+        return sum(map(len, (*self.begun, self.closed, self.words, self.pairs, self.after)))
+
+    def add(self, parsed: Parsed, copies: int) -> None:
+        pieces = parsed.pieces
+        times = copies if len(pieces) == 1 and brief(pieces[0]) else 1
+        for piece in pieces:
+            for i in range(len(piece).bit_length()):
+                if i == len(self.begun):
+                    self.begun.append(Counter())
+                self.begun[i][piece[: 1 << i]] += times
+        if pieces:
+            self.closed[pieces[-1]] += times
+        prose = parsed.sentences
+        for line in parsed.lines:
+            tokens = untagged(line).split()
+            last = len(tokens) - 1
+            for i, token in enumerate(tokens):
+                kind = token_class(token)
+                if prose and kind != "number" and not is_money(token):
+                    continue
+                word = shape(token) if kind == "number" else token
+                self.words[word] += 1
+                if i == last:
+                    self.word_ends[word] += 1
+                if i and not prose:
+                    self.pairs[tokens[i - 1], word] += 1
+                    self.after[tokens[i - 1], kind] += 1
+                    if i == last:
+                        self.after_ends[tokens[i - 1], kind] += 1
+
+    def rows(self) -> tuple[list[str], list[int], list[int]]:
+        """Names, numbers, numbers of ends."""
+        out = [(f"s:{i}:{xxhash.xxh3_64_hexdigest(k)}", v, 0) for i, counter in enumerate(self.begun) for k, v in counter.items()]
+        out += [(closing_name(k), v, 0) for k, v in self.closed.items()]
+        out += [(f"w:{k}", v, self.word_ends[k]) for k, v in self.words.items()]
+        out += [(f"p:{a} {b}", v, 0) for (a, b), v in self.pairs.items()]
+        out += [(f"b:{a}\t{b}", v, self.after_ends[a, b]) for (a, b), v in self.after.items()]
+        return tuple(map(list, zip(*out))) if out else ([], [], [])
 
 
 def is_list_like(e: Ending) -> bool:
     """Whether an ending is judged by its last word: in lists, and where it is a number or an amount."""
-    return bool(e.word) and (not e.prose or token_class(e.word) == "number" or unicodedata.category(e.word[-1]) == "Sc")
+    return bool(e.word) and (not e.prose or token_class(e.word) == "number" or is_money(e.word))
 
 
 def asked_names(fragment: str, word: str, before: str, listed: bool) -> list[str]:
@@ -282,13 +333,13 @@ def _rows(**columns: list) -> pa.RecordBatch:
 
 def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over texts (key, text, copies): their endings, signatures and closing words, and the counts."""
-    n: Counter = Counter()
-    ends: Counter = Counter()
+    counts = Counts()
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in _READ if f.name not in ("name", "n", "n_end")}
-        shingles: list[list[int]] = []
+        shingles: list[np.ndarray] = []
         for key, text, copies in zip(*(batch[c].to_pylist() for c in ("key", "text", "copies"))):
-            e = Ending(text)
+            parsed = Parsed(text)
+            e = Ending(text, parsed)
             listed = is_list_like(e)
             word = shape(e.word) if token_class(e.word) == "number" else e.word
             is_open = e.state == "open"
@@ -297,19 +348,18 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["asked"].append(last_words(text) if is_open else [])
             out["names"].append(asked_names(e.fragment, word, e.before, listed) if is_open else [])
             shingles.append(word_hashes(text))
-            tally(text, copies, n, ends)
-            if len(n) > 500_000:  # pre-aggregated so far; a bound of memory only
-                yield _rows(name=list(n), n=list(n.values()), n_end=[ends[k] for k in n])
-                n.clear()
-                ends.clear()
+            counts.add(parsed, copies)
         if shingles:
-            live = [i for i, h in enumerate(shingles) if h]
+            live = [i for i, h in enumerate(shingles) if len(h)]
             keys = iter(bands([shingles[i] for i in live]).tolist() if live else [])
-            out["bands"] = [next(keys) if h else [] for h in shingles]
+            out["bands"] = [next(keys) if len(h) else [] for h in shingles]
             out["asked"] = [[{"gram": g, "word": w} for g, w in row] for row in out["asked"]]
             yield _rows(**out)
-    if n:
-        yield _rows(name=list(n), n=list(n.values()), n_end=[ends[k] for k in n])
+        if len(counts) > 500_000:  # pre-aggregated so far; a bound of memory only
+            yield _rows(**dict(zip(("name", "n", "n_end"), counts.rows())))
+            counts = Counts()
+    if len(counts):
+        yield _rows(**dict(zip(("name", "n", "n_end"), counts.rows())))
 
 
 GOES = "other long, gram long, next string, inline boolean"
@@ -387,7 +437,7 @@ def judge(state: str, prose: bool, marked: bool, fragment: str, word: str, befor
     kind = token_class(word)
     n, ends = count(f"w:{word}")
     family = count(f"x:{word}")[0]
-    if kind == "number" or (word and unicodedata.category(word[-1]) == "Sc"):
+    if kind == "number" or (word and is_money(word)):
         return ends <= 1 or ends - 1 < NUMBER_SHARE * family
     if prose:
         return True
