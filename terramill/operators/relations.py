@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from terramill.functions import geometry as G
 from terramill.operators.proximity import Hierarchy
-from terramill.operators.search import radius_join, ranked_search, top
+from terramill.operators.search import level_of, meet, radius_join, ranked_search, top
 
 K = 100
 HALF_WIDTH = 70.0
@@ -48,11 +48,15 @@ def cardinal_center(direction: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for item in G.CARDINAL.items() for v in item]), direction)
 
 
+def sector_share(half_width: float) -> float:
+    return min(1.0, max(half_width, 1.0) / 180)
+
+
 def near_cardinal(asked: DataFrame, places: DataFrame, k: int = K, half_width: float = HALF_WIDTH) -> DataFrame:
     """asked: question_id, category, x, y, anchor_index, direction; a place at the anchor is to its north."""
     asked = asked.withColumn("center", cardinal_center(F.col("direction"))).where("center IS NOT NULL")
     angle = G.azimuth(F.col("px") - F.col("x"), F.col("py") - F.col("y"))
-    return ranked_search(asked, places, ["question_id"], k, match=not_anchor("anchor_index") & G.in_sector(angle, F.col("center"), half_width))
+    return ranked_search(asked, places, ["question_id"], k, match=not_anchor("anchor_index") & G.in_sector(angle, F.col("center"), half_width), share=sector_share(half_width))
 
 
 def towards(asked: DataFrame, places: DataFrame, k: int = K, half_width: float = HALF_WIDTH) -> DataFrame:
@@ -60,7 +64,7 @@ def towards(asked: DataFrame, places: DataFrame, k: int = K, half_width: float =
     center = G.azimuth(F.col("bx") - F.col("x"), F.col("by") - F.col("y"))
     asked = asked.withColumn("center", center).where("center IS NOT NULL")
     angle = G.azimuth(F.col("px") - F.col("x"), F.col("py") - F.col("y"))
-    return ranked_search(asked, places, ["question_id"], k, match=not_anchor("anchor_index", "point_b_index") & G.in_sector(angle, F.col("center"), half_width))
+    return ranked_search(asked, places, ["question_id"], k, match=not_anchor("anchor_index", "point_b_index") & G.in_sector(angle, F.col("center"), half_width), share=sector_share(half_width))
 
 
 def between(asked: DataFrame, places: DataFrame, k: int = K, corridor: float = CORRIDOR) -> DataFrame:
@@ -70,8 +74,11 @@ def between(asked: DataFrame, places: DataFrame, k: int = K, corridor: float = C
     from A. A and B at one place have nothing between them.
     """
     ax, ay, abx, aby = F.col("ax"), F.col("ay"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    asked = asked.withColumnsRenamed({"x": "ax", "y": "ay"}).withColumns({"x": (ax + F.col("bx")) / 2, "y": (ay + F.col("by")) / 2, "ab": F.sqrt(abx * abx + aby * aby)})
-    met = radius_join(asked, places, F.col("ab") / 2 + corridor + 1.0).where(not_anchor("anchor_index", "point_b_index"))
+    asked = asked.withColumnsRenamed({"x": "ax", "y": "ay"}).withColumn("ab", F.sqrt(abx * abx + aby * aby)).where("ab > 0")
+    # cells that the corridor touches; wider ones for far ends, so that they stay few
+    asked = asked.withColumn("level", level_of(F.greatest(F.lit(corridor), F.col("ab") / 16)))
+    covered = _cells_of(asked, F.pow(F.lit(2.0), F.col("level")), corridor + 1.0)
+    met = meet(covered, places, asked.select("category", "level").distinct()).where(not_anchor("anchor_index", "point_b_index"))
     dx, dy = F.col("px") - ax, F.col("py") - ay
     met = met.withColumns({"along": F.try_divide(dx * abx + dy * aby, F.col("ab")), "dist": F.try_divide(F.abs(dx * aby - dy * abx), F.col("ab"))})
     met = met.where(F.col("along").between(F.lit(0.0), F.col("ab")) & (F.col("dist") <= corridor))
@@ -82,17 +89,26 @@ AREA_KEYS = ["area_id", "category"]
 
 
 def _framed(asked: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
-    """Asked (key, category) with the shape's segments, its middle (x, y) and half its diagonal."""
+    """Asked (key, category) with the shape's box, its middle (x, y) and half its diagonal; the segments stay where they are."""
     b = F.col("bounds")
     w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
-    shapes = shapes.select(key, "segments", ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y"), (F.sqrt(w * w + h * h) / 2).alias("half"))
+    shapes = shapes.select(key, *[b[c].alias(f"box_{c}") for c in ("x0", "y0", "x1", "y1")], ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y"), (F.sqrt(w * w + h * h) / 2).alias("half"))
     return asked.select(key, "category").distinct().join(shapes, key)
 
 
+def _nearest_to_shapes(asked: DataFrame, shapes: DataFrame, key: str, places: DataFrame, k: int, score: Column, match: Column | None = None) -> DataFrame:
+    dx = F.greatest(F.lit(0.0), F.col("box_x0") - F.col("px"), F.col("px") - F.col("box_x1"))
+    dy = F.greatest(F.lit(0.0), F.col("box_y0") - F.col("py"), F.col("py") - F.col("box_y1"))
+    return ranked_search(
+        _framed(asked, shapes, key), places, [key, "category"], k, score=score, match=match, base=F.col("half"), shapes=shapes.select(key, "segments"), shape_key=key, least=F.sqrt(dx * dx + dy * dy)
+    )
+
+
 def contained(asked: DataFrame, areas: DataFrame, places: DataFrame) -> DataFrame:
     """asked (area_id, category, ...) with the places of the category strictly inside the area, and the area's segments."""
     points = places.where("x IS NOT NULL AND y IS NOT NULL")
     pairs = Hierarchy(areas.select("area_id", "rings")).containing(points)
+    pairs = pairs.join(asked.select("area_id").distinct(), "area_id", "left_semi")
     met = pairs.join(points.select("poi_id", "category", F.col("x").alias("px"), F.col("y").alias("py")), "poi_id").join(asked.distinct(), ["area_id", "category"])
     met = met.join(areas.select("area_id", "segments", "bounds"), "area_id")
     return met.where(G.distance_to(F.col("segments"), F.col("px"), F.col("py")) > 0)
@@ -107,7 +123,7 @@ def inside(asked: DataFrame, areas: DataFrame, places: DataFrame) -> DataFrame:
 def outside(asked: DataFrame, areas: DataFrame, places: DataFrame, k: int = K) -> DataFrame:
     """The k nearest places that are not within; those on the border are outside with distance 0."""
     gap = G.distance_to(F.col("segments"), F.col("px"), F.col("py"))
-    return ranked_search(_framed(asked, areas, "area_id"), places, AREA_KEYS, k, score=gap, match=~(G.crosses_odd(F.col("segments"), F.col("px"), F.col("py")) & (F.col("dist") > 0)), base=F.col("half"))
+    return _nearest_to_shapes(asked, areas, "area_id", places, k, gap, ~(G.crosses_odd(F.col("segments"), F.col("px"), F.col("py")) & (F.col("dist") > 0)))
 
 
 def border(asked: DataFrame, areas: DataFrame, places: DataFrame, k: int = K, solid: bool = False) -> DataFrame:
@@ -115,7 +131,7 @@ def border(asked: DataFrame, areas: DataFrame, places: DataFrame, k: int = K, so
     gap = G.distance_to(F.col("segments"), F.col("px"), F.col("py"))
     if solid:
         gap = F.when(G.within(F.col("segments"), F.col("px"), F.col("py")), 0.0).otherwise(gap)
-    return ranked_search(_framed(asked, areas, "area_id"), places, AREA_KEYS, k, score=gap, base=F.col("half"))
+    return _nearest_to_shapes(asked, areas, "area_id", places, k, gap)
 
 
 def direction_in(asked: DataFrame, areas: DataFrame, places: DataFrame) -> DataFrame:
@@ -131,15 +147,22 @@ def direction_in(asked: DataFrame, areas: DataFrame, places: DataFrame) -> DataF
 def along(asked: DataFrame, streets: DataFrame, places: DataFrame, k: int = K) -> DataFrame:
     """asked: id_street, category; the k places nearest to any part of the street."""
     gap = G.distance_to(F.col("segments"), F.col("px"), F.col("py"))
-    return ranked_search(_framed(asked, streets, "id_street"), places, ["id_street", "category"], k, score=gap, base=F.col("half"))
-
-
-def _cells_of(segments: DataFrame, size: float, margin: float) -> DataFrame:
-    """Segments repeated for each grid cell that their box, widened by the margin, touches."""
-    lo = lambda a, b: F.floor((F.least(a, b) - margin) / size).cast("long")
-    hi = lambda a, b: F.floor((F.greatest(a, b) + margin) / size).cast("long")
-    out = segments.withColumn("cx", F.explode(F.sequence(lo(F.col("ax"), F.col("bx")), hi(F.col("ax"), F.col("bx")))))
-    return out.withColumn("cy", F.explode(F.sequence(lo(F.col("ay"), F.col("by")), hi(F.col("ay"), F.col("by")))))
+    return _nearest_to_shapes(asked, streets, "id_street", places, k, gap)
+
+
+def _cells_of(segments: DataFrame, size: float | Column, margin: float) -> DataFrame:
+    """Segments (ax, ay, bx, by) repeated for each grid cell that they, widened by the margin, may touch: column by column along the segment."""
+    size = F.lit(float(size)) if isinstance(size, (int, float)) else size
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    cell = lambda v: F.floor(v / size).cast("long")
+    x0, x1 = F.least(ax, bx), F.greatest(ax, bx)
+    out = segments.withColumn("cx", F.explode(F.sequence(cell(x0 - margin), cell(x1 + margin))))
+    # the part of the segment that is within the margin of the column
+    slope = F.try_divide(by - ay, bx - ax)
+    at = lambda x: F.coalesce(ay + (x - ax) * slope, ay)
+    lo, hi = F.greatest(x0, F.col("cx") * size - margin), F.least(x1, (F.col("cx") + 1) * size + margin)
+    ends = [F.when(bx == ax, f(ay, by)).otherwise(f(at(lo), at(hi))) for f in (F.least, F.greatest)]
+    return out.withColumn("cy", F.explode(F.sequence(cell(ends[0] - margin - 1e-6), cell(ends[1] + margin + 1e-6))))
 
 
 def segment_pairs(streets: DataFrame, margin: float, size: float = 200.0) -> DataFrame:

@@ -88,7 +88,7 @@ def radius_neighbours(spark, d):
     """Places of the same category less than 100 m apart, each pair once."""
     places = _places(spark, d)
     asked = places.select(F.col("poi_id").alias("left_id"), "category", "x", "y")
-    met = search.radius_join(asked, places, F.lit(100.0), [search.math.ceil(search.math.log2(100.0))]).where("left_id < poi_id")
+    met = search.radius_join(asked, places, F.lit(100.0)).where("left_id < poi_id")
     return met.select("left_id", F.col("poi_id").alias("right_id"), F.round("gap", ROUND).alias("dist"))
 
 
