@@ -118,32 +118,44 @@ def source_tokens(documents: DataFrame, scratch: Scratch, path: str = TOKENIZERS
     return scratch.cut(sized.where("n_tokens > 0").groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens")), "sizes")
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZERS, seed: int = 42) -> tuple[DataFrame, list[Budget]]:
-    """The chosen documents (mix_id, source, doc_id, n_tokens, copies) and the budgets they realise.
+def realise(docs: DataFrame, plan: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """(keys, source, doc_id, n_tokens, copies) of the documents that ``plan`` (keys, source, available, budget) takes.
 
-    A source's tokens stay below its budget by less than its longest document.
-    Documents without tokens or source are in no mix. Empty tables give no rows.
+    Passes over all documents of a source while the budget lasts, then those of
+    its permutation, block by block, up to the rest. A source's tokens stay
+    below its budget by less than its longest document.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "mix")
-    docs = source_tokens(documents, scratch, path)
-    targets = [r.asDict() for r in mix_targets.withColumn("source", fold_label(F.col("source"))).distinct().collect()]
-    named = sorted({t["source"] for t in targets if t["source"]})
-    totals = docs.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if named else []
-    plan = budgets(targets, {r["source"]: r["n"] for r in totals})
-    table = spark.createDataFrame([tuple(vars(b).values()) for b in plan], BUDGET)
     passes = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available") + 1e-12)).otherwise(0)
-    table = table.select("mix_id", "source", passes.cast("int").alias("passes"), (F.col("budget") - passes * F.col("available") + 1e-6).alias("rest"))
+    table = plan.select(*keys, "source", passes.cast("int").alias("passes"), (F.col("budget") - passes * F.col("available") + 1e-6).alias("rest"))
     # as many rows as mix_targets
-    rows = docs.join(F.broadcast(table), "source").withColumn("order", F.xxhash64(F.lit(seed), "mix_id", "doc_id"))
+    rows = docs.join(F.broadcast(table), "source").withColumn("order", F.xxhash64(F.lit(seed), *keys, "doc_id"))
     rows = rows.withColumn("block", F.shiftrightunsigned("order", 64 - (BLOCKS.bit_length() - 1)))
-    sums = rows.groupBy("mix_id", "source", "block").agg(F.sum("n_tokens").alias("here"))
-    before = Window.partitionBy("mix_id", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("mix_id", "source", "block", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("mix_id", "source", "block").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(sums, ["mix_id", "source", "block"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
+    sums = rows.groupBy(*keys, "source", "block").agg(F.sum("n_tokens").alias("here"))
+    before = Window.partitionBy(*keys, "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "source", "block", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*keys, "source", "block").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(sums, [*keys, "source", "block"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
     rows = rows.withColumn("copies", F.col("passes") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0))
-    return rows.where("copies > 0").select("mix_id", "source", "doc_id", "n_tokens", "copies"), plan
+    return rows.where("copies > 0").select(*keys, "source", "doc_id", "n_tokens", "copies")
+
+
+def planned(documents: DataFrame, mix_targets: DataFrame, path: str) -> tuple[DataFrame, list[Budget]]:
+    """Sized documents, and the budgets of the targets."""
+    docs = source_tokens(documents, Scratch(documents.sparkSession, "mix"), path)
+    targets = [r.asDict() for r in mix_targets.withColumn("source", fold_label(F.col("source"))).distinct().collect()]
+    named = sorted({t["source"] for t in targets if t["source"]})
+    totals = docs.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if named else []
+    return docs, budgets(targets, {r["source"]: r["n"] for r in totals})
+
+
+def mix(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZERS, seed: int = 42) -> tuple[DataFrame, list[Budget]]:
+    """The chosen documents (mix_id, source, doc_id, n_tokens, copies) and the budgets they realise.
+
+    Documents without tokens or source are in no mix. Empty tables give no rows.
+    """
+    docs, plan = planned(documents, mix_targets, path)
+    table = docs.sparkSession.createDataFrame([tuple(vars(b).values()) for b in plan], BUDGET)
+    return realise(docs, table, ["mix_id"], seed), plan
 
 
 def mix_documents(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZERS) -> DataFrame:
@@ -155,40 +167,64 @@ def mix_report(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZ
     """p9_report: for each mix and source the target share and tokens, the tokens and share reached, the highest use of a document, and the shortage."""
     chosen, plan = mix(documents, mix_targets, path)
     table = documents.sparkSession.createDataFrame([tuple(vars(b).values()) for b in plan], BUDGET)
-    got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"), F.count("*").alias("n_documents"))
-    rows = table.join(got, ["mix_id", "source"], "left")
+    return _reached(chosen, table, ["mix_id"])
+
+
+def _reached(chosen: DataFrame, table: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    got = chosen.groupBy(*keys, "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"), F.count("*").alias("n_documents"))
+    rows = table.join(got, [*keys, "source"], "left")
     tokens = F.coalesce("tokens", F.lit(0).cast("long"))
-    all_tokens = F.sum(tokens).over(Window.partitionBy("mix_id"))  # a mix has as many rows as it names sources
+    all_tokens = F.sum(tokens).over(Window.partitionBy(*keys))  # a mix has as many rows as it names sources
     return rows.select(
-        "mix_id", "source", "target_share", "available", F.round("target_tokens").cast("long").alias("target_tokens"), tokens.alias("tokens"),
+        *keys, "source", *more, "target_share", "available", F.round("target_tokens").cast("long").alias("target_tokens"), tokens.alias("tokens"),
         F.try_divide(tokens, all_tokens).alias("actual_share"), F.try_divide(tokens, F.col("target_tokens") / F.col("target_share")).alias("share_of_target_total"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("n_documents", F.lit(0).cast("long")).alias("n_documents"),
         F.greatest(F.lit(0).cast("long"), F.round(F.col("target_tokens") - F.col("budget")).cast("long")).alias("shortage"),
     )
 
 
-def temperature_report(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZERS) -> DataFrame:
-    """p9_temperature: mixes by temperature instead of fixed weights.
+TEMPERATURE = "rule string, exponent double, " + BUDGET
 
-    For each mix, over its sources' token shares: the exponent whose mixture is
-    as diverse (in entropy) as the target weights, and the least exponent that
-    keeps max_repeats at total_tokens, with both mixtures' weights.
+
+def temperature_budgets(plan: list[Budget]) -> list[tuple]:
+    """TEMPERATURE rows: the budgets of each mix by temperature weights instead of fixed ones, over its sources that have documents.
+
+    Rule 'entropy': the exponent whose mixture is as diverse as the target
+    weights. Rule 'repeats': the least exponent, so the most even mixture, that
+    keeps max_repeats at the mix's total. Both spend that total, as far as
+    max_repeats lets them.
     """
-    spark = documents.sparkSession
-    docs = source_tokens(documents, Scratch(spark, "temperature"), path)
-    targets = [r.asDict() for r in mix_targets.withColumn("source", fold_label(F.col("source"))).distinct().collect()]
-    named = sorted({t["source"] for t in targets if t["source"]})
-    totals = {r["source"]: r["n"] for r in docs.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()} if named else {}
-    plan, out = budgets(targets, totals), []
+    out = []
     for mix_id in sorted({b.mix_id for b in plan}):
         rows = [b for b in plan if b.mix_id == mix_id and b.available > 0]
         sizes = {b.source: float(b.available) for b in rows}
         if not sizes:
             continue
         whole = sum(b.target_share for b in rows) or 1.0
-        even = exponent_for_entropy(sizes, entropy({b.source: b.target_share / whole for b in rows}))
         total = sum(b.target_tokens for b in plan if b.mix_id == mix_id)
-        bound = exponent_for_repeats(sizes, total, {b.source: b.repeats for b in rows})
-        a, b_ = temperature_weights(sizes, even), temperature_weights(sizes, bound)
-        out += [(mix_id, s, float(n / sum(sizes.values())), even, a[s], bound, b_[s]) for s, n in sizes.items()]
-    return spark.createDataFrame(out, "mix_id long, source string, natural_share double, entropy_exponent double, entropy_weight double, repeat_exponent double, repeat_weight double")
+        exponents = {
+            "entropy": exponent_for_entropy(sizes, entropy({b.source: b.target_share / whole for b in rows})),
+            "repeats": exponent_for_repeats(sizes, total, {b.source: float(b.repeats) for b in rows}),
+        }
+        for rule, exponent in exponents.items():
+            weights = temperature_weights(sizes, exponent)
+            out += [(rule, exponent, mix_id, b.source, weights[b.source], b.available, weights[b.source] * total, min(weights[b.source] * total, float(b.repeats * b.available)), b.repeats) for b in rows]
+    return out
+
+
+def temperature(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZERS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The documents of the temperature mixes (mix_id, rule, source, doc_id, n_tokens, copies), and their TEMPERATURE table."""
+    docs, plan = planned(documents, mix_targets, path)
+    table = docs.sparkSession.createDataFrame(temperature_budgets(plan), TEMPERATURE)
+    return realise(docs, table, ["mix_id", "rule"], seed), table
+
+
+def temperature_documents(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZERS) -> DataFrame:
+    """p9_temperature_mix (mix_id, rule, source, doc_id, n_tokens, copies)."""
+    return temperature(documents, mix_targets, path)[0]
+
+
+def temperature_report(documents: DataFrame, mix_targets: DataFrame, path: str = TOKENIZERS) -> DataFrame:
+    """p9_temperature: for each mix, rule and source the exponent, its weight as target_share, and what the realised mix reaches, as in ``mix_report``."""
+    chosen, table = temperature(documents, mix_targets, path)
+    return _reached(chosen, table, ["mix_id", "rule"], "exponent")
