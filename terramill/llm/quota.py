@@ -1,25 +1,32 @@
 """Samples whose category shares meet targets.
 
 Targets are calibrated on the exponential-tilting dual: a record's inclusion
-probability is its design weight times exp(lambda of its category), and Newton
-iterations move the lambdas until the expected count of every category is its
-target. The moments they need are the categories' record counts, aggregated
-once over all rows. Records are then drawn by the pivotal method, which keeps
-every category's size exactly: blocks of records first, then the at most one
-undecided record of each block.
-
-Scale: one aggregation for the moments; a draw reads each record once for each
-configuration that asks for its category. Blocks are bounded, so a category
-with a third of all rows is spread over as many tasks as it needs.
+probability is its design weight times exp(lambda of its category), but 1 at most,
+and Newton iterations move the lambdas until the expected counts are those asked
+for. A category whose probability reaches 1 while less is expected than wanted is
+a gap. The size of the sample is a margin of its own: what short categories leave
+open goes to the others by one multiplier of all shares, within each category's
+floor and what there is of it, which Newton iterations find as well. The moments
+they need are the categories' record counts, aggregated once over all rows.
+Records are then drawn by the pivotal method, which keeps every category's size
+exactly: blocks of records first, then the at most one undecided record of each
+block.
+
+Scale: one aggregation for the moments. A draw exchanges the distinct records of
+the categories asked for once, whatever the number of configurations. Blocks are
+bounded, so a category with a third of all rows is spread over as many tasks as
+it needs, and so are the undecided records of its blocks.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +52,7 @@ class Plan:
     target: int
     weight: float
     seed: int
+    short: bool
 
 
 def folded_shares(configs: DataFrame) -> DataFrame:
@@ -85,29 +93,71 @@ def moments(records: DataFrame, wanted: list[tuple[str, str]]) -> dict[tuple[str
     return counts
 
 
+def tilt(available: np.ndarray, wanted: np.ndarray, tolerance: float = 1e-12, limit: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Inclusion probabilities of the categories' records and their expected counts, by Newton iterations on the exponential-tilting dual.
+
+    The dual's gradient is the expected counts minus the wanted ones, its
+    Hessian the diagonal of expected counts; steps are kept within 2. Where even
+    probability 1 doesn't do, it stays there. A category without records has
+    probability 1 and expects nothing.
+    """
+    n = available.astype(float)
+    design = min(1.0, wanted.sum() / max(1.0, n.sum())) or 1.0
+    most = -math.log(design)
+    lam = np.where(n > 0, 0.0, most)
+    live = (n > 0) & (wanted > 0)
+    for _ in range(limit):
+        expected = n * design * np.exp(lam)
+        gap = wanted - expected
+        moving = live & (np.abs(gap) > tolerance * np.maximum(1.0, wanted)) & ~((lam >= most) & (gap > 0))
+        if not moving.any():
+            break
+        lam = np.where(moving, np.minimum(most, lam + np.clip(gap / np.where(live, expected, 1.0), -2, 2)), lam)
+    chance = np.where(lam >= most, 1.0, design * np.exp(lam))
+    chance = np.where(live | (n == 0), chance, 0.0)
+    return chance, n * chance
+
+
+def level(shares: np.ndarray, low: np.ndarray, high: np.ndarray, size: float, limit: int = 200) -> np.ndarray:
+    """Shares times one multiplier, kept within low and high, that add up to ``size``; all low or all high if it is beyond them.
+
+    Newton iterations on the multiplier's logarithm; steps that leave the
+    bracket known so far are halved into it.
+    """
+    if size <= low.sum():
+        return low.astype(float)
+    if size >= high.sum():
+        return high.astype(float)
+    at = lambda x: np.clip(shares * math.exp(x), low, high)
+    left, right = -60.0, 60.0 + max(0.0, math.log(max(1.0, high.max()) / shares.min()))
+    x = math.log(size / shares.sum())
+    for _ in range(limit):
+        now = at(x)
+        gap = size - now.sum()
+        if abs(gap) <= 1e-12 * max(1.0, size):
+            break
+        left, right = (x, right) if gap > 0 else (left, x)
+        slope = now[(now > low) & (now < high)].sum()
+        x = x + gap / slope if slope > 0 else math.inf
+        if not left < x < right:
+            x = (left + right) / 2
+    return at(x)
+
+
 def integer_targets(shares: dict[str, float], available: dict[str, int], size: int, floor: int) -> dict[str, int]:
-    """Records to take of each category: floors kept, nothing above what there is, the rest in the given shares.
+    """Records to take of each category: floors kept, nothing above what there is, the rest in the given shares (``level``), rounded by largest remainders.
 
     What a short category leaves open is spread over the others in their shares,
     so that ``size`` records come out wherever the population has them.
     """
-    fixed: dict[str, float] = {}
-    free = dict(shares)
-    while free:
-        rest, weight = max(0.0, size - sum(fixed.values())), sum(free.values())
-        goal = {c: rest * s / weight for c, s in free.items()}
-        over = {c: available[c] for c in free if goal[c] > available[c]}
-        under = {c: min(floor, available[c]) for c in free if goal[c] < min(floor, available[c])}
-        # shortages give to the others, floors take from them: the larger side is settled first
-        settle = over if sum(goal[c] - v for c, v in over.items()) >= sum(v - goal[c] for c, v in under.items()) else under
-        if not settle:
-            fixed |= goal
-            break
-        fixed |= settle
-        free = {c: s for c, s in free.items() if c not in settle}
-    whole = {c: math.floor(v + 1e-9) for c, v in fixed.items()}
-    missing = round(sum(fixed.values())) - sum(whole.values())
-    for c in sorted(fixed, key=lambda c: (whole[c] - fixed[c], c)):
+    if not shares:
+        return {}
+    names = list(shares)
+    high = np.array([available[c] for c in names], float)
+    exact = dict(zip(names, level(np.array([shares[c] for c in names]), np.minimum(floor, high), high, size).tolist()))
+    whole = {c: math.floor(v + 1e-9) for c, v in exact.items()}
+    missing = round(sum(exact.values())) - sum(whole.values())
+    for c in sorted(exact, key=lambda c: (round(whole[c] - exact[c], 9), c)):
         if missing <= 0:
             break
         if whole[c] < available[c]:
@@ -116,25 +166,6 @@ def integer_targets(shares: dict[str, float], available: dict[str, int], size: i
     return whole
 
 
-def tilt(available: np.ndarray, targets: np.ndarray, tolerance: float = 1e-10, limit: int = 200) -> np.ndarray:
-    """Inclusion probabilities of the categories: Newton iterations on the exponential-tilting dual.
-
-    The dual's gradient is the categories' expected counts minus their targets,
-    its Hessian the diagonal of expected counts; steps are kept within 2.
-    """
-    n = available.astype(float)
-    design = targets.sum() / max(1.0, n.sum())
-    lam = np.zeros(len(n))
-    live = (n > 0) & (targets > 0)
-    for _ in range(limit):
-        expected = n * design * np.exp(lam)
-        step = np.where(live, (targets - expected) / np.where(live, expected, 1.0), 0.0)
-        if np.all(np.abs(targets - expected)[live] <= tolerance * np.maximum(1.0, targets[live])):
-            break
-        lam += np.clip(step, -2, 2)
-    return np.where(live, np.minimum(1.0, design * np.exp(lam)), 0.0)
-
-
 def calibrate(records: DataFrame, configs: DataFrame) -> list[Plan]:
     """Targets, probabilities and shortages of every configuration and category.
 
@@ -150,14 +181,17 @@ def calibrate(records: DataFrame, configs: DataFrame) -> list[Plan]:
         shares = {r["category"]: r["share"] for r in rows}
         available = {c: counts.get((rows[0]["population"], c), 0) for c in shares}
         targets = integer_targets(shares, available, size, 0 if ALL in shares else floor)
-        weights = tilt(np.array([available[c] for c in shares]), np.array([targets[c] for c in shares], float))
-        for (c, share), weight in zip(shares.items(), weights):
-            wanted = max(math.floor(share * size + 0.5 + 1e-9), floor if c != ALL else 0)
-            plans.append(Plan(config, rows[0]["population"], c, share, available[c], wanted, targets[c], float(weight), rows[0]["seed"]))
+        wanted = [max(math.floor(share * size + 0.5 + 1e-9), floor if c != ALL else 0) for c, share in shares.items()]
+        there = np.array([available[c] for c in shares])
+        asked_chance, expected = tilt(there, np.array(wanted, float))
+        weights, _ = tilt(there, np.array([targets[c] for c in shares], float))
+        for i, (c, share) in enumerate(shares.items()):
+            short = asked_chance[i] >= 1 and expected[i] < wanted[i]
+            plans.append(Plan(config, rows[0]["population"], c, share, available[c], wanted[i], targets[c], float(weights[i]), rows[0]["seed"], bool(short)))
     return plans
 
 
-PLAN = "config_id long, population string, category string, share double, available long, wanted long, target long, weight double, seed long"
+PLAN = "config_id long, population string, category string, share double, available long, wanted long, target long, weight double, seed long, short boolean"
 
 
 def plan_table(records: DataFrame, plans: list[Plan]) -> DataFrame:
@@ -165,13 +199,13 @@ def plan_table(records: DataFrame, plans: list[Plan]) -> DataFrame:
 
 
 def quota_gaps(df_osm: DataFrame, benchmark: DataFrame, configs: DataFrame) -> DataFrame:
-    """p3_found (config_id, category): categories with fewer distinct records than they are to have.
+    """p3_found (config_id, category): categories that have fewer distinct records than they are to have, by the calibrated solution: probability 1, and less expected than wanted.
 
     A category that no record has is one; categories with share 0 and
     configurations without shares have none.
     """
     records = population(df_osm, benchmark)
-    gaps = [p for p in calibrate(records, configs) if p.category != ALL and p.available < p.wanted]
+    gaps = [p for p in calibrate(records, configs) if p.category != ALL and p.short]
     return plan_table(records, gaps).select("config_id", "category")
 
 
@@ -216,7 +250,7 @@ def pivotal(weights: np.ndarray, seed: int) -> tuple[np.ndarray, int, float]:
 def _fight(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["order", "id"], ignore_index=True)
     first = frame.iloc[0]
-    seed = [int(first["seed"]) & 0xFFFFFFFF, int(first["config_id"]) & 0xFFFFFFFF, int(first["block"]) & 0xFFFFFFFF, sum(map(ord, first["category"]))]
+    seed = [int(first[c]) & 0xFFFFFFFF for c in ("seed", "config_id", "block", "turn")] + [xxhash.xxh32_intdigest(first["category"])]
     taken, holder, held = pivotal(frame["weight"].to_numpy(), np.random.SeedSequence(seed).generate_state(1)[0])
     frame["weight"] = taken.astype(float)
     if holder >= 0:
@@ -224,6 +258,9 @@ def _fight(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[frame["weight"] > 0]
 
 
+UNIT = "config_id long, population string, category string, id long, weight double, seed long, order long, block long, turn int"
+
+
 def quota_sample(df_osm: DataFrame, benchmark: DataFrame, configs: DataFrame) -> DataFrame:
     """p3_sample (config_id, population, category, id): the drawn records, the same on every layout of the data.
 
@@ -236,25 +273,27 @@ def quota_sample(df_osm: DataFrame, benchmark: DataFrame, configs: DataFrame) ->
     plans = [p for p in calibrate(records, configs) if p.target > 0]
     if not plans:
         return spark.createDataFrame([], "config_id long, population string, category string, id long")
-    plan = plan_table(records, plans).withColumn("blocks", F.ceil(F.col("available") / BLOCK)).drop("share", "available", "wanted", "target")
+    plan = plan_table(records, plans).select("config_id", "population", "category", "weight", "seed", "available")
+    cell = ["population", "category"]
+    cells = plan.groupBy(*cell).agg(F.ceil(F.max("available") / BLOCK).alias("blocks"))
     keyed = records.withColumn("category", F.explode(F.array("category", F.lit(ALL)))).where("category IS NOT NULL")
-    # as many rows as the configurations name shares
-    units = keyed.join(F.broadcast(plan), ["population", "category"]).distinct()
-    units = units.withColumn("order", F.xxhash64("seed", "id")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")))
-    schema = units.drop("blocks").schema
-    first = scratch.cut(units.drop("blocks").groupBy("config_id", "category", "block").applyInPandas(_fight, schema), "blocks")
-    # one undecided record of a block at most: this many are one group's blocks
-    rest = first.where("weight < 1").withColumn("block", F.lit(-1).cast(schema["block"].dataType)).groupBy("config_id", "category").applyInPandas(_settle, schema)
-    drawn = first.where("weight = 1").unionByName(rest)
-    return drawn.select("config_id", "population", "category", "id")
-
-
-def _settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """The last fight; what is left of a probability is a rounding error of 0 or 1."""
-    out = _fight(frame)
-    out = out[out["weight"] >= 0.5].copy()
-    out["weight"] = 1.0
-    return out
+    # both broadcast tables have as many rows as the configurations name shares
+    placed = keyed.join(F.broadcast(cells), cell).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks"))).drop("blocks")
+    # a block is whole in one partition: repeated records, configurations and fights need no other exchange
+    units = placed.repartition(*cell, "block").dropDuplicates([*cell, "block", "id"]).join(F.broadcast(plan.drop("available")), cell)
+    units = units.select("config_id", *cell, "id", "weight", "seed", F.xxhash64("seed", "id").alias("order"), "block", F.lit(0).alias("turn"))
+    group = ["config_id", *cell, "block"]
+    turn, blocks = 0, max(-(-p.available // BLOCK) for p in plans)
+    fought = scratch.cut(units.groupBy(*group).applyInPandas(_fight, UNIT), "fought0")
+    drawn = [fought.where("weight = 1")]
+    while blocks > 1:  # one undecided record of a block at most; they are put into blocks again
+        turn, blocks = turn + 1, -(-blocks // BLOCK)
+        rest = fought.where("weight < 1").withColumns({"block": F.floor(F.col("block") / BLOCK).cast("long"), "turn": F.lit(turn)})
+        fought = scratch.cut(rest.groupBy(*group).applyInPandas(_fight, UNIT), f"fought{turn}")
+        drawn.append(fought.where("weight = 1"))
+    # what is left of a category's last probability is a rounding error of 0 or 1
+    drawn.append(fought.where("weight >= 0.5 AND weight < 1"))
+    return reduce(DataFrame.unionByName, drawn).select("config_id", "population", "category", "id")
 
 
 def quota_report(df_osm: DataFrame, benchmark: DataFrame, configs: DataFrame) -> DataFrame:
