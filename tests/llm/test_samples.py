@@ -145,8 +145,31 @@ def test_integer_targets(cells, size, floor):
 
 
 def test_newton_reaches_targets():
-    n, t = np.array([1000, 10, 5, 0]), np.array([10.0, 9.0, 5.0, 0.0])
-    assert np.allclose(quota.tilt(n, t) * n, t)
+    n, t = np.array([1000, 10, 5, 0, 7]), np.array([10.0, 9.0, 5.0, 3.0, 9.0])
+    chance, expected = quota.tilt(n, t)
+    assert np.allclose(expected, [10, 9, 5, 0, 7])
+    # probability 1 and less than wanted: the gaps
+    assert [bool(c >= 1 and e < w) for c, e, w in zip(chance, expected, t)] == [False, False, False, True, True]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 10**6)), min_size=1, max_size=8))
+def test_gaps_of_the_calibrated_solution_are_exact(cells):
+    n, t = (np.array(x) for x in zip(*cells))
+    chance, expected = quota.tilt(n, t.astype(float))
+    assert [bool(c >= 1 and e < w) for c, e, w in zip(chance, expected, t)] == (n < t).tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.001, 1), st.integers(0, 20), st.integers(0, 1000)), min_size=1, max_size=9), st.integers(0, 4000))
+def test_one_multiplier_levels_the_shares(cells, size):
+    shares, low, high = (np.array(x, float) for x in zip(*cells))
+    low = np.minimum(low, high)
+    got = quota.level(shares, low, high, size)
+    assert np.isclose(got.sum(), min(max(size, low.sum()), high.sum()))
+    inner = (got > low + 1e-6) & (got < high - 1e-6)
+    ratio = (got / shares)[inner]
+    assert len(ratio) == 0 or np.allclose(ratio, ratio[0])
 
 
 @settings(max_examples=60, deadline=None)
@@ -181,10 +204,24 @@ def test_stable_sample_keeps_members(tables):
     assert stable.config_samples(tables.make(OSM), configs).count() == 0
 
 
-def test_thresholds_are_only_raised(tables):
-    pois = stable.strata(tables.make(OSM, osm_rows(800)))
-    stored = stable.raised({}, {"cafe": 0.3, "bar": 0.1})
-    raised = stable.raised(stored, {"cafe": 0.1, "bar": 0.5})
-    assert raised["cafe"] == stored["cafe"] and raised["bar"] > stored["bar"]
-    before, after = (set(rows_of(stable.stable_sample(pois, 7, 0.05, t))) for t in (stored, raised))
-    assert before < after
+def test_stored_thresholds_are_only_raised(tables, spark, tmp_path):
+    osm, store = tables.make(OSM, osm_rows(800)), f"file://{tmp_path}/thresholds"
+    config = lambda share: tables.make(CONFIG, [{"config_id": 1, "seed": 7, "ratio_test": share}])
+    rates = lambda **by: spark.createDataFrame([(1, s, r) for s, r in by.items()], "config_id long, stratum string, rate double")
+    first = rows_of(stable.config_samples(osm, config(0.05), store, rates(cafe=0.3, bar=0.1)))
+    second = rows_of(stable.config_samples(osm, config(0.01), store, rates(cafe=0.1, bar=0.5)))
+    third = rows_of(stable.config_samples(osm, config(None), store))
+    assert set(first) < set(second) and second == third
+    assert {r for r in first if r[1] != "bar"} == {r for r in second if r[1] != "bar"}
+    assert stable.Store(spark, store).versions() == [0, 1, 2]
+    bounds = {r["stratum"]: r["bound"] for r in stable.Store(spark, store).read().collect()}
+    assert bounds == {"cafe": round(0.3 * stable.SPAN), "bar": round(0.5 * stable.SPAN), stable.NO_STRATUM: round(0.05 * stable.SPAN)}
+    # a store of its own starts empty
+    assert rows_of(stable.config_samples(osm, config(0.01))) != third
+
+
+def test_odd_rates(tables):
+    osm = tables.make(OSM, osm_rows(40))
+    shares = [{"config_id": i, "seed": 1, "ratio_test": r} for i, r in enumerate([float("nan"), -1.0, 7.0, None])]
+    assert {r[0] for r in rows_of(stable.config_samples(osm, tables.make(CONFIG, shares)))} == {2}
+    assert stable.config_samples(osm, tables.make(CONFIG)).count() == 0

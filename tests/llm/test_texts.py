@@ -88,6 +88,27 @@ def test_mix(tables):
     assert mixing.mix_report(docs, tables.make(TARGETS)).count() == 0
 
 
+def test_temperature_mixes_are_realised(tables):
+    docs = tables.make(DOCUMENTS, corpus(), True)
+    targets = tables.make(TARGETS, [
+        {"mix_id": 1, "source": "big", "target_weight": 3.0, "max_repeats": 2, "total_tokens": 800}, {"mix_id": 1, "source": "small", "target_weight": 2.0, "max_repeats": 3, "total_tokens": 800},
+        {"mix_id": 1, "source": "none", "target_weight": 2.0, "max_repeats": 3, "total_tokens": 800}, {"mix_id": 2, "source": "none", "target_weight": 1.0},
+    ])
+    report = {(r["rule"], r["source"]): r for r in mixing.temperature_report(docs, targets).collect()}
+    assert set(report) == {(r, s) for r in ("entropy", "repeats") for s in ("big", "small")}
+    for rule in ("entropy", "repeats"):
+        shares = {s: report[rule, s]["target_share"] for s in ("big", "small")}
+        sizes = {s: float(report[rule, s]["available"]) for s in shares}
+        want = mixing.temperature_weights(sizes, report[rule, "big"]["exponent"])
+        assert all(math.isclose(shares[s], want[s]) for s in shares)
+        for s in shares:  # budgets are met but for less than a document, within the limit of repeats
+            r = report[rule, s]
+            assert min(r["target_tokens"], {"big": 2, "small": 3}[s] * r["available"]) - 11 <= r["tokens"] <= r["target_tokens"] + 1
+    assert math.isclose(mixing.entropy({s: report["entropy", s]["target_share"] for s in ("big", "small")}), mixing.entropy({"big": 0.6, "small": 0.4}), abs_tol=1e-6)
+    assert report["repeats", "small"]["most_copies"] <= 3 and report["repeats", "small"]["shortage"] == 0
+    assert mixing.temperature_documents(tables.make(DOCUMENTS), targets).count() == 0
+
+
 ENDINGS = {
     "The room felt bright. It was good.": "finished", "Is it open?": "finished", "He said \"yes.\"": "finished", "Great place! 🥐": "finished", "<p>Done.</p>": "finished",
     "A text cut in a ta<": "cut", "the d&eacut": "cut", "broken �": "cut", "Fish & chips. B &": "open", "It stopped in the mid": "open", "And so on [...]": "open", "": "finished",
