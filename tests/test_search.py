@@ -26,7 +26,7 @@ def test_an_outlier_or_a_crowd_changes_no_other_search(spark):
     plain = candidates(spark, table(spread), asked)
     assert plain < 200 * 10 * 12
     stray = [*spread, (9000, "c0", 1e7, 1e7), (9001, "c1", -3e6, 2e6)]
-    crowd = [*spread, *((10000 + i, "c0", 61000 + i % 50, 61000 + i % 50) for i in range(5000))]
+    crowd = [*spread, *((10000 + i, "c0", 61000.0 + i % 50, 61000.0 + i % 50) for i in range(5000))]
     assert candidates(spark, table(stray), asked) <= 2 * plain
     assert candidates(spark, table(crowd), asked) <= 2 * plain
     got = {(r["question_id"], r["rank"]): r["poi_id"] for r in relations.near(asked, table(stray), 10).collect()}
