@@ -1,8 +1,9 @@
 """Question sets of the twelve templates.
 
-A generator enumerates all valid questions as a table, draws its quota from each
-stratum by a seeded hash, and answers all of them by one relation. Where a
-stratum has fewer valid questions than its quota, all of them come out. Rows
+A generator looks at the candidates of each stratum in the order of a seeded hash,
+answers them by one relation, and takes those with answers: as many as asked for,
+if there are as many. What a stratum lacks comes from the others; ``shortfall``
+reports what can't be had. Only as many candidates are looked at as it takes. Rows
 have query, category_query, function, the context columns of the template and
 four parallel answer lists, ranked from 1.
 """
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from terramill.functions import geometry as G
 from terramill.operators import corpus
 from terramill.operators import relations as R
-from terramill.operators.sampling import allocate, draw_order, per_group
+from terramill.operators.sampling import draw_order, first_answered, per_group
 from terramill.operators.search import radius_join
+from terramill.session import Scratch
 
 DISTANCES = [100, 300, 500, 1000]
 DIRECTIONS = list(G.CARDINAL)
@@ -43,14 +45,21 @@ class World:
     def named(self) -> DataFrame:
         return self.places.where("poi_name IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND category IS NOT NULL")
 
-    def per_category(self, n: int) -> DataFrame:
-        """(category, quota): an even share of n for each category."""
-        quota = allocate(n, dict.fromkeys(self.categories, 1))
-        rows = [(c, q) for c, q in quota.items() if q > 0]
-        return self.places.sparkSession.createDataFrame(rows, "category string, quota long")
+    def scratch(self) -> Scratch:
+        return Scratch(self.places.sparkSession, "questions")
 
-    def each_category(self) -> Column:
-        return F.explode(F.array(*map(F.lit, self.categories)))
+    def by_category(self, ratio: dict | None = None) -> list[tuple[int, float]]:
+        """Strata of the categories, equal ones unless ratios are given."""
+        return [(i, float((ratio or {}).get(c, 0.0 if ratio else 1.0))) for i, c in enumerate(self.categories)]
+
+    def for_each_category(self, rows: DataFrame) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(i).alias("stratum"), F.lit(c).alias("category")) for i, c in enumerate(self.categories)])
+        return rows.select("*", F.inline(each))
+
+    def first(self, rows: DataFrame, order: list[str], depth: int) -> DataFrame:
+        """The first rows of the draw by ``order``, numbered from 1."""
+        drawn = rows.orderBy(draw_order(self.seed, *order), *order).limit(depth)
+        return drawn.withColumn("place", F.row_number().over(Window.orderBy(draw_order(self.seed, *order), *order)))  # depth rows
 
 
 def pack(asked: DataFrame, answers: DataFrame, key: list[str], places: DataFrame, function: str, query: Column) -> DataFrame:
@@ -59,26 +68,36 @@ def pack(asked: DataFrame, answers: DataFrame, key: list[str], places: DataFrame
     item = F.struct(F.col("rank"), F.col("poi_id"), F.col("poi_name"), F.col("dist"))
     lists = answers.join(names, "poi_id").groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     rows = asked.join(lists, key)
-    context = [c for c in rows.columns if c not in ("items", "category", "quota")]
+    context = [c for c in rows.columns if c not in ("items", "category", "stratum")]
     return rows.select(
         query.alias("query"), F.col("category").alias("category_query"), F.lit(function).alias("function"), *context, F.col("items.poi_id").alias("results_poi_id"),
         F.col("items.poi_name").alias("results_poi_name"), F.col("items.dist").alias("results_poi_dist"), F.transform("items", lambda i: i["rank"].cast("int")).alias("results_poi_rank"),
     )
 
 
-def _anchors(w: World, n: int, ratio: dict | None = None) -> DataFrame:
-    """Anchors for cells of anchor and asked category, ordered by cyclic diagonals: (question_id, category, anchor columns, same_cat)."""
-    cats = w.categories
-    cells = [(cats[i], cats[(i + s) % len(cats)]) for s in range(len(cats)) for i in range(len(cats))]
-    quota = allocate(n, {c: (ratio or {}).get(c, 0 if ratio else 1) for c in cells})
-    table = w.places.sparkSession.createDataFrame([(a, c, q) for (a, c), q in quota.items() if q > 0], "anchor_category string, category string, quota long")
-    most = max(quota.values(), default=0)
-    drawn = per_group(w.named().where(F.col("category").isin(cats)), ["category"], [draw_order(w.seed, "poi_id"), "poi_id"], max(1, most))
-    place = F.row_number().over(Window.partitionBy("category").orderBy(draw_order(w.seed, "poi_id"), "poi_id"))
-    drawn = drawn.select(F.col("poi_id").alias("anchor_index"), F.col("poi_name").alias("anchor_name"), F.col("category").alias("anchor_category"), F.col("x").alias("anchor_x"), F.col("y").alias("anchor_y"), place.alias("__place"))
-    rows = drawn.join(F.broadcast(table), "anchor_category").where(F.col("__place") <= F.col("quota")).drop("__place", "quota")
-    rows = rows.withColumn("same_cat", F.col("anchor_category") == F.col("category"))
-    return rows.withColumn("question_id", F.md5(F.concat_ws("|", "anchor_index", "category")))
+def anchor_cells(categories: list[str]) -> list[tuple[str, str]]:
+    """Pairs of anchor and asked category, by cyclic diagonals."""
+    return [(c, categories[(i + s) % len(categories)]) for s in range(len(categories)) for i, c in enumerate(categories)]
+
+
+def _anchored(w: World, nb_q: int, ratio: dict | None, answer: Callable[[DataFrame], DataFrame], extra: str | None = None, values: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drawn questions about anchors, with their answers. Strata are the cells, times the values of an extra column."""
+    cells = [(a, c, v) for a, c in anchor_cells(w.categories) for v in (values or [None])]
+    kind = "string" if not values or isinstance(values[0], str) else "int"
+    table = w.places.sparkSession.createDataFrame([(a, c, v, i) for i, (a, c, v) in enumerate(cells)], f"anchor_category string, category string, {extra or '__none'} {kind}, stratum int")
+    order = [draw_order(w.seed, "poi_id"), "poi_id"]
+    scratch = w.scratch()
+
+    def candidates(depth: int) -> DataFrame:
+        ranked = w.named().where(F.col("category").isin(w.categories)).withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where(F.col("place") <= depth)
+        drawn = ranked.select(F.col("poi_id").alias("anchor_index"), F.col("poi_name").alias("anchor_name"), F.col("category").alias("anchor_category"), F.col("x").alias("anchor_x"), F.col("y").alias("anchor_y"), "place")
+        # as many rows as pairs of categories
+        rows = drawn.join(F.broadcast(table), "anchor_category").withColumn("same_cat", F.col("anchor_category") == F.col("category"))
+        ids = F.md5(F.concat_ws("|", "anchor_index", "category", *([extra] if extra else [])))
+        return rows.withColumn("question_id", ids) if extra else rows.drop("__none").withColumn("question_id", ids)
+
+    strata = [(i, float((ratio or {}).get((a, c), 0.0 if ratio else 1.0))) for i, (a, c, _) in enumerate(cells)]
+    return first_answered(scratch, strata, nb_q, candidates, answer, ["question_id"])
 
 
 def _positions(asked: DataFrame) -> DataFrame:
@@ -86,16 +105,14 @@ def _positions(asked: DataFrame) -> DataFrame:
 
 
 def point_near(w: World, nb_q: int = 110, ratio: dict | None = None) -> DataFrame:
-    asked = _anchors(w, nb_q, ratio)
-    return pack(asked, R.near(_positions(asked), w.places), ["question_id"], w.places, "point_near", F.concat("category", F.lit(" near "), "anchor_name"))
+    asked, found = _anchored(w, nb_q, ratio, lambda rows: R.near(_positions(rows), w.places))
+    return pack(asked, found, ["question_id"], w.places, "point_near", F.concat("category", F.lit(" near "), "anchor_name"))
 
 
 def point_near_metric(w: World, nb_q: int = 110, ratio: dict | None = None, distances: list[int] | None = None) -> DataFrame:
-    distances = distances or DISTANCES
-    asked = _anchors(w, max(1, nb_q // len(distances)), ratio).withColumn("distance", F.explode(F.array(*map(F.lit, distances))))
-    asked = asked.withColumn("question_id", F.md5(F.concat_ws("|", "question_id", "distance")))
+    asked, found = _anchored(w, nb_q, ratio, lambda rows: R.near_metric(_positions(rows), w.places), "distance", distances or DISTANCES)
     text = F.concat("category", F.lit(" at less than "), F.col("distance").cast("string"), F.lit(" meters from "), "anchor_name")
-    return pack(asked, R.near_metric(_positions(asked), w.places), ["question_id"], w.places, "point_near_metric", text)
+    return pack(asked, found, ["question_id"], w.places, "point_near_metric", text)
 
 
 def _check_directions(directions: list[str]) -> None:
@@ -107,105 +124,102 @@ def _check_directions(directions: list[str]) -> None:
 def point_near_cardinal(w: World, nb_q: int = 110, ratio: dict | None = None, directions: list[str] | None = None, half_width: float = R.HALF_WIDTH) -> DataFrame:
     directions = directions or DIRECTIONS
     _check_directions(directions)
-    asked = _anchors(w, max(1, nb_q // len(directions)), ratio).withColumn("direction", F.explode(F.array(*map(F.lit, directions))))
-    asked = asked.withColumn("question_id", F.md5(F.concat_ws("|", "question_id", "direction")))
+    asked, found = _anchored(w, nb_q, ratio, lambda rows: R.near_cardinal(_positions(rows), w.places, half_width=half_width), "direction", directions)
     text = F.concat("category", F.lit(" to the "), "direction", F.lit(" of "), "anchor_name")
-    return pack(asked, R.near_cardinal(_positions(asked), w.places, half_width=half_width), ["question_id"], w.places, "point_near_cardinal", text)
+    return pack(asked, found, ["question_id"], w.places, "point_near_cardinal", text)
 
 
 def _reachable(asked: DataFrame, places: DataFrame, reach: float, exclude: list[str]) -> DataFrame:
     """asked (x, y) with every place of any category within reach, as b_*."""
-    every = places.withColumn("__category", F.col("category")).withColumn("category", F.lit("*"))
+    every = places.withColumn("category", F.lit("*"))
     asked = asked.withColumnRenamed("category", "__asked").withColumn("category", F.lit("*"))
     met = radius_join(asked, every, F.lit(reach)).where(R.not_anchor(*exclude))
     met = met.join(places.select("poi_id", F.col("poi_name").alias("point_b_name"), F.col("category").alias("point_b_category")), "poi_id")
     return met.drop("category", "reach", "gap").withColumnsRenamed({"__asked": "category", "poi_id": "point_b_index", "px": "point_b_x", "py": "point_b_y"})
 
 
+B = ("index", "name", "category", "x", "y")
+
+
 def point_towards(w: World, nb_q: int = 110, ratio: dict | None = None, half_width: float = R.HALF_WIDTH, reach: float = 1000.0) -> DataFrame:
-    asked = _reachable(_positions(_anchors(w, nb_q, ratio)), w.named(), reach, ["anchor_index"])
-    asked = per_group(asked, ["question_id"], [draw_order(w.seed, "question_id", "point_b_index"), "point_b_index"], 1)
-    found = R.towards(asked.withColumns({"bx": F.col("point_b_x"), "by": F.col("point_b_y")}), w.places, half_width=half_width)
+    """Every anchor has one B for a category, drawn among the named places within reach."""
+
+    def with_b(rows: DataFrame) -> DataFrame:
+        met = _reachable(_positions(rows), w.named(), reach, ["anchor_index"])
+        return per_group(met, ["question_id"], [draw_order(w.seed, "question_id", "point_b_index"), "point_b_index"], 1)
+
+    def answer(rows: DataFrame) -> DataFrame:
+        rows = with_b(rows)
+        found = R.towards(rows.withColumns({"bx": F.col("point_b_x"), "by": F.col("point_b_y")}), w.places, half_width=half_width)
+        return found.join(rows.select("question_id", *[f"point_b_{c}" for c in B]), "question_id")
+
+    asked, found = _anchored(w, nb_q, ratio, answer)
+    asked = asked.join(found.select("question_id", *[f"point_b_{c}" for c in B]).distinct(), "question_id")
     text = F.concat("category", F.lit(" near "), "anchor_name", F.lit(" towards "), "point_b_name")
-    return pack(asked.drop("x", "y"), found, ["question_id"], w.places, "point_towards", text)
+    return pack(asked, found, ["question_id"], w.places, "point_towards", text)
 
 
 def point_between(w: World, nb_q: int = 110, ratio: dict | None = None, corridor: float = R.CORRIDOR, reach: float = 1000.0, mirror: float = 400.0) -> DataFrame:
     """A target of the category, A near it, B near A's mirror image behind the target."""
-    quota = allocate(nb_q, ratio or dict.fromkeys(w.categories, 1))
-    most = max(quota.values())
-    places = w.named()
-    target = per_group(places.where(F.col("category").isin(w.categories)), ["category"], [draw_order(w.seed, "poi_id"), "poi_id"], 3 * most)
-    target = target.select(F.col("poi_id").alias("target"), "category", "x", "y", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    first = per_group(_reachable(target, places, reach, ["target"]), ["target"], [draw_order(w.seed, "target", "point_b_index"), "point_b_index"], 1)
-    first = first.withColumnsRenamed({f"point_b_{c}": f"anchor_a_{c}" for c in ("index", "name", "category", "x", "y")})
-    second = first.withColumns({"x": 2 * F.col("tx") - F.col("anchor_a_x"), "y": 2 * F.col("ty") - F.col("anchor_a_y")})
-    second = per_group(_reachable(second, places, mirror, ["target", "anchor_a_index"]), ["target"], [draw_order(w.seed, "target", "point_b_index"), "point_b_index"], 1)
-    asked = second.withColumnsRenamed({f"point_b_{c}": f"anchor_b_{c}" for c in ("index", "name", "category", "x", "y")})
-    table = w.places.sparkSession.createDataFrame([(c, q) for c, q in quota.items() if q > 0], "category string, quota long")
-    asked = per_group(asked.join(F.broadcast(table), "category"), ["category"], [draw_order(w.seed, "target"), "target"], F.col("quota"))
-    asked = asked.withColumn("question_id", F.md5(F.concat_ws("|", "target", "anchor_a_index", "anchor_b_index"))).drop("target", "tx", "ty", "x", "y")
+    places, scratch = w.named(), w.scratch()
+    number = F.create_map(*[F.lit(v) for i, c in enumerate(w.categories) for v in (c, i)])
+    ends = [f"anchor_{s}_{c}" for s in "ab" for c in B]
+
+    def candidates(depth: int) -> DataFrame:
+        targets = places.where(F.col("category").isin(w.categories)).withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(draw_order(w.seed, "poi_id"), "poi_id")))
+        return targets.where(F.col("place") <= depth).select(F.col("poi_id").alias("target"), "category", "x", "y", "place", number[F.col("category")].alias("stratum"))
+
+    def answer(rows: DataFrame) -> DataFrame:
+        rows = rows.select("target", "category", "x", "y", F.col("x").alias("tx"), F.col("y").alias("ty"))
+        first = per_group(_reachable(rows, places, reach, ["target"]), ["target"], [draw_order(w.seed, "target", "point_b_index"), "point_b_index"], 1)
+        first = first.withColumnsRenamed({f"point_b_{c}": f"anchor_a_{c}" for c in B})
+        second = first.withColumns({"x": 2 * F.col("tx") - F.col("anchor_a_x"), "y": 2 * F.col("ty") - F.col("anchor_a_y")})
+        second = per_group(_reachable(second, places, mirror, ["target", "anchor_a_index"]), ["target"], [draw_order(w.seed, "target", "point_b_index"), "point_b_index"], 1)
+        both = scratch.cut(second.withColumnsRenamed({f"point_b_{c}": f"anchor_b_{c}" for c in B}).select("target", "category", *ends), f"ends{Scratch.fresh()}")
+        position = {"question_id": F.col("target"), "x": F.col("anchor_a_x"), "y": F.col("anchor_a_y"), "bx": F.col("anchor_b_x"), "by": F.col("anchor_b_y"), "anchor_index": F.col("anchor_a_index"), "point_b_index": F.col("anchor_b_index")}
+        found = R.between(both.select("target", "category", *ends).withColumns(position), w.places, corridor=corridor)
+        return found.drop("along").withColumnRenamed("question_id", "target").join(both.drop("category"), "target")
+
+    asked, found = first_answered(scratch, w.by_category(ratio), nb_q, candidates, answer, ["target"])
+    asked = asked.select("target", "category").join(found.select("target", *ends).distinct(), "target")
+    asked = asked.withColumn("question_id", F.md5(F.concat_ws("|", "target", "anchor_a_index", "anchor_b_index")))
     asked = asked.withColumn("same_cat", (F.col("anchor_a_category") == F.col("category")) | (F.col("anchor_b_category") == F.col("category")))
-    position = {"x": F.col("anchor_a_x"), "y": F.col("anchor_a_y"), "bx": F.col("anchor_b_x"), "by": F.col("anchor_b_y"), "anchor_index": F.col("anchor_a_index"), "point_b_index": F.col("anchor_b_index")}
-    found = R.between(asked.withColumns(position), w.places, corridor=corridor)
     text = F.concat("category", F.lit(" between "), "anchor_a_name", F.lit(" and "), "anchor_b_name")
-    return pack(asked, found.drop("along"), ["question_id"], w.places, "point_between", text)
-
-
-def _draw(w: World, candidates: DataFrame, nb_q: int, keys: list[str]) -> DataFrame:
-    """Each category's share of nb_q candidates."""
-    rows = candidates.join(F.broadcast(w.per_category(nb_q)), "category")
-    return per_group(rows, ["category"], [draw_order(w.seed, *keys), *keys], F.col("quota")).drop("quota")
+    return pack(asked, found, ["target"], w.places, "point_between", text).drop("target")
 
 
 def _named_areas(w: World, min_size: float) -> DataFrame:
     return w.areas.where("area_name IS NOT NULL").where(F.col("size") > min_size)
 
 
-def _about_areas(w: World, asked: DataFrame) -> DataFrame:
-    return asked.join(w.areas.select(F.col("area_id"), "area_name", F.col("rings").alias("area_geometry")), "area_id")
-
-
-def _members(w: World, min_size: float) -> DataFrame:
-    areas = _named_areas(w, min_size)
-    asked = areas.select("area_id", w.each_category().alias("category"))
-    return R.inside(asked, areas, w.places)
-
-
-def _area(w: World, drawn: DataFrame, found: DataFrame, function: str, text: Column, keys: list[str]) -> DataFrame:
-    rows = pack(_about_areas(w, drawn.select(*keys)), found, keys, w.places, function, text)
-    return rows.withColumnRenamed("area_id", "area_index")
+def _about_areas(w: World, nb_q: int, min_size: float, answer: Callable[[DataFrame], DataFrame], function: str, text: Column, directions: list[str] | None = None) -> DataFrame:
+    """Questions about areas: strata are the categories, candidates the areas, with each direction if there are any."""
+    keys, order = [*R.AREA_KEYS, *(["direction"] if directions else [])], ["area_id", *(["direction"] if directions else [])]
+    rows = _named_areas(w, min_size).select("area_id")
+    if directions:
+        rows = rows.withColumn("direction", F.explode(F.array(*map(F.lit, directions))))
+    asked, found = first_answered(w.scratch(), w.by_category(), nb_q, lambda depth: w.for_each_category(w.first(rows, order, depth)), answer, keys)
+    asked = asked.join(w.areas.select("area_id", "area_name", F.col("rings").alias("area_geometry")), "area_id")
+    return pack(asked, found, keys, w.places, function, text).withColumnRenamed("area_id", "area_index")
 
 
 def area_inside(w: World, nb_q: int = 110, min_size: float = 1000.0) -> DataFrame:
-    members = _members(w, min_size)
-    drawn = _draw(w, members.select(*R.AREA_KEYS).distinct(), nb_q, ["area_id"])
-    return _area(w, drawn, members, "area_inside", F.concat("category", F.lit(" inside "), "area_name"), R.AREA_KEYS)
+    return _about_areas(w, nb_q, min_size, lambda rows: R.inside(rows, w.areas, w.places), "area_inside", F.concat("category", F.lit(" inside "), "area_name"))
 
 
 def area_outside(w: World, nb_q: int = 110, min_size: float = 1000.0, k: int = R.K) -> DataFrame:
-    """Areas and categories with a place outside: the category's places are more than the area's members."""
-    candidates = _named_areas(w, min_size).select("area_id", w.each_category().alias("category"))
-    every = w.places.where("x IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
-    inside = _members(w, min_size).groupBy(*R.AREA_KEYS).agg(F.count("*").alias("m"))
-    candidates = candidates.join(every, "category").join(inside, R.AREA_KEYS, "left").where(F.col("n") > F.coalesce("m", F.lit(0))).select(*R.AREA_KEYS)
-    drawn = _draw(w, candidates, nb_q, ["area_id"])
-    return _area(w, drawn, R.outside(drawn, w.areas, w.places, k), "area_outside", F.concat("category", F.lit(" outside "), "area_name"), R.AREA_KEYS)
+    return _about_areas(w, nb_q, min_size, lambda rows: R.outside(rows, w.areas, w.places, k), "area_outside", F.concat("category", F.lit(" outside "), "area_name"))
 
 
 def area_border(w: World, nb_q: int = 110, min_size: float = 1000.0, k: int = R.K, solid: bool = False) -> DataFrame:
-    drawn = _draw(w, _named_areas(w, min_size).select("area_id", w.each_category().alias("category")), nb_q, ["area_id"])
-    return _area(w, drawn, R.border(drawn, w.areas, w.places, k, solid), "area_border", F.concat("category", F.lit(" at the border of "), "area_name"), R.AREA_KEYS)
+    return _about_areas(w, nb_q, min_size, lambda rows: R.border(rows, w.areas, w.places, k, solid), "area_border", F.concat("category", F.lit(" at the border of "), "area_name"))
 
 
 def area_direction(w: World, nb_q: int = 110, min_size: float = 1000.0, directions: list[str] | None = None) -> DataFrame:
     directions = directions or DIRECTIONS
     _check_directions(directions)
-    candidates = _members(w, min_size).select(*R.AREA_KEYS).distinct().withColumn("direction", F.explode(F.array(*map(F.lit, directions))))
-    drawn = _draw(w, candidates, nb_q, ["area_id", "direction"])
-    keys = [*R.AREA_KEYS, "direction"]
     text = F.concat("category", F.lit(" at the "), "direction", F.lit(" of "), "area_name")
-    return _area(w, drawn, R.direction_in(drawn, w.areas, w.places), "area_direction", text, keys)
+    return _about_areas(w, nb_q, min_size, lambda rows: R.direction_in(rows, w.areas, w.places), "area_direction", text, directions)
 
 
 def _about_street(w: World, asked: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -214,43 +228,55 @@ def _about_street(w: World, asked: DataFrame, key: str, prefix: str) -> DataFram
 
 
 def street_along(w: World, nb_q: int = 110, min_length: float = 500.0, k: int = R.K) -> DataFrame:
-    long = w.streets.where(F.col("street_name").isNotNull() & (F.col("length") > min_length))
-    drawn = _draw(w, long.select("id_street", w.each_category().alias("category")), nb_q, ["id_street"])
-    rows = pack(_about_street(w, drawn, "id_street", "street"), R.along(drawn, w.streets, w.places, k), ["id_street", "category"], w.places, "street_along", F.concat("category", F.lit(" following "), "street_name"))
+    long = w.streets.where(F.col("street_name").isNotNull() & (F.col("length") > min_length)).select("id_street")
+    keys = ["id_street", "category"]
+    asked, found = first_answered(w.scratch(), w.by_category(), nb_q, lambda depth: w.for_each_category(w.first(long, ["id_street"], depth)), lambda rows: R.along(rows, w.streets, w.places, k), keys)
+    rows = pack(_about_street(w, asked, "id_street", "street"), found, keys, w.places, "street_along", F.concat("category", F.lit(" following "), "street_name"))
     return rows.withColumnRenamed("id_street", "street_index")
 
 
 def street_cross(w: World, nb_q: int = 110, k: int = R.K) -> DataFrame:
     """Pairs of named streets that really cross, asked both ways."""
-    named = w.streets.where("street_name IS NOT NULL")
-    pairs = R.crossings(named).select("street_a", "street_b").distinct()
-    both = pairs.unionByName(pairs.select(F.col("street_b").alias("street_a"), F.col("street_a").alias("street_b")))
-    drawn = _draw(w, both.withColumn("category", w.each_category()), nb_q, ["street_a", "street_b"])
-    low = drawn.withColumns({"street_a": F.least("street_a", "street_b"), "street_b": F.greatest("street_a", "street_b")})
-    found = R.cross(low, named, w.places, k).withColumnsRenamed({"street_a": "__a", "street_b": "__b"})
-    same = (F.least("street_a", "street_b") == F.col("__a")) & (F.greatest("street_a", "street_b") == F.col("__b"))
+    scratch = w.scratch()
+    points = scratch.cut(R.crossings(w.streets.where("street_name IS NOT NULL")), "points")
+    pairs = points.select("street_a", "street_b").distinct()
+    pairs = pairs.unionByName(pairs.select(F.col("street_b").alias("street_a"), F.col("street_a").alias("street_b")))
     keys = ["street_a", "street_b", "category"]
-    found = drawn.select(*[F.col(c) for c in keys]).join(found.withColumnRenamed("category", "__c"), same & (F.col("category") == F.col("__c"))).drop("__a", "__b", "__c")
-    about = _about_street(w, _about_street(w, drawn, "street_a", "street_a"), "street_b", "street_b")
+
+    def answer(rows: DataFrame) -> DataFrame:
+        low = rows.select(F.least("street_a", "street_b").alias("low"), F.greatest("street_a", "street_b").alias("high"), *keys)
+        found = R.cross(low.select(F.col("low").alias("street_a"), F.col("high").alias("street_b"), "category"), points, w.places, k)
+        return found.withColumnsRenamed({"street_a": "low", "street_b": "high"}).join(low, ["low", "high", "category"]).drop("low", "high")
+
+    asked, found = first_answered(scratch, w.by_category(), nb_q, lambda depth: w.for_each_category(w.first(pairs, ["street_a", "street_b"], depth)), answer, keys)
+    about = _about_street(w, _about_street(w, asked, "street_a", "street_a"), "street_b", "street_b")
     text = F.concat("category", F.lit(" at the intersection of  "), "street_a_name", F.lit(" and "), "street_b_name")
     rows = pack(about, found, keys, w.places, "street_cross", text)
     return rows.withColumnsRenamed({"street_a": "street_a_index", "street_b": "street_b_index"})
 
 
 def street_opposite_side(w: World, nb_q: int = 110, k: int = R.K, reach: float = 40.0) -> DataFrame:
+    scratch = w.scratch()
     named = w.streets.where("street_name IS NOT NULL")
-    close = R.along_street_pairs(named, w.named(), reach).select("id_street", F.col("poi_id").alias("poi_y"))
-    candidates = close.withColumn("category", w.each_category())
-    found = R.opposite_side(candidates, named, w.places, k)
+    close = scratch.cut(R.along_street_pairs(named, w.named(), reach).select("id_street", F.col("poi_id").alias("poi_y")).distinct(), "close")
     keys = ["id_street", "poi_y", "category"]
-    drawn = _draw(w, found.select(*keys).distinct(), nb_q, ["id_street", "poi_y"])
+    asked, found = first_answered(scratch, w.by_category(), nb_q, lambda depth: w.for_each_category(w.first(close, ["id_street", "poi_y"], depth)), lambda rows: R.opposite_side(rows, named, w.places, k), keys)
     y = w.places.select(F.col("poi_id").alias("poi_y"), F.col("poi_name").alias("poi_y_name"), F.col("x").alias("poi_y_x"), F.col("y").alias("poi_y_y"))
-    about = _about_street(w, drawn, "id_street", "street").join(y, "poi_y")
+    about = _about_street(w, asked, "id_street", "street").join(y, "poi_y")
     text = F.concat("category", F.lit(" across "), "street_name", F.lit(" from "), "poi_y_name")
     rows = pack(about, found.drop("score"), keys, w.places, "street_opposite_side", text)
     return rows.withColumnsRenamed({"id_street": "street_index", "poi_y": "poi_y_id"})
 
 
+def shortfall(rows: DataFrame, nb_q: int, names: list[str] | None = None) -> DataFrame:
+    """(function, asked, produced, missing) of each template."""
+    spark = rows.sparkSession
+    every = spark.createDataFrame([(n,) for n in names or TEMPLATES], "function string")
+    got = rows.groupBy("function").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return every.join(got, "function", "left").select("function", F.lit(nb_q).alias("asked"), n.alias("produced"), (F.lit(nb_q) - n).alias("missing"))
+
+
 @dataclass(frozen=True)
 class Template:
     """A generator with what it needs, its context columns, and the column its query mentions."""

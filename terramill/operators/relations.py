@@ -217,9 +217,8 @@ def crossings(streets: DataFrame) -> DataFrame:
     return met.select(F.col("a").alias("street_a"), F.col("b").alias("street_b"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y")).distinct()
 
 
-def cross(asked: DataFrame, streets: DataFrame, places: DataFrame, k: int = K) -> DataFrame:
-    """asked: street_a, street_b, category; the k places nearest to any crossing of the two streets; none without one."""
-    points = crossings(streets)
+def cross(asked: DataFrame, points: DataFrame, places: DataFrame, k: int = K) -> DataFrame:
+    """asked: street_a, street_b, category; the k places nearest to any of the ``crossings`` of the two streets; none without one."""
     keys = ["street_a", "street_b", "category"]
     each = ranked_search(asked.select(*keys).distinct().join(points, ["street_a", "street_b"]), places, [*keys, "x", "y"], k)
     nearest = each.groupBy(*keys, "poi_id").agg(F.min("dist").alias("dist"))

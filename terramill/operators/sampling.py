@@ -7,10 +7,13 @@ layout of the data gives the same rows. md5 makes them the same in SQL.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terramill.session import Scratch
+
 
 def draw_order(seed: int | str, *keys: str) -> Column:
     """The order of a draw: md5 of seed and keys, joined by colons."""
@@ -44,6 +47,44 @@ def per_group(rows: DataFrame, group: list[str], order: list, n: int | Column) -
     return ranked.where(F.col("__rn") <= n).drop("__rn")
 
 
+def first_answered(
+    scratch: Scratch, strata: list[tuple[int, float]], n: int, candidates: Callable[[int], DataFrame], answer: Callable[[DataFrame], DataFrame], key: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """n candidates that have answers, spread over the strata by weight, and the answers of all candidates looked at.
+
+    ``strata``: (number, weight). ``candidates(depth)``: (stratum, place, key,
+    ...) of each stratum's first ``depth`` candidates, numbered from 1 without
+    gaps. ``answer(candidates)``: rows with the key. A stratum gets its share of
+    n by largest remainders; what it lacks goes to the others in their shares, so
+    that fewer than n come out only if there aren't more. Candidates are looked
+    at in their order, as deep as it takes: the result doesn't depend on depth.
+    """
+    weights = {s: float(w) for s, w in strata if w > 0}
+    if not weights or n < 1:
+        empty = candidates(1).limit(0)
+        return empty, answer(empty)
+    quota = allocate(n, weights)
+    depth, turn = 2 * max(quota.values()) + 2, 0
+    table = scratch.spark.createDataFrame([(s, w, quota[s]) for s, w in weights.items()], "stratum int, weight double, quota long")
+    while True:
+        seen = scratch.cut(candidates(depth), f"seen{turn}")
+        answers = scratch.cut(answer(seen), f"answers{turn}")
+        good = seen.join(answers.select(*key).distinct(), key, "left_semi")
+        ranked = good.withColumn("turn", F.row_number().over(Window.partitionBy("stratum").orderBy("place"))).join(table, "stratum")
+        score = F.struct((F.col("turn") > F.col("quota")).alias("extra"), ((F.col("turn") - 0.5) / F.col("weight")).alias("score"), "stratum")
+        chosen = scratch.cut(ranked.withColumn("score", score).orderBy("score").limit(n), f"chosen{turn}")
+        counts = {r[0]: [r[1], 0] for r in seen.groupBy("stratum").agg(F.max("place")).collect()}
+        for r in good.groupBy("stratum").count().collect():
+            counts[r[0]][1] = r[1]
+        n_chosen, last = chosen.agg(F.count("*"), F.max("score")).first()
+        # where there may be more, the next one would come after all that are chosen
+        comes = lambda s: (counts[s][1] + 1 > quota[s], (counts[s][1] + 0.5) / weights[s], s)
+        more = [s for s in counts if s in weights and counts[s][0] >= depth and (n_chosen < n or comes(s) < tuple(last))]
+        if not more:
+            return chosen.drop("turn", "weight", "quota", "score", "place"), answers
+        depth, turn = depth * 4, turn + 1
+
+
 def numbered(rows: DataFrame, bucket: Column, order: list) -> DataFrame:
     """Adds place, from 0, and total, the number of rows. Buckets follow ``order``, and no task sorts more than one of them."""
     rows = rows.withColumn("__bucket", bucket)

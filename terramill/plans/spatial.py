@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from terramill.operators import corpus, relations, search
-from terramill.session import table
+from terramill.session import Scratch, table
 
 ROUND = 3
 
@@ -72,9 +72,10 @@ def street_touching(spark, d):
 def street_cross(spark, d):
     """The nearest places of every category of the corpus for every crossing pair of streets."""
     places, streets = _places(spark, d), corpus.streets(table(spark, d, "df_streets"))
-    pairs = relations.crossings(streets).select("street_a", "street_b").distinct()
+    points = Scratch(spark, "crossings").cut(relations.crossings(streets), "points")
+    pairs = points.select("street_a", "street_b").distinct()
     asked = pairs.withColumn("category", F.explode(F.array(*map(F.lit, corpus.categories(places))).cast("array<string>")))
-    return _rounded(relations.cross(asked, streets, places))
+    return _rounded(relations.cross(asked, points, places))
 
 
 def street_opposite(spark, d):

@@ -53,6 +53,10 @@ class Scratch:
         if self.root.startswith("file://"):
             atexit.register(shutil.rmtree, self.root[7:], ignore_errors=True)
 
+    @staticmethod
+    def fresh() -> str:
+        return uuid.uuid4().hex
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -137,7 +137,7 @@ def test_streets(spark, world):
     assert got[0] == [p["poi_id"] for p in sorted(of("bar"), key=lambda p: (abs(p["y"] - OY - 250), p["poi_id"]))]
     assert {(r["street_a"], r["street_b"]) for r in R.touching_streets(world.streets).collect()} == {(0, 1)}
     assert [(r["x"] - OX, r["y"] - OY) for r in R.crossings(world.streets).collect()] == [(250.0, 250.0)]
-    cross = answers(R.cross(spark.createDataFrame([(0, 1, "park"), (0, 2, "park")], "street_a long, street_b long, category string"), world.streets, world.places).withColumn("k", F.concat_ws("-", "street_a", "street_b")), "k")
+    cross = answers(R.cross(spark.createDataFrame([(0, 1, "park"), (0, 2, "park")], "street_a long, street_b long, category string"), R.crossings(world.streets), world.places).withColumn("k", F.concat_ws("-", "street_a", "street_b")), "k")
     assert cross == {"0-1": [p["poi_id"] for p in sorted(of("park"), key=lambda p: gap(p, OX + 250, OY + 250))]}
 
 
