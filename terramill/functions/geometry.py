@@ -74,11 +74,10 @@ def bounds(segments: Column) -> Column:
 
 
 def locate(segments: Column, x: Column, y: Column) -> Column:
-    """STRUCT<dist, along, side> of the nearest segment: distance, abscissa from the line's start, +1 left or on and -1 right of it."""
-    start = lambda i: F.aggregate(F.slice(segments, 1, i), F.lit(0.0), lambda s, g: s + F.hypot(g["bx"] - g["ax"], g["by"] - g["ay"]))
+    """STRUCT<dist, along, side> of the nearest segment: distance, abscissa from the line's start, +1 left or on and -1 right of it. Segments know where they start (``at``)."""
     side = lambda g: F.when((g["bx"] - g["ax"]) * (y - g["ay"]) - (g["by"] - g["ay"]) * (x - g["ax"]) >= 0, 1).otherwise(-1)
-    each = F.transform(segments, lambda g, i: F.struct(segment_distance(g, x, y).alias("dist"), (start(i) + _along(g, x, y) * F.hypot(g["bx"] - g["ax"], g["by"] - g["ay"])).alias("along"), side(g).alias("side")))
-    return F.array_min(each)
+    size = lambda g: F.sqrt((g["bx"] - g["ax"]) * (g["bx"] - g["ax"]) + (g["by"] - g["ay"]) * (g["by"] - g["ay"]))
+    return F.array_min(F.transform(segments, lambda g: F.struct(segment_distance(g, x, y).alias("dist"), (g["at"] + _along(g, x, y) * size(g)).alias("along"), side(g).alias("side"))))
 
 
 def azimuth(dx: Column, dy: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terramill.functions import geometry as G
@@ -45,10 +45,16 @@ def areas(df_area: DataFrame) -> DataFrame:
 
 
 def streets(df_streets: DataFrame) -> DataFrame:
-    """One row per id_street with parts: segments, bounds, length in metres."""
+    """One row per id_street with parts: segments (with the way from the start, ``at``), bounds, length in metres."""
     rows = df_streets.where("id_street IS NOT NULL AND parts IS NOT NULL").groupBy(F.col("id_street").cast("long").alias("id_street"))
     rows = rows.agg(F.max("street_name").alias("street_name"), F.max(F.col("parts").cast(RINGS)).alias("parts"))
     rows = rows.withColumn("segments", G.part_segments(F.col("parts"))).where(F.size("segments") >= 1)
+    each = rows.select("id_street", F.posexplode("segments").alias("pos", "g")).select("id_street", "pos", "g.*")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    before = Window.partitionBy("id_street").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("at", F.coalesce(F.sum(F.sqrt(dx * dx + dy * dy)).over(before), F.lit(0.0)))
+    segments = each.groupBy("id_street").agg(F.array_sort(F.collect_list(F.struct("pos", "ax", "ay", "bx", "by", "at"))).alias("segments"))
+    rows = rows.drop("segments").join(segments, "id_street")
     return rows.withColumn("bounds", G.bounds(F.col("segments"))).withColumn("length", G.length(F.col("segments")))
 
 

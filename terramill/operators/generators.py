@@ -331,6 +331,7 @@ def all_templates(w: World, nb_q: int = 100, names: list[str] | None = None) ->
     for t in (TEMPLATES[n] for n in names or TEMPLATES):
         if all(getattr(w, n) is not None for n in t.needs):
             parts.append(t.generate(w, nb_q).drop("question_id"))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # written, as drawing the questions is much work
+    rows = w.scratch().cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "union")
     ids = F.md5(F.concat_ws("|", "function", "query", F.array_join(F.col("results_poi_id").cast("array<string>"), ",")))
     return rows.withColumn("question_id", ids)

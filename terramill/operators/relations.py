@@ -167,7 +167,7 @@ def _cells_of(segments: DataFrame, size: float | Column, margin: float) -> DataF
 
 def segment_pairs(streets: DataFrame, margin: float, size: float = 200.0) -> DataFrame:
     """Pairs of segments of different streets (a < b) whose boxes come closer than the margin, once each."""
-    rows = streets.select("id_street", F.posexplode("segments").alias("pos", "g")).select("id_street", "pos", "g.*")
+    rows = streets.select("id_street", F.inline("segments")).select("id_street", "pos", "ax", "ay", "bx", "by")
     rows = _cells_of(rows, size, margin)
     left = rows.select(F.col("id_street").alias("a"), F.col("pos").alias("pa"), *[F.col(c).alias(f"{c}_1") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
     right = rows.select(F.col("id_street").alias("b"), F.col("pos").alias("pb"), *[F.col(c).alias(f"{c}_2") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
@@ -227,8 +227,7 @@ def cross(asked: DataFrame, points: DataFrame, places: DataFrame, k: int = K) ->
 
 def along_street_pairs(streets: DataFrame, places: DataFrame, reach: float, size: float = 256.0) -> DataFrame:
     """(id_street, poi_id, category) of the places at most ``reach`` off a street."""
-    rows = streets.select("id_street", F.explode("segments").alias("g")).select("id_street", "g", "g.ax", "g.ay", "g.bx", "g.by")
-    rows = _cells_of(rows, size, reach).select("id_street", "g", "cx", "cy")
+    rows = _cells_of(streets.select("id_street", F.inline("segments")), size, reach).select("id_street", F.struct("ax", "ay", "bx", "by").alias("g"), "cx", "cy")
     cell = [F.floor(F.col(c) / size).cast("long").alias(f"c{c}") for c in ("x", "y")]
     points = places.where("x IS NOT NULL AND y IS NOT NULL").select("poi_id", "category", "x", "y", *cell)
     met = points.join(rows, ["cx", "cy"]).where(G.segment_distance(F.col("g"), F.col("x"), F.col("y")) <= reach)

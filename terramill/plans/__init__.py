@@ -1,5 +1,5 @@
 """Registered queries over the tables and their SQL."""
 
-from terramill.plans import attributes, core, spatial
+from terramill.plans import attributes, core, generated, spatial
 
-REGISTERED = (core, spatial, attributes)
+REGISTERED = (core, spatial, attributes, generated)

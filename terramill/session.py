@@ -52,6 +52,11 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/terramill/{name}-{uuid.uuid4().hex}"
         if self.root.startswith("file://"):
             atexit.register(shutil.rmtree, self.root[7:], ignore_errors=True)
+        else:  # goes with the driver
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            files.mkdirs(at)
+            files.deleteOnExit(at)
 
     @staticmethod
     def fresh() -> str:
