@@ -85,15 +85,16 @@ def first_answered(
         depth, turn = depth * 4, turn + 1
 
 
-def numbered(rows: DataFrame, bucket: Column, order: list) -> DataFrame:
-    """Adds place, from 0, and total, the number of rows. Buckets follow ``order``, and no task sorts more than one of them."""
+def numbered(rows: DataFrame, bucket: Column, order: list, group: list[str] | None = None) -> DataFrame:
+    """Adds place, from 0, and total, the number of rows, within each group. Buckets follow ``order``, and no task sorts more than one of them."""
+    group = group or []
     rows = rows.withColumn("__bucket", bucket)
-    everywhere = Window.partitionBy(F.lit(0))
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    everywhere = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    counts = rows.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(everywhere.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__bucket", before.alias("__before"), F.sum("__n").over(everywhere).alias("total"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
-    return rows.join(counts, "__bucket").withColumn("place", place).drop("__bucket", "__before")
+    counts = counts.select(*group, "__bucket", before.alias("__before"), F.sum("__n").over(everywhere).alias("total"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(*order)) - 1
+    return rows.join(counts, [*group, "__bucket"]).withColumn("place", place).drop("__bucket", "__before")
 
 
 def exact_split(rows: DataFrame, key: str, ratio: float, seed: int = 42, buckets: int = 256) -> DataFrame:

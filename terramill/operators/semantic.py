@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terramill.functions.features import FEATURES, Feature, fragments
 from terramill.operators.sampling import draw_order, exact_split, numbered, per_group
+from terramill.session import Scratch
 
 
 def subsets(items: Column, most: int) -> Column:
@@ -19,90 +20,117 @@ def subsets(items: Column, most: int) -> Column:
     return F.when(F.size(items).between(1, most), chosen)
 
 
-def questions(places: DataFrame, features: list[Feature] | None = None) -> DataFrame:
-    """(question ARRAY<STRING>, nb_feature, features MAP, pois, nb_answer): every combination of fragments with the places that have it.
-
-    Fragments are ordered by text, places by poi_id. Rows per place are
-    2 ** features - 1, so a place should have few of them.
-    """
-    features = features or FEATURES
-    rows = places.select("poi_id", F.explode(subsets(fragments(features), len(features))).alias("chosen"))
-    rows = rows.select("poi_id", F.col("chosen.text").alias("question"), F.transform("chosen", lambda c: F.struct(c["name"], c["value"])).alias("pairs"))
-    grouped = rows.groupBy("question").agg(F.min("pairs").alias("pairs"), F.array_sort(F.collect_list("poi_id")).alias("pois"), F.count("*").alias("nb_answer"))
-    return grouped.select("question", F.size("question").alias("nb_feature"), F.map_from_entries("pairs").alias("features"), "pois", "nb_answer")
-
-
 def question_id(question: str = "question") -> Column:
     return F.md5(F.array_join(question, "|"))
 
 
 def question_places(places: DataFrame, features: list[Feature] | None = None) -> DataFrame:
-    """(question_id, question, nb_feature, poi_id): the same in long form, which has no list that grows with the data."""
+    """(question_id, question, nb_feature, pairs, poi_id): every combination of fragments that a place has.
+
+    Fragments are ordered by text. Rows per place are 2 ** features - 1, so a
+    place should have few of them. No list grows with the data.
+    """
     features = features or FEATURES
     rows = places.select("poi_id", F.explode(subsets(fragments(features), len(features))).alias("chosen"))
-    return rows.select(question_id("chosen.text").alias("question_id"), F.col("chosen.text").alias("question"), F.size("chosen").alias("nb_feature"), "poi_id")
+    pairs = F.transform("chosen", lambda c: F.struct(c["name"], c["value"]))
+    return rows.select(question_id("chosen.text").alias("question_id"), F.col("chosen.text").alias("question"), F.size("chosen").alias("nb_feature"), pairs.alias("pairs"), "poi_id")
+
+
+def questions(places: DataFrame, features: list[Feature] | None = None) -> DataFrame:
+    """(question_id, question ARRAY<STRING>, nb_feature, features MAP, nb_answer, first_poi) of every combination; the places are in ``question_places``."""
+    grouped = question_places(places, features).groupBy("question_id", "question", "nb_feature").agg(F.min("pairs").alias("pairs"), F.count("*").alias("nb_answer"), F.min("poi_id").alias("first_poi"))
+    return grouped.withColumn("features", F.map_from_entries("pairs")).drop("pairs")
 
 
-def hard_negatives(asked: DataFrame, places: DataFrame, nb_unmatches: int = 1, columns: list[str] | None = None) -> DataFrame:
-    """(question_id, poi_id, n_matched): places that match at least n - nb_unmatches but not all of a question's n constraints.
+def count_matches(asked: DataFrame, places: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(question_id, n, poi_id, n_matched): places that match some of a question's n constraints, by an equi-join on name and value.
 
-    ``asked``: question_id, features MAP. Constraints meet the places' attributes
-    by an equi-join on name and value. Where no match suffices (n <= nb_unmatches)
-    the places without any are added: all of them that don't match fully.
+    ``asked``: question_id, features MAP. The rows are as many as matches: for
+    a few questions; whole sets of hard negatives are drawn without listing them.
     """
     columns = columns or [f.column for f in FEATURES]
     wanted = asked.select("question_id", F.size("features").alias("n"), F.explode("features").alias("name", "value"))
     have = places.select("poi_id", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]))).where("value IS NOT NULL")
-    matched = wanted.join(have, ["name", "value"]).groupBy("question_id", "n", "poi_id").agg(F.count("*").alias("n_matched"))
-    some = matched.where((F.col("n_matched") < F.col("n")) & (F.col("n_matched") >= F.col("n") - nb_unmatches)).select("question_id", "poi_id", "n_matched")
-    loose = asked.where((F.size("features") > 0) & (F.size("features") <= nb_unmatches)).select("question_id")
-    # by definition all places but the matching ones, for these questions only
-    none = loose.crossJoin(places.select("poi_id").distinct()).join(matched.select("question_id", "poi_id"), ["question_id", "poi_id"], "left_anti")
-    return some.unionByName(none.withColumn("n_matched", F.lit(0).cast("long")))
+    return wanted.join(have, ["name", "value"]).groupBy("question_id", "n", "poi_id").agg(F.count("*").alias("n_matched"))
 
 
-def first_others(asked: DataFrame, matching: DataFrame, order: DataFrame, n: int) -> DataFrame:
-    """(question_id, poi_id): of every question the first n places that don't match it, from its start on around the order.
+#: Group of all places.
+EVERY = "*"
 
-    ``asked``: question_id, start; ``matching``: question_id, poi_id; ``order``:
-    poi_id, place, total (``numbered``). Before the match that is i-th after the
-    start lie its offset less i others, so the offset of the j-th other is j
-    and the matches with at most j others before them. Rows are the matches and
-    n for each question; others aren't listed.
+
+def neighbours(asked: DataFrame, nb_unmatches: int = 1) -> DataFrame:
+    """(question_id, group): the questions that a question becomes without ``nb_unmatches`` constraints; EVERY if it has no more of them.
+
+    The hard negatives of a question are the places of its groups that aren't its own.
+    """
+    fewer = F.filter(subsets(F.col("question"), 32), lambda q: F.size(q) == F.size("question") - nb_unmatches)
+    groups = F.when(F.size("question") <= nb_unmatches, F.array(F.lit(EVERY))).otherwise(F.transform(fewer, lambda q: F.md5(F.array_join(q, "|"))))
+    return asked.select("question_id", F.explode(groups).alias("group"))
+
+
+def grouped_places(long: DataFrame, places: DataFrame, groups: DataFrame, bucket: Column, order: list) -> DataFrame:
+    """(group, poi_id, place, total): the places of every group in one order."""
+    every = places.select(F.lit(EVERY).alias("group"), "poi_id").distinct()
+    rows = long.select(F.col("question_id").alias("group"), "poi_id").unionByName(every).join(groups.select("group").distinct(), "group", "left_semi")
+    return numbered(rows, bucket, order, ["group"])
+
+
+def first_others(asked: DataFrame, matching: DataFrame, order: DataFrame, n: int) -> DataFrame:
+    """(question_id, group, poi_id): for every question and group the group's first n places that don't match the question, from its start on around the order.
+
+    ``asked``: question_id, group, start; ``matching``: question_id, poi_id, all
+    of which are in the question's groups; ``order``: group, poi_id, place, total.
+    Before the match that is i-th after the start lie its offset less i others,
+    so the offset of the j-th other is j and the matches with at most j others
+    before them. Rows are the matches and n for each question and group; others
+    aren't listed.
     """
+    keys = ["question_id", "group"]
     if n < 1:
-        return asked.select("question_id").join(order.select("poi_id"), F.lit(False))
-    total = order.agg(F.max("total").alias("total"))
-    asked = asked.crossJoin(F.broadcast(total)).where("total > 0")  # one row
-    after = F.pmod(F.col("place") - F.col("start"), F.col("total"))
-    met = matching.join(order.select("poi_id", "place"), "poi_id").join(asked, "question_id").select("question_id", after.alias("offset"))
-    others = F.col("offset") - F.row_number().over(Window.partitionBy("question_id").orderBy("offset")) + 1
-    skipped = met.select("question_id", others.alias("j")).where(F.col("j") < n).groupBy("question_id", "j").agg(F.count("*").alias("skip"))
-    slots = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))).join(skipped, ["question_id", "j"], "left")
-    offset = F.col("j") + F.coalesce(F.sum("skip").over(Window.partitionBy("question_id").orderBy("j")), F.lit(0))
+        return asked.select(*keys).join(order.select("poi_id"), F.lit(False))
+    asked = asked.join(order.groupBy("group").agg(F.max("total").alias("total")), "group").withColumn("start", F.pmod("start", "total"))
+    met = matching.join(asked, "question_id").join(order.select("group", "poi_id", "place"), ["group", "poi_id"])
+    met = met.select(*keys, F.pmod(F.col("place") - F.col("start"), F.col("total")).alias("offset"))
+    met = numbered(met, F.floor(F.col("offset") / 65536), ["offset"], keys)
+    skipped = met.select(*keys, (F.col("offset") - F.col("place")).alias("j")).where(F.col("j") < n).groupBy(*keys, "j").agg(F.count("*").alias("skip"))
+    slots = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))).join(skipped, [*keys, "j"], "left")
+    offset = F.col("j") + F.coalesce(F.sum("skip").over(Window.partitionBy(*keys).orderBy("j")), F.lit(0))
     slots = slots.withColumn("offset", offset).where("offset < total")
-    return slots.select("question_id", F.pmod(F.col("start") + F.col("offset"), F.col("total")).alias("place")).join(order, "place").select("question_id", "poi_id")
+    return slots.select(*keys, F.pmod(F.col("start") + F.col("offset"), F.col("total")).alias("place")).join(order, ["group", "place"]).select(*keys, "poi_id")
+
 
+def drawn_hard_negatives(asked: DataFrame, long: DataFrame, places: DataFrame, n: int, nb_unmatches: int = 1, seed: int = 42) -> DataFrame:
+    """(question_id, poi_id): at most n drawn places that match all but at most ``nb_unmatches`` of a question's constraints, but not all.
+
+    ``asked``: question_id, question; ``long``: ``question_places``. Each group
+    of a question gives n in its hashed order, from a start of its own; n of these
+    are drawn. All come out where they are no more than n.
+    """
+    groups = neighbours(asked, nb_unmatches)
+    order = grouped_places(long, places, groups, F.substring(draw_order(seed, "poi_id"), 1, 3), [draw_order(seed, "poi_id"), "poi_id"])
+    start = F.conv(F.substring(draw_order(seed, "question_id", "group"), 1, 15), 16, 10).cast("long")
+    matching = long.select("question_id", "poi_id").join(asked.select("question_id"), "question_id", "left_semi")
+    found = first_others(groups.select("question_id", "group", start.alias("start")), matching, order, n).select("question_id", "poi_id").distinct()
+    return per_group(found, ["question_id"], [draw_order(seed, "question_id", "poi_id"), "poi_id"], n)
 
-def drawn_others(asked: DataFrame, matching: DataFrame, places: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """The same in the hashed order of the places, each question from a start of its own."""
-    hashed = places.select("poi_id").distinct()
-    order = numbered(hashed, F.substring(draw_order(seed, "poi_id"), 1, 3), [draw_order(seed, "poi_id"), "poi_id"])
-    start = F.conv(F.substring(draw_order(seed, "question_id"), 1, 15), 16, 10).cast("long")
-    return first_others(asked.select("question_id", start.alias("start")), matching, order, n)
 
+def hard_negatives(asked: DataFrame, long: DataFrame, places: DataFrame) -> DataFrame:
+    """(question_id, n_hard, first_poi, last_poi) of all places that match all but one of a question's constraints, without listing them; none without such a place.
 
-def others_summary(asked: DataFrame, matching: DataFrame, places: DataFrame) -> DataFrame:
-    """(question_id, n_hard, first_poi, last_poi) of all places that don't match a question, without listing them; none without such a place."""
-    rows = places.select("poi_id").distinct()
-    up = numbered(rows, F.floor(F.col("poi_id") / 4096), ["poi_id"])
+    ``asked``: question_id, question, nb_answer. A place that lacks one
+    constraint is in just one of the question's groups.
+    """
+    groups = neighbours(asked)
+    up = grouped_places(long, places, groups, F.floor(F.col("poi_id") / 4096), ["poi_id"])
     down = up.withColumn("place", F.col("total") - 1 - F.col("place"))
-    asked = asked.select("question_id", F.lit(0).cast("long").alias("start"))
-    first, last = (first_others(asked, matching, order, 1).withColumnRenamed("poi_id", name) for order, name in ((up, "first_poi"), (down, "last_poi")))
-    n = rows.agg(F.count("*").alias("total"))
-    met = matching.groupBy("question_id").agg(F.count("*").alias("met"))
-    both = first.join(last, "question_id").join(met, "question_id", "left").crossJoin(F.broadcast(n))  # one row
-    return both.select("question_id", (F.col("total") - F.coalesce("met", F.lit(0))).alias("n_hard"), "first_poi", "last_poi")
+    matching = long.select("question_id", "poi_id").join(asked.select("question_id"), "question_id", "left_semi")
+    ends = []
+    for order, name, least in ((up, "first_poi", F.min), (down, "last_poi", F.max)):
+        found = first_others(groups.withColumn("start", F.lit(0).cast("long")), matching, order, 1)
+        ends.append(found.groupBy("question_id").agg(least("poi_id").alias(name)))
+    totals = up.groupBy("group").agg(F.max("total").alias("total"))
+    n = groups.join(totals, "group").join(asked.select("question_id", "nb_answer"), "question_id").groupBy("question_id").agg(F.sum(F.col("total") - F.col("nb_answer")).alias("n_hard"))
+    return n.join(ends[0], "question_id").join(ends[1], "question_id").select("question_id", "n_hard", "first_poi", "last_poi")
 
 
 def train_test(places: DataFrame, features: list[Feature] | None = None, ratio_test: float = 0.1, n_hard: int = 20, nb_unmatches: int = 1, seed: int = 42) -> DataFrame:
@@ -110,14 +138,12 @@ def train_test(places: DataFrame, features: list[Feature] | None = None, ratio_t
 
     Questions of at most nb_unmatches attributes draw from all places that don't match.
     """
-    asked = questions(places, features).withColumn("question_id", question_id())
-    asked = exact_split(asked.select("question_id", "features", "pois"), "question_id", ratio_test, seed)
-    positive = asked.select("question_id", "is_test", F.lit("positive").alias("kind"), F.explode("pois").alias("poi_id"))
-    train = asked.where("NOT is_test")
-    hard = hard_negatives(train.where(F.size("features") > nb_unmatches), places, nb_unmatches)
-    hard = per_group(hard, ["question_id"], [draw_order(seed, "question_id", "poi_id"), "poi_id"], n_hard)
-    loose = train.where(F.size("features") <= nb_unmatches)
-    hard = hard.select("question_id", "poi_id").unionByName(drawn_others(loose, loose.select("question_id", F.explode("pois").alias("poi_id")), places, n_hard, seed))
+    scratch = Scratch(places.sparkSession, "sets")
+    long = scratch.cut(question_places(places, features).select("question_id", "question", "poi_id"), "long")
+    asked = long.groupBy("question_id").agg(F.first("question").alias("question"))
+    asked = scratch.cut(exact_split(asked, "question_id", ratio_test, seed), "asked")
+    positive = long.join(asked.select("question_id", "is_test"), "question_id").select("question_id", "is_test", F.lit("positive").alias("kind"), "poi_id")
+    hard = drawn_hard_negatives(asked.where("NOT is_test"), long, places, n_hard, nb_unmatches, seed)
     return positive.unionByName(hard.select("question_id", F.lit(False).alias("is_test"), F.lit("hard").alias("kind"), "poi_id"))
 
 
@@ -125,10 +151,10 @@ def redraw_answers(batches: DataFrame, truth: DataFrame, n_answers: int, seed: i
     """Batches with other answers: (batch_id, poi_ids), at most n_answers drawn positives per question, then the old ids that are relevant to none.
 
     ``batches``: batch_id, questions ARRAY<ARRAY<STRING>>, poi_ids. ``truth``:
-    question ARRAY<STRING>, pois. Questions without truth bring no answers.
+    question ARRAY<STRING>, poi_id (``question_places``). Questions without truth bring no answers.
     """
     asked = batches.select("batch_id", F.explode("questions").alias("question")).distinct()
-    met = asked.join(truth.select("question", F.explode("pois").alias("poi_id")).distinct(), "question")
+    met = asked.join(truth.select("question", "poi_id").distinct(), "question")
     met = met.withColumn("qid", question_id())
     drawn = per_group(met, ["batch_id", "qid"], [draw_order(seed, "qid", "poi_id"), "poi_id"], n_answers).select("batch_id", "poi_id", F.lit(0).alias("at")).distinct()
     old = batches.select("batch_id", F.posexplode("poi_ids").alias("at", "poi_id")).where("poi_id IS NOT NULL")
@@ -137,18 +163,18 @@ def redraw_answers(batches: DataFrame, truth: DataFrame, n_answers: int, seed: i
     return every.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("at", "poi_id")))["poi_id"].alias("poi_ids"))
 
 
-def attribute_groups(answers: DataFrame, columns: list[str], n: int, keys: list[str] | None = None) -> DataFrame:
-    """(keys, features, values, poi_ids, size): answers grouped by every combination of n attributes, rows with nulls in them left out.
+def attribute_groups(answers: DataFrame, columns: list[str], n: int, keys: list[str] | None = None, lists: bool = True) -> DataFrame:
+    """(keys, features, values, poi_ids, first_poi, size): answers grouped by every combination of n attributes, rows with nulls in them left out.
 
     ``answers``: keys, rank, poi_id and the attribute columns; poi_ids keep the
-    order of rank. One pass: each row is repeated for the combinations it has.
+    order of rank; groups without keys can have any size, so ``lists`` is to be False for them. One pass: each row is repeated for the combinations it has.
     """
     keys = keys or []
     combos = list(combinations(columns, n))
     each = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("features"), F.array(*[F.col(x).cast("string") for x in c]).alias("values")) for c in combos])
     rows = answers.select(*keys, "rank", "poi_id", F.inline(F.filter(each, lambda e: F.forall(e["values"], lambda v: v.isNotNull()))))
-    grouped = rows.groupBy(*keys, "features", "values").agg(F.array_sort(F.collect_list(F.struct("rank", "poi_id")))["poi_id"].alias("poi_ids"), F.count("*").alias("size"))
-    return grouped
+    made = [F.array_sort(F.collect_list(F.struct("rank", "poi_id")))["poi_id"].alias("poi_ids")] if lists else []
+    return rows.groupBy(*keys, "features", "values").agg(*made, F.min_by("poi_id", "rank").alias("first_poi"), F.count("*").alias("size"))
 
 
 def composite(asked: DataFrame, answers: DataFrame, columns: list[str], quota: dict[int, int], seed: int = 42) -> DataFrame:

@@ -62,38 +62,30 @@ def stratified(spark, d):
 
 def semantic_questions(spark, d):
     rows = semantic.questions(_places(spark, d))
-    return rows.select(F.array_join("question", "|").alias("question"), "nb_feature", "nb_answer", F.array_min("pois").alias("first_poi"))
+    return rows.select(F.array_join("question", "|").alias("question"), "nb_feature", "nb_answer", "first_poi")
 
 
 def hard_negatives(spark, d):
-    """Numbers of hard negatives of every question of two or more attributes."""
-    places = Scratch(spark, "hard").cut(_places(spark, d), "places")
-    asked = semantic.questions(places).where("nb_feature >= 2").withColumn("question_id", F.array_join("question", "|"))
-    found = semantic.hard_negatives(asked.select("question_id", "features"), places)
-    return found.groupBy("question_id").agg(F.count("*").alias("n_hard"), F.min("poi_id").alias("first_poi"), F.max("poi_id").alias("last_poi"))
-
-
-def hard_negatives_all(spark, d):
-    """The same of every question; one of a single attribute has all places that don't match it."""
-    places = Scratch(spark, "hard").cut(_places(spark, d), "places")
-    asked = semantic.questions(places).withColumn("question_id", F.array_join("question", "|"))
-    found = semantic.hard_negatives(asked.where("nb_feature >= 2").select("question_id", "features"), places)
-    some = found.groupBy("question_id").agg(F.count("*").alias("n_hard"), F.min("poi_id").alias("first_poi"), F.max("poi_id").alias("last_poi"))
-    single = asked.where("nb_feature = 1")
-    return some.unionByName(semantic.others_summary(single, single.select("question_id", F.explode("pois").alias("poi_id")), places))
+    """Hard negatives of every question: how many, the first and the last; one of a single attribute has all places that don't match it."""
+    scratch = Scratch(spark, "hard")
+    places = scratch.cut(_places(spark, d), "places")
+    long = scratch.cut(semantic.question_places(places).select("question_id", "poi_id"), "long")
+    asked = scratch.cut(semantic.questions(places), "asked")
+    found = semantic.hard_negatives(asked, long, places)
+    return found.join(asked.select("question_id", F.array_join("question", "|").alias("question")), "question_id").select("question", "n_hard", "first_poi", "last_poi")
 
 
 def train_test_sets(spark, d):
-    """Rows and questions of each kind in the training and test sets."""
+    """Questions of the training and test sets with their positives and hard negatives: how many, and the first positive."""
     places = Scratch(spark, "sets").cut(_places(spark, d), "places")
     rows = semantic.train_test(places)
-    return rows.groupBy("is_test", "kind").agg(F.countDistinct("question_id").alias("n_questions"), F.count("*").alias("n_rows"))
+    return rows.groupBy("question_id", "is_test", "kind").agg(F.count("*").alias("n_rows"), F.min(F.when(F.col("kind") == "positive", F.col("poi_id"))).alias("first_positive"))
 
 
 def attribute_groups(spark, d):
     rows = _places(spark, d).withColumn("rank", F.col("poi_id"))
-    out = semantic.attribute_groups(rows, ["category", "cooking_type", "outdoor_seating", "indoor_seating"], 2)
-    return out.select(F.array_join("features", "|").alias("features"), F.array_join("values", "|").alias("values"), "size", F.get("poi_ids", F.lit(0)).alias("first_poi"))
+    out = semantic.attribute_groups(rows, ["category", "cooking_type", "outdoor_seating", "indoor_seating"], 2, lists=False)
+    return out.select(F.array_join("features", "|").alias("features"), F.array_join("values", "|").alias("values"), "size", "first_poi")
 
 
 def _answers(spark, d):
@@ -146,8 +138,7 @@ QUERIES = {
     "train_test_split": train_test_split,
     "stratify": stratified,
     "semantic_questions": semantic_questions,
-    "hard_negatives": hard_negatives,  # its SQL has questions of two attributes and more
-    "hard_negatives_all": hard_negatives_all,
+    "hard_negatives": hard_negatives,
     "train_test_sets": train_test_sets,
     "attr_groups": attribute_groups,
     "composite": composite,
@@ -192,6 +183,18 @@ sub AS (
 ),
 ask AS (SELECT question, nb_feature, count(*) AS nb_answer, min(poi_id) AS first_poi, any_value(pairs) AS pairs FROM sub GROUP BY question, nb_feature)"""
 
+_HARD = """
+have AS (
+  SELECT poi_id, 'category=' || category AS pair FROM poi WHERE category IS NOT NULL UNION ALL SELECT poi_id, 'cooking_type=' || cooking_type FROM poi WHERE cooking_type IS NOT NULL
+  UNION ALL SELECT poi_id, 'outdoor_seating=' || outdoor_seating FROM poi WHERE outdoor_seating IS NOT NULL UNION ALL SELECT poi_id, 'indoor_seating=' || indoor_seating FROM poi WHERE indoor_seating IS NOT NULL
+),
+want AS (SELECT question, nb_feature AS n, unnest(pairs) AS pair FROM ask),
+met AS (SELECT question, n, poi_id, count(*) AS m FROM want JOIN have USING (pair) GROUP BY ALL),
+hard AS (
+  SELECT question, count(*) AS n_hard, min(poi_id) AS first_poi, max(poi_id) AS last_poi FROM met WHERE m = n - 1 AND n > 1 GROUP BY question
+  UNION ALL SELECT question, count(*), min(poi_id), max(poi_id) FROM (SELECT question FROM ask WHERE nb_feature = 1) CROSS JOIN (SELECT DISTINCT poi_id FROM poi) ANTI JOIN met USING (question, poi_id) GROUP BY question
+)"""
+
 _CLEAN = "nullif(regexp_replace(regexp_replace({0}, '[_;\\s]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '')"
 
 _ONE = "b AS (SELECT DISTINCT ON (question_id) * FROM benchmark WHERE question_id IS NOT NULL)"
@@ -232,14 +235,24 @@ t AS (SELECT min(n / share) AS total FROM n),
 r AS (SELECT poi_id, category, share, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || poi_id), poi_id) AS k FROM poi JOIN s USING (category))
 SELECT poi_id, category FROM r, t WHERE k <= floor(total * share + 1e-9)""",
     "semantic_questions": f"WITH {POI}, {_FRAGMENTS}, {_QUESTIONS} SELECT question, nb_feature, nb_answer, first_poi FROM ask",
-    "hard_negatives": f"""WITH {POI}, {_FRAGMENTS}, {_QUESTIONS},
-have AS (
-  SELECT poi_id, 'category=' || category AS pair FROM poi WHERE category IS NOT NULL UNION ALL SELECT poi_id, 'cooking_type=' || cooking_type FROM poi WHERE cooking_type IS NOT NULL
-  UNION ALL SELECT poi_id, 'outdoor_seating=' || outdoor_seating FROM poi WHERE outdoor_seating IS NOT NULL UNION ALL SELECT poi_id, 'indoor_seating=' || indoor_seating FROM poi WHERE indoor_seating IS NOT NULL
-),
-want AS (SELECT question AS question_id, nb_feature AS n, unnest(pairs) AS pair FROM ask WHERE nb_feature >= 2),
-met AS (SELECT question_id, n, poi_id, count(*) AS m FROM want JOIN have USING (pair) GROUP BY ALL)
-SELECT question_id, count(*) AS n_hard, min(poi_id) AS first_poi, max(poi_id) AS last_poi FROM met WHERE m < n AND m >= n - 1 GROUP BY question_id""",
+    "hard_negatives": f"""WITH {POI}, {_FRAGMENTS}, {_QUESTIONS}, {_HARD}
+SELECT question, n_hard, first_poi, last_poi FROM hard""",
+    "train_test_sets": f"""WITH {POI}, {_FRAGMENTS}, {_QUESTIONS}, {_HARD},
+split AS (SELECT question, md5(question) AS question_id, nb_answer, first_poi, row_number() OVER (ORDER BY md5('42:' || md5(question)), md5(question)) <= floor(count(*) OVER () * 0.1) AS is_test FROM ask)
+SELECT question_id, is_test, 'positive' AS kind, nb_answer AS n_rows, first_poi AS first_positive FROM split
+UNION ALL SELECT question_id, false, 'hard', least(20, n_hard), NULL FROM split JOIN hard USING (question) WHERE NOT is_test""",
+    "spearman_direction": f"""WITH {POI}, q AS (
+  SELECT DISTINCT ON (question_id) question_id, direction, results_poi_id FROM benchmark
+  WHERE question_id IS NOT NULL AND function = 'area_direction' AND direction IN ('north', 'south', 'east', 'west') AND nullif({FOLD.format("category_query")}, '') IS NOT NULL
+), r AS (SELECT question_id, direction, unnest(results_poi_id) AS poi_id, unnest(range(len(results_poi_id))) AS rank FROM q),
+c AS (SELECT question_id, -rank AS a, CASE direction WHEN 'north' THEN y WHEN 'south' THEN -y WHEN 'east' THEN x ELSE -x END AS b FROM r JOIN poi USING (poi_id) WHERE x IS NOT NULL),
+k AS (
+  SELECT question_id, rank() OVER (PARTITION BY question_id ORDER BY a) + (count(*) OVER (PARTITION BY question_id, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY question_id ORDER BY b) + (count(*) OVER (PARTITION BY question_id, b) - 1) / 2 AS rb FROM c
+), v AS (
+  SELECT question_id, count(*) AS n, sum((ra - ma) * (rb - mb)) AS sab, sum((ra - ma) * (ra - ma)) AS saa, sum((rb - mb) * (rb - mb)) AS sbb
+  FROM (SELECT *, avg(ra) OVER (PARTITION BY question_id) AS ma, avg(rb) OVER (PARTITION BY question_id) AS mb FROM k) GROUP BY question_id
+)
+SELECT question_id, n, round(CASE WHEN saa > 0 AND sbb > 0 THEN sab / sqrt(saa * sbb) END, 6) AS rho FROM v""",
     "attr_groups": f"""WITH {POI}, v AS (
   SELECT poi_id, 'category' AS f, 1 AS o, category AS v FROM poi UNION ALL SELECT poi_id, 'cooking_type', 2, cooking_type FROM poi
   UNION ALL SELECT poi_id, 'outdoor_seating', 3, outdoor_seating FROM poi UNION ALL SELECT poi_id, 'indoor_seating', 4, indoor_seating FROM poi

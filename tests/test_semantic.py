@@ -16,7 +16,7 @@ def brute(constraints, places):
 def test_training_questions_of_one_attribute_have_hard_negatives(tables):
     places = corpus.pois(tables.make(OSM, POIS)).cache()
     rows = places.collect()
-    asked = {r["question_id"]: r for r in semantic.questions(places).withColumn("question_id", semantic.question_id()).collect()}
+    asked = {r["question_id"]: r for r in semantic.questions(places).collect()}
     for n_hard in (3, 1000):
         found = semantic.train_test(places, n_hard=n_hard).collect()
         test = {r["question_id"] for r in found if r["is_test"]}
@@ -30,6 +30,17 @@ def test_training_questions_of_one_attribute_have_hard_negatives(tables):
             assert len(got) == len(set(got)) == min(n_hard, len(expected)) and set(got) <= expected, r["question"]
 
 
+def test_hard_negatives_that_lack_two_constraints(tables):
+    places = corpus.pois(tables.make(OSM, POIS)).cache()
+    rows, long = places.collect(), semantic.question_places(places)
+    asked = semantic.questions(places).where("nb_feature = 3")
+    got = {}
+    for r in semantic.drawn_hard_negatives(asked, long, places, 1000, nb_unmatches=2).collect():
+        got.setdefault(r["question_id"], set()).add(r["poi_id"])
+    for q in asked.collect():
+        assert got.get(q["question_id"], set()) == {p["poi_id"] for p in rows if 1 <= sum(p[k] == v for k, v in q["features"].items()) < 3}
+
+
 def test_hard_negatives_of_all_questions(spark, tables, tmp_path):
     tables.make(OSM, POIS).write.parquet(f"{tmp_path}/df_osm.parquet")
     places = corpus.pois(tables.make(OSM, POIS)).cache()
@@ -38,4 +49,4 @@ def test_hard_negatives_of_all_questions(spark, tables, tmp_path):
     for r in semantic.questions(places).collect():
         if others := brute(r["features"], rows):
             expected["|".join(r["question"])] = (len(others), min(others), max(others))
-    assert {r["question_id"]: (r["n_hard"], r["first_poi"], r["last_poi"]) for r in attributes.hard_negatives_all(spark, str(tmp_path)).collect()} == expected
+    assert {r["question"]: (r["n_hard"], r["first_poi"], r["last_poi"]) for r in attributes.hard_negatives(spark, str(tmp_path)).collect()} == expected

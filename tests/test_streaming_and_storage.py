@@ -119,16 +119,16 @@ def test_allocate():
 def test_questions_negatives_and_sets(spark):
     places = spark.createDataFrame([(1, "cafe", "thai", "yes", None), (2, "cafe", None, "no", None), (3, "bar", "thai", "yes", "yes"), (4, None, "nan", None, None)], "poi_id long, category string, cooking_type string, outdoor_seating string, indoor_seating string")
     asked = {tuple(r["question"]): r for r in semantic.questions(places).collect()}
-    assert asked[("category cafe",)]["pois"] == [1, 2] and len(asked) == 7 + 3 + 15 - 4
+    assert (asked[("category cafe",)]["nb_answer"], asked[("category cafe",)]["first_poi"]) == (2, 1) and len(asked) == 7 + 3 + 15 - 4
     assert asked[("cooking_type thai", "with outdoor seating")]["features"] == {"cooking_type": "thai", "outdoor_seating": "yes"}
     one = spark.createDataFrame([("q", {"category": "cafe", "cooking_type": "thai"}), ("r", {"category": "bar"})], "question_id string, features map<string,string>")
-    got = sorted((r["question_id"], r["poi_id"], r["n_matched"]) for r in semantic.hard_negatives(one, places).collect())
-    assert got == [("q", 2, 1), ("q", 3, 1), ("r", 1, 0), ("r", 2, 0), ("r", 4, 0)]
+    got = sorted((r["question_id"], r["poi_id"], r["n_matched"]) for r in semantic.count_matches(one, places).collect())
+    assert got == [("q", 1, 2), ("q", 2, 1), ("q", 3, 1), ("r", 3, 1)]
     sets = semantic.train_test(places, ratio_test=0.25, n_hard=1).collect()
     assert len({r["question_id"] for r in sets if r["is_test"]}) == len(asked) // 4
     assert not any(r["is_test"] and r["kind"] == "hard" for r in sets)
     batches = spark.createDataFrame([(1, [["category cafe"]], [2, 3, 3, None])], "batch_id long, questions array<array<string>>, poi_ids array<long>")
-    ids = semantic.redraw_answers(batches, semantic.questions(places), 1).first()["poi_ids"]
+    ids = semantic.redraw_answers(batches, semantic.question_places(places), 1).first()["poi_ids"]
     assert len(ids) == 2 and ids[0] in (1, 2) and ids[1] == 3
 
 
