@@ -136,8 +136,10 @@ class Hierarchy:
                 break
             boxes = boxes.drop("node").withColumnRenamed("parent", "node")
             width *= FAN
-        #: At most TOP boxes.
-        self.top = self.levels.pop().limit(TOP + parts).collect()
+        top = self.levels.pop()
+        if (n := top.count()) > TOP + 2 * parts:
+            raise RuntimeError(f"{n} boxes at the top of the hierarchy")
+        self.top = top.collect()
 
     def containing(self, points: DataFrame, id_col: str = "poi_id") -> DataFrame:
         """(id, area_id) once for each point in a triangle of the area, borders of areas and holes included."""
