@@ -22,6 +22,8 @@ from terramill.session import Scratch
 
 #: Parts into which the records of a key are salted.
 SALTS = 64
+#: Groups of a bucket of the running sums, at most about.
+BUCKET = 20_000
 
 
 def incidences(batches: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def linked_groups(batches: DataFrame, seed: int = 42) -> DataFrame:
     return members.join(least, "root").select("batch_id", "group_id")
 
 
-def split_groups(weights: DataFrame, configs: DataFrame, buckets: int = 1024) -> DataFrame:
+def split_groups(weights: DataFrame, configs: DataFrame) -> DataFrame:
     """(config_id, group_id, split): whole groups assigned to test, validation and train by cumulative weight.
 
     ``weights``: (group_id, weight). A group heavier than 1 % of all is placed
@@ -114,11 +116,15 @@ def split_groups(weights: DataFrame, configs: DataFrame, buckets: int = 1024) ->
     order of a seeded hash; those whose cumulative weight ends within the rest
     of the test share go to test, the next to validation, the others to train.
     The running sum is taken within hash buckets after adding the sums of the
-    buckets before, so no task holds all groups.
+    buckets before, so no task holds all groups; buckets grow in number with them.
     A null or negative ratio counts as 0; ratios above 1 together leave nothing for train.
     """
-    total = weights.agg(F.sum("weight")).first()[0] or 0
-    heavy = [(r["group_id"], r["weight"]) for r in weights.where(F.col("weight") > total / 100).orderBy(F.desc("weight"), "group_id").limit(100).collect()]
+    count, total = weights.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    buckets = max(1024, 1 << (count // BUCKET).bit_length())
+    large = weights.where(F.col("weight") > total / 100)
+    if (n := large.count()) >= 100:
+        raise RuntimeError(f"{n} groups above 1 % of all")
+    heavy = [(r["group_id"], r["weight"]) for r in large.orderBy(F.desc("weight"), "group_id").collect()]
     light = weights.where(F.col("weight") <= total / 100)
     placed, open_shares = [], []
     for c in configs.select("config_id", "ratio_test", "ratio_validation", "seed").distinct().collect():
