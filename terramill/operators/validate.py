@@ -72,6 +72,12 @@ def violations(rows: DataFrame, places: DataFrame | None = None, key: str = "que
     return found.unionByName(rest)
 
 
+def examples(found: DataFrame, max_rows: int, key: str = "question_id") -> DataFrame:
+    """The first ``max_rows`` questions of every check, for reading."""
+    ranked = found.withColumn("__rn", F.row_number().over(Window.partitionBy("check").orderBy(key)))
+    return ranked.where(F.col("__rn") <= F.lit(max_rows)).drop("__rn")
+
+
 def answer_stats(rows: DataFrame) -> DataFrame:
     """One row: questions, and least, greatest, mean (2 decimals), median and number of empty answers."""
     size = F.coalesce(F.size("results_poi_id"), F.lit(0))

@@ -1,5 +1,5 @@
 """Registered queries over the tables and their SQL."""
 
-from terramill.plans import attributes, core, generated, spatial
+from terramill.plans import attributes, core, generated, spatial, storage
 
-REGISTERED = (core, spatial, attributes, generated)
+REGISTERED = (core, spatial, attributes, generated, storage)

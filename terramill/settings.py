@@ -13,10 +13,4 @@ AREA_TAGS = {"leisure": ["park", "nature_reserve", "garden"], "boundary": ["admi
 CATEGORY_TAGS = ["amenity", "shop", "tourism", "leisure", "station", "public_transport", "railway"]
 NAME_TAGS = ["poi_name", "name", "name:fr", "brand", "operator", "alt_name"]
 EXCLUDED = ["bench", "waste_basket", "bicycle_parking", "vending_machine", "yes", "parking_space", "ticket_validator", "recycling"]
-BBOX = (2.24, 48.8, 2.41, 48.9)
-BBOX_TEST = (2.346, 48.853, 2.362, 48.862)
-BBOX_WEST = (2.24, 48.8156, 2.3470, 48.9022)
-BBOX_EAST = (2.3470, 48.8156, 2.41, 48.9022)
-
-#: Categories asked for where a question set needs a list of them.
-QUERY_CATEGORIES = ["bakery", "bar", "cafe", "hotel", "library", "museum", "park", "pharmacy", "pub", "restaurant", "station"]
+BOXES = {"all": (2.24, 48.8, 2.41, 48.9), "test": (2.346, 48.853, 2.362, 48.862), "west": (2.24, 48.8156, 2.3470, 48.9022), "east": (2.3470, 48.8156, 2.41, 48.9022)}

@@ -25,6 +25,12 @@ def bbox_to_lambert(spark: SparkSession, bbox: tuple[float, float, float, float]
     return low["x"], low["y"], high["x"], high["y"]
 
 
+def bbox_to_polygon(bbox: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
+    """The box (west, south, east, north) as the closed ring of a polygon, counter-clockwise from its south-west corner."""
+    west, south, east, north = bbox
+    return [[(west, south), (east, south), (east, north), (west, north), (west, south)]]
+
+
 def in_box(box: tuple[float, float, float, float], x: str = "x", y: str = "y") -> Column:
     return F.col(x).between(box[0], box[2]) & F.col(y).between(box[1], box[3])
 
@@ -39,8 +45,10 @@ def places(elements: DataFrame, tags: dict | None = None, excluded: list[str] |
     """Corpus of places from elements (osm_id, lon, lat, name, tag columns): projected, categorised, with cuisine and text.
 
     Elements without a name, outside the box or of an excluded category are
-    dropped. The key is the element's own id, so it is stable.
+    dropped. The key is the element's own id, so it is stable. ``bbox`` is a box
+    in degrees or the name of one in ``settings.BOXES``.
     """
+    bbox = settings.BOXES[bbox] if isinstance(bbox, str) else bbox
     tags = {c: v for c, v in (tags or settings.CATEGORIES).items() if c in elements.columns}
     rows = elements.where("name IS NOT NULL").withColumn("at", G.lambert93(F.col("lon"), F.col("lat")))
     rows = rows.withColumn("category", features.first_tag(tags)).where(~F.col("category").isin(excluded or settings.EXCLUDED))
@@ -51,6 +59,12 @@ def places(elements: DataFrame, tags: dict | None = None, excluded: list[str] |
     return rows.withColumn("bow_poi", features.serialize([f.column for f in features.FEATURES], rows.columns, address=False))
 
 
+def element_text(elements: DataFrame, columns: list[str] | None = None, context: str | None = None) -> DataFrame:
+    """(osm_id, text) of elements by all their name, category and address tags."""
+    text = features.serialize(columns or [f.column for f in features.FEATURES], elements.columns, name_tags=settings.NAME_TAGS, category_tags=settings.CATEGORY_TAGS, context=context)
+    return elements.select(F.col("osm_id").cast("long").alias("osm_id"), text.alias("text"))
+
+
 def listed_places(spark: SparkSession, path: str, bbox, columns: list[str] | None = None) -> DataFrame:
     """Open places of a JSON-lines listing (latitude, longitude, permanently_closed, ...) in a box in degrees, projected."""
     west, south, east, north = bbox

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from terramill.functions.wkb import rings_to_wkb, wkb_to_rings
 from terramill.operators.validate import LISTS, answer_stats, frequencies, violations
-from terramill.session import delete_path
+from terramill.session import Scratch, delete_path
+from terramill.sources.extracts import storable
 
 FORMAT_VERSION = 1
 CRS = "EPSG:2154"
@@ -106,15 +107,17 @@ def save(rows: DataFrame, path: str, *, places: DataFrame | None = None, meta: d
     if exists(spark, path) and not overwrite:
         raise FileExistsError(f"{path} exists; pass overwrite=True to replace it")
     if validate:
+        rows = Scratch(spark, "checked").cut(rows, "rows")
         found = violations(rows, places, key).groupBy("check").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "check").collect()
         if found:
             text = ", ".join(f"{r['check']} {r['n']}" for r in found)
             if validate == "raise":
                 raise ValueError(f"incoherent question set: {text}")
             log.warning("incoherent question set %s: %s", path, text)
-    encoded, _ = encode_geometries(normalise_lists(rows))
+    encoded, _ = encode_geometries(normalise_lists(storable(rows)))
     encoded.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
-    write_text(spark, _meta_path(path), json.dumps(describe(rows, meta), indent=2, ensure_ascii=False))
+    # described as written, so that the questions aren't made again
+    write_text(spark, _meta_path(path), json.dumps(describe(spark.read.parquet(path).select(rows.columns), meta), indent=2, ensure_ascii=False))
     return path
 
 

@@ -142,3 +142,29 @@ def test_extracts(spark, tmp_path):
     lines = [(1, "S", [[(0.0, 0.0), (10.0, 0.0)]]), (2, "S", [[(10.0, 0.0), (20.0, 0.0)]]), (3, "S", [[(110.0, 0.0), (130.0, 0.0)]]), (4, "S", [[(500.0, 0.0), (510.0, 0.0)]]), (5, None, [[(0.0, 0.0), (1.0, 1.0)]])]
     streets = extracts.named_streets(spark.createDataFrame(lines, "osm_id long, name string, parts array<array<struct<x:double,y:double>>>"))
     assert sorted((r["id_street"], [[p["x"] for p in part] for part in r["parts"]]) for r in streets.collect()) == [(1, [[110.0, 130.0], [0.0, 10.0, 20.0]]), (4, [[500.0, 510.0]])]
+
+
+def test_boxes_listings_and_texts(spark, tmp_path):
+    assert extracts.bbox_to_polygon((1, 2, 3, 4)) == [[(1, 2), (3, 2), (3, 4), (1, 4), (1, 2)]]
+    listing = [(1, 48.85, 2.35, False), (2, 48.85, 2.35, True), (3, 10.0, 2.35, False)]
+    spark.createDataFrame(listing, "id long, latitude double, longitude double, permanently_closed boolean").write.json(f"{tmp_path}/listing")
+    assert [r["id"] for r in extracts.listed_places(spark, f"{tmp_path}/listing", (2.24, 48.8, 2.41, 48.9), ["id"]).collect()] == [1]
+    elements = spark.createDataFrame([(1, 2.35, 48.85, "Chez_X", "cafe", "yes"), (2, 9.0, 48.85, "Y", "bar", None)], "osm_id long, lon double, lat double, name string, amenity string, outdoor_seating string")
+    assert [r["text"] for r in extracts.element_text(elements).orderBy("osm_id").collect()] == ["chez x cafe outdoor seating", "y bar"]
+    assert [r["poi_id"] for r in extracts.places(elements, bbox="all").collect()] == [1]
+
+
+def test_storable_columns_and_sets(spark, tmp_path):
+    rows = spark.range(2).select("id", F.lit(None).alias("nothing"))
+    extracts.storable(rows).write.parquet(f"{tmp_path}/stored")
+    assert spark.read.parquet(f"{tmp_path}/stored").count() == 2
+    sets = spark.createDataFrame([("q", False, "positive", 1), ("q", False, "hard", 2), ("r", True, "positive", 3)], "question_id string, is_test boolean, kind string, poi_id long")
+    Q.save_train_test(sets, f"{tmp_path}/sets", {"seed": 1, "n_hard": 2})
+    assert spark.read.parquet(f"{tmp_path}/sets/train_set.parquet").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/sets/test_set.parquet").columns == ["question_id", "poi_id"]
+    assert json.loads(Q.read_text(spark, f"{tmp_path}/sets/config.json")) == {"n_hard": 2}
+
+
+def test_examples_of_every_check(spark):
+    found = spark.createDataFrame([(i, c, 1) for i in range(9) for c in ("a", "b")], "question_id long, check string, n long")
+    assert sorted((r["check"], r["question_id"]) for r in validate.examples(found, 2).collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
