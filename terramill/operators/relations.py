@@ -165,13 +165,14 @@ def _cells_of(segments: DataFrame, size: float | Column, margin: float) -> DataF
     return out.withColumn("cy", F.explode(F.sequence(cell(ends[0] - margin - 1e-6), cell(ends[1] + margin + 1e-6))))
 
 
-def segment_pairs(streets: DataFrame, margin: float, size: float = 200.0) -> DataFrame:
-    """Pairs of segments of different streets (a < b) whose boxes come closer than the margin, once each."""
-    rows = streets.select("id_street", F.inline("segments")).select("id_street", "pos", "ax", "ay", "bx", "by")
+def segment_pairs(streets: DataFrame, margin: float, size: float = 200.0, by: list[str] | None = None) -> DataFrame:
+    """Pairs of segments of different streets (a < b) whose boxes come closer than the margin, once each; ``by``: only of streets that agree in these columns."""
+    by = by or []
+    rows = streets.select("id_street", *by, F.inline("segments")).select("id_street", *by, "pos", "ax", "ay", "bx", "by")
     rows = _cells_of(rows, size, margin)
-    left = rows.select(F.col("id_street").alias("a"), F.col("pos").alias("pa"), *[F.col(c).alias(f"{c}_1") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
-    right = rows.select(F.col("id_street").alias("b"), F.col("pos").alias("pb"), *[F.col(c).alias(f"{c}_2") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
-    return left.join(right, ["cx", "cy"]).where("a < b").drop("cx", "cy").dropDuplicates(["a", "pa", "b", "pb"])
+    left = rows.select(F.col("id_street").alias("a"), F.col("pos").alias("pa"), *[F.col(c).alias(f"{c}_1") for c in ("ax", "ay", "bx", "by")], "cx", "cy", *by)
+    right = rows.select(F.col("id_street").alias("b"), F.col("pos").alias("pb"), *[F.col(c).alias(f"{c}_2") for c in ("ax", "ay", "bx", "by")], "cx", "cy", *by)
+    return left.join(right, ["cx", "cy", *by]).where("a < b").drop("cx", "cy", *by).dropDuplicates(["a", "pa", "b", "pb"])
 
 
 def _offsets(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,9 +206,9 @@ def _meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"x": "Float64", "y": "Float64"}).where(out.notna(), pd.NA)
 
 
-def touching_streets(streets: DataFrame, tolerance: float = TOUCH) -> DataFrame:
-    """(street_a, street_b, gap), a < b: streets at most ``tolerance`` apart."""
-    met = segment_pairs(streets, tolerance).mapInPandas(_meet, PAIR).where(F.col("gap") <= tolerance)
+def touching_streets(streets: DataFrame, tolerance: float = TOUCH, by: list[str] | None = None) -> DataFrame:
+    """(street_a, street_b, gap), a < b: streets at most ``tolerance`` apart; ``by``: only those that agree in these columns."""
+    met = segment_pairs(streets, tolerance, max(200.0, tolerance), by).mapInPandas(_meet, PAIR).where(F.col("gap") <= tolerance)
     return met.groupBy(F.col("a").alias("street_a"), F.col("b").alias("street_b")).agg(F.min("gap").alias("gap"))
 
 

@@ -16,6 +16,8 @@ from terramill import settings
 from terramill.functions import cuisine, features
 from terramill.functions import geometry as G
 from terramill.functions.wkb import RINGS
+from terramill.operators.relations import touching_streets
+from terramill.session import Scratch
 
 
 def bbox_to_lambert(spark: SparkSession, bbox: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
@@ -87,18 +89,6 @@ def named_areas(elements: DataFrame, tags: dict | None = None) -> DataFrame:
     return rows.select(F.col("osm_id").alias("area_id"), F.col("name").alias("area_name"), "category", "admin_level", F.col("rings").cast(RINGS).alias("rings"))
 
 
-def _gap(a: np.ndarray, b: np.ndarray) -> float:
-    """Least distance of two polylines whose segments don't cross (crossing ones share a cell anyway and give 0)."""
-    best = np.inf
-    for p, q in ((a, b), (b, a)):
-        s, d = q[:-1], np.diff(q, axis=0)
-        size = (d * d).sum(axis=1)
-        for point in p:
-            t = np.clip(np.divide(((point - s) * d).sum(axis=1), size, out=np.zeros(len(d)), where=size > 0), 0, 1)
-            best = min(best, float(np.hypot(*(point - s - t[:, None] * d).T).min()))
-    return best
-
-
 def join_lines(lines: list[np.ndarray]) -> list[np.ndarray]:
     """Lines merged where the ends of exactly two meet."""
     lines = [x for x in lines if len(x) > 1]
@@ -116,25 +106,19 @@ def join_lines(lines: list[np.ndarray]) -> list[np.ndarray]:
         lines = [x for k, x in enumerate(lines) if k not in (i, j)] + [np.vstack([a, b[1:]])]
 
 
-def cluster_lines(lines: list[np.ndarray], reach: float) -> list[list[np.ndarray]]:
-    """Lines grouped so that each group is connected by gaps of at most ``reach``."""
-    owner = list(range(len(lines)))
-
-    def find(i: int) -> int:
-        while owner[i] != i:
-            owner[i] = owner[owner[i]]
-            i = owner[i]
-        return i
-
-    boxes = [(x.min(axis=0) - reach, x.max(axis=0) + reach) for x in lines]
-    for i in range(len(lines)):
-        for j in range(i):
-            if find(i) != find(j) and (boxes[i][0] <= boxes[j][1]).all() and (boxes[j][0] <= boxes[i][1]).all() and _gap(lines[i], lines[j]) <= reach:
-                owner[find(i)] = find(j)
-    groups: dict[int, list[np.ndarray]] = {}
-    for i, line in enumerate(lines):
-        groups.setdefault(find(i), []).append(line)
-    return list(groups.values())
+def connected(vertices: DataFrame, edges: DataFrame, scratch: Scratch, limit: int = 100) -> DataFrame:
+    """(id, root): the least vertex of each vertex's component, by taking the least root of all neighbours and jumping to its root, until nothing moves."""
+    both = scratch.cut(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct(), "edges")
+    roots = scratch.cut(vertices.select("id", F.col("id").alias("root")), "roots0")
+    for turn in range(limit):
+        near = both.join(roots.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
+        hooked = roots.join(near, "id", "left").select("id", "root", F.least("root", "near").alias("to"))
+        ahead = roots.select(F.col("id").alias("to"), F.col("root").alias("far"))
+        moved = scratch.cut(hooked.join(ahead, "to").select("id", "root", F.col("far").alias("next")), f"roots{turn + 1}")
+        if moved.where("root <> next").isEmpty():
+            return moved.select("id", "root")
+        roots = moved.select("id", F.col("next").alias("root"))
+    raise RuntimeError(f"components still move after {limit} rounds")
 
 
 def named_streets(elements: DataFrame, tags: dict | None = None, reach: float = 100.0) -> DataFrame:
@@ -142,26 +126,27 @@ def named_streets(elements: DataFrame, tags: dict | None = None, reach: float =
 
     One row for each name and cluster of its lines: lines at most ``reach``
     apart belong together, as buffers of half that width would touch. Nameless
-    lines are dropped. The id is the least element id of the cluster. A street's
-    lines are grouped in one task, as many as bear one name.
+    lines are dropped. The id is the least element id of the cluster. Lines meet
+    in grid cells; a task joins the lines of one cluster.
     """
     tags = {c: v for c, v in (tags or settings.STREETS_TAGS).items() if c in elements.columns}
+    scratch = Scratch(elements.sparkSession, "streets")
     rows = elements.where("name IS NOT NULL AND parts IS NOT NULL")
     if tags:
         rows = rows.where(features.first_tag(tags) != "unknown")
-    flat = rows.select("name", "osm_id", F.posexplode("parts").alias("part", "line")).select("name", "osm_id", "part", F.col("line.x").alias("xs"), F.col("line.y").alias("ys"))
+    rows = rows.select("name", F.col("osm_id").cast("long").alias("osm_id"), F.posexplode("parts").alias("part", "line")).where(F.size("line") > 1)
+    lines = scratch.cut(rows.select(F.monotonically_increasing_id().alias("id"), "*"), "lines")
+    segments = F.transform(G.part_segments(F.array("line")), lambda g, i: F.struct(i.alias("pos"), g["ax"].alias("ax"), g["ay"].alias("ay"), g["bx"].alias("bx"), g["by"].alias("by")))
+    close = touching_streets(lines.select(F.col("id").alias("id_street"), "name", segments.alias("segments")), reach, ["name"])
+    roots = connected(lines, close.select(F.col("street_a").alias("a"), F.col("street_b").alias("b")), scratch)
+    flat = lines.join(roots, "id").select("name", "root", "osm_id", "part", F.col("line.x").alias("xs"), F.col("line.y").alias("ys"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["osm_id", "part"])
-        lines = [np.column_stack([x, y]) for x, y in zip(frame["xs"], frame["ys"])]
-        ids = {id(line): int(i) for line, i in zip(lines, frame["osm_id"])}
-        out = []
-        for group in cluster_lines([x for x in lines if len(x) > 1], reach):
-            merged = join_lines(group)
-            out.append((min(ids[id(x)] for x in group), frame["name"].iloc[0], [x[:, 0].tolist() for x in merged], [x[:, 1].tolist() for x in merged]))
-        return pd.DataFrame(out, columns=["id_street", "street_name", "xs", "ys"])
-
-    built = flat.groupBy("name").applyInPandas(build, "id_street long, street_name string, xs array<array<double>>, ys array<array<double>>")
+        merged = join_lines([np.column_stack([x, y]) for x, y in zip(frame["xs"], frame["ys"])])
+        return pd.DataFrame([(int(frame["osm_id"].iloc[0]), frame["name"].iloc[0], [x[:, 0].tolist() for x in merged], [x[:, 1].tolist() for x in merged])], columns=["id_street", "street_name", "xs", "ys"])
+
+    built = flat.groupBy("name", "root").applyInPandas(build, "id_street long, street_name string, xs array<array<double>>, ys array<array<double>>")
     point = lambda p, q: F.struct(p.alias("x"), q.alias("y"))
     return built.select("id_street", "street_name", F.zip_with("xs", "ys", lambda a, b: F.zip_with(a, b, point)).alias("parts"))
 

@@ -168,3 +168,11 @@ def test_storable_columns_and_sets(spark, tmp_path):
 def test_examples_of_every_check(spark):
     found = spark.createDataFrame([(i, c, 1) for i in range(9) for c in ("a", "b")], "question_id long, check string, n long")
     assert sorted((r["check"], r["question_id"]) for r in validate.examples(found, 2).collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
+def test_lines_of_one_name_are_joined_by_chains(spark):
+    pieces = [(i, "Long", [[(30.0 * i, 0.0), (30.0 * i + 20.0, 0.0)]]) for i in range(40)] + [(99, "Long", [[(5000.0, 0.0), (5010.0, 0.0)]]), (50, "Other", [[(0.0, 1.0), (5.0, 1.0)]]), (60, "Long", [[(1.0, 1.0)]])]
+    lines = spark.createDataFrame(pieces, "osm_id long, name string, parts array<array<struct<x:double,y:double>>>")
+    got = {r["id_street"]: (r["street_name"], len(r["parts"])) for r in extracts.named_streets(lines).collect()}
+    assert got == {0: ("Long", 40), 99: ("Long", 1), 50: ("Other", 1)}
+    assert extracts.named_streets(lines.limit(0)).count() == 0
