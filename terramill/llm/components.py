@@ -9,11 +9,16 @@ is left. The stored steps are then unwound by pointer doubling.
 Scale: a key shared by many records becomes a two-level star instead of pairs:
 records point to the least record of their salted part of the key, and these to
 the least of the key. Each round costs joins over the edges that are left, a
-constant factor fewer each time. Every round is a written table.
+constant factor fewer each time. Every round is a written table. The last edges,
+few enough for one task whatever there was at first, are contracted in one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from terramill.session import Scratch
 
 #: Parts into which the records of a key are salted.
 SALTS = 64
+#: Edges that one task contracts.
+FEW = 200_000
 #: Groups of a bucket of the running sums, at most about.
 BUCKET = 20_000
 
@@ -52,12 +59,40 @@ def star_edges(links: DataFrame, vertex: str = "batch_id", key: str = "key") ->
     return lower.where("u < v").unionByName(upper.where("u < v")).distinct()
 
 
+def _finish(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """The same contraction of the few edges that are left, in memory: (vertex, parent) with each vertex's root as its parent."""
+    edges = pd.concat([*frames, pd.DataFrame({"u": [], "v": []}, dtype="int64")], ignore_index=True)
+    ids, ends = np.unique(edges[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    rng = np.random.default_rng(seed)
+    while len(u):
+        heads = rng.random(len(ids)) < 0.5
+        mixed = heads[u] != heads[v]
+        tail, head = np.where(heads[u], v, u)[mixed], np.where(heads[u], u, v)[mixed]
+        parent = np.full(len(ids), len(ids))
+        np.minimum.at(parent, tail, head)
+        moved = np.where(parent < len(ids), parent, np.arange(len(ids)))
+        root, u, v = moved[root], moved[u], moved[v]
+        u, v = np.unique(np.sort(np.column_stack([u, v])[u != v], axis=1), axis=0).T
+    gone = root != np.arange(len(ids))
+    yield pd.DataFrame({"vertex": ids[gone], "parent": ids[root[gone]]})
+
+
 def contract(edges: DataFrame, scratch: Scratch, seed: int = 42, limit: int = 400) -> DataFrame | None:
-    """(vertex, root) of every vertex on an edge, by random-mate contraction; None without edges."""
+    """(vertex, root) of every vertex on an edge, by random-mate contraction; None without edges.
+
+    As soon as the edges left are FEW, one task ends it by the same rule: roots
+    may be others then, components aren't.
+    """
     edges = scratch.cut(edges, "edges0")
     steps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while left := edges.count():
         turn = len(steps)
+        if left <= FEW:
+            last = edges.coalesce(1).mapInPandas(lambda frames: _finish(frames, seed), "vertex long, parent long")
+            steps.append(scratch.cut(last, f"step{turn}"))
+            break
         if turn >= limit:
             raise RuntimeError(f"edges are left after {limit} rounds")
         heads = lambda c: F.xxhash64(F.lit(seed * 1_000_003 + turn), F.col(c)) % 2 == 0

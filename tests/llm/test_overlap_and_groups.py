@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pytest
 from conftest import BATCHES, CONFIG, rows_of
 
 from terramill.llm import components, overlap
@@ -157,7 +158,9 @@ def sparse(n=300, seed=4):
     return [{"batch_id": i, "poi_ids": rng.choice([None, [], [rng.randint(0, 2000), None, rng.randint(0, 2000)]]), "author": rng.choice([None, "", " ", f"x{rng.randint(0, 400)}", f" X{rng.randint(0, 400)} "])} for i in range(n)]
 
 
-def test_groups(tables):
+@pytest.mark.parametrize("few", [0, 25, 10**6])
+def test_groups(tables, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     for rows in (sparse(), [{"batch_id": i, "poi_ids": [i, i + 1]} for i in range(0, 60)], [{"batch_id": i, "author": "hot"} for i in range(150)]):
         want = sorted((b, min(g)) for g in closure(rows) if len(g) > 1 for b in g)
         assert rows_of(components.linked_groups(tables.make(BATCHES, rows + rows[:10], True))) == want
