@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from terramill.functions import geometry as G
 from terramill.operators.proximity import Hierarchy
 from terramill.operators.search import level_of, meet, radius_join, ranked_search, top
+from terramill.session import Scratch
 
 K = 100
 HALF_WIDTH = 70.0
@@ -97,6 +98,7 @@ def _framed(asked: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
 
 
 def _nearest_to_shapes(asked: DataFrame, shapes: DataFrame, key: str, places: DataFrame, k: int, score: Column, match: Column | None = None) -> DataFrame:
+    shapes = Scratch(places.sparkSession, "shapes").cut(shapes.select(key, "segments", "bounds"), "shapes")  # each round of the search joins them
     dx = F.greatest(F.lit(0.0), F.col("box_x0") - F.col("px"), F.col("px") - F.col("box_x1"))
     dy = F.greatest(F.lit(0.0), F.col("box_y0") - F.col("py"), F.col("py") - F.col("box_y1"))
     return ranked_search(

@@ -13,11 +13,12 @@ from terramill.session import Scratch, table
 ASKED = 110
 
 
-def world(spark, d) -> generators.World:
+def world(spark, d, needs: tuple[str, ...] = ("areas", "streets")) -> generators.World:
+    """The tables of a world, of areas and streets those needed."""
     scratch = Scratch(spark, "world")
-    return generators.World(
-        scratch.cut(corpus.pois(table(spark, d, "df_osm")), "places"), scratch.cut(corpus.areas(table(spark, d, "df_area")), "areas"), scratch.cut(corpus.streets(table(spark, d, "df_streets")), "streets")
-    )
+    places = scratch.cut(corpus.pois(table(spark, d, "df_osm")), "places")
+    shapes = {"areas": lambda: corpus.areas(table(spark, d, "df_area")), "streets": lambda: corpus.streets(table(spark, d, "df_streets"))}
+    return generators.World(places, **{name: scratch.cut(shapes[name](), name) for name in needs})
 
 
 def listed(rows):
@@ -29,7 +30,7 @@ def listed(rows):
 
 
 def _generated(name):
-    return lambda spark, d: listed(generators.TEMPLATES[name].generate(world(spark, d), ASKED))
+    return lambda spark, d: listed(generators.TEMPLATES[name].generate(world(spark, d, generators.TEMPLATES[name].needs), ASKED))
 
 
 def union_all_templates(spark, d):
