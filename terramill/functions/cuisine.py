@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from terramill.functions.text import deaccent, strip
 
 # Facet vocabularies, synonyms, suffixes and separators of cuisine tags.
-REGIONAL = """
-    japanese chinese korean vietnamese thai indian pakistani indonesian filipino cambodian malaysian asian oriental
-    french italian spanish portuguese greek german english swiss austrian belgian dutch hungarian polish russian
-    balkan basque corsican savoyard alsatian mediterranean american mexican argentinian brazilian peruvian cuban
-    caribbean tex-mex cajun lebanese turkish moroccan tunisian algerian syrian iranian afghan georgian armenian
-    israeli african ethiopian senegalese
-""".split()
-DISH = """
-    pizza pasta burger sandwich kebab tacos sushi ramen noodle poke bowl dumpling dim_sum curry seafood fish chicken
-    steak_house grill barbecue rotisserie friture crepe galette tapas fondue raclette salad soup fish_and_chips
-    hot_dog bagel wings empanada wok teppanyaki
-""".split()
-VENUE = """
-    coffee_shop cafe bar pub wine_bar beer brewery ice_cream bakery pastry chocolate donut cake dessert bubble_tea
-    tea juice smoothie breakfast brunch snack fast_food bistro brasserie food_court diner buffet
-""".split()
-DIET = "vegan vegetarian halal kosher gluten_free organic bio".split()
+REGIONAL = [
+    "japanese", "chinese", "korean", "vietnamese", "thai", "indian", "pakistani", "indonesian", "filipino", "cambodian", "malaysian", "asian",
+    "oriental", "french", "italian", "spanish", "portuguese", "greek", "german", "english", "swiss", "austrian", "belgian", "dutch", "hungarian",
+    "polish", "russian", "balkan", "basque", "corsican", "savoyard", "alsatian", "mediterranean", "american", "mexican", "argentinian", "brazilian",
+    "peruvian", "cuban", "caribbean", "tex-mex", "cajun", "lebanese", "turkish", "moroccan", "tunisian", "algerian", "syrian", "iranian", "afghan",
+    "georgian", "armenian", "israeli", "african", "ethiopian", "senegalese",
+]
+DISH = [
+    "pizza", "pasta", "burger", "sandwich", "kebab", "tacos", "sushi", "ramen", "noodle", "poke", "bowl", "dumpling", "dim_sum", "curry", "seafood",
+    "fish", "chicken", "steak_house", "grill", "barbecue", "rotisserie", "friture", "crepe", "galette", "tapas", "fondue", "raclette", "salad",
+    "soup", "fish_and_chips", "hot_dog", "bagel", "wings", "empanada", "wok", "teppanyaki",
+]
+VENUE = [
+    "coffee_shop", "cafe", "bar", "pub", "wine_bar", "beer", "brewery", "ice_cream", "bakery", "pastry", "chocolate", "donut", "cake", "dessert",
+    "bubble_tea", "tea", "juice", "smoothie", "breakfast", "brunch", "snack", "fast_food", "bistro", "brasserie", "food_court", "diner", "buffet",
+]
+DIET = [
+    "vegan", "vegetarian", "halal", "kosher", "gluten_free", "organic", "bio",
+]
 SYNONYMS = {
     "francaise": "french", "italienne": "italian", "italien": "italian", "chinoise": "chinese", "chinois": "chinese",
     "japonaise": "japanese", "japonais": "japanese", "indienne": "indian", "libanaise": "lebanese", "grecque": "greek",

@@ -24,6 +24,7 @@ from terramill.operators.sampling import draw_order, first_answered, per_group
 from terramill.operators.search import radius_join
 from terramill.session import Scratch
 
+# Distances; so are the wording of the questions (two blanks in street_cross) and the names of the columns below.
 DISTANCES = [100, 300, 500, 1000]
 DIRECTIONS = list(G.CARDINAL)
 

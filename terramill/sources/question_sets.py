@@ -81,6 +81,7 @@ def normalise_lists(rows: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, extra: dict | None = None) -> dict:
     """Metadata of a question set: size, columns, counts by template and category, answer sizes, provenance."""
+    # The key names of the sidecar are a file format.
     stats = answer_stats(rows).first().asDict() if "results_poi_id" in rows.columns else {"n_questions": rows.count()}
     meta = {
         "format_version": FORMAT_VERSION, "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "n_questions": stats.pop("n_questions"),
