@@ -94,10 +94,11 @@ def frequencies(rows: DataFrame, column: str) -> DataFrame:
 
 
 def direction_correlation(answers: DataFrame, keys: list[str], coordinate: str = "coordinate") -> DataFrame:
-    """(keys, n, rho): Spearman's correlation of -rank and the coordinate signed by direction; ties get average ranks, null below two rows."""
+    """(keys, n, rho): Spearman's correlation of -rank and the coordinate signed by direction; ties get average ranks, null below two rows and where one side is all ties."""
     def average_rank(c: Column) -> Column:
         return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
 
     rows = answers.select(*keys, (-F.col("rank")).alias("a"), F.col(coordinate).alias("b"))
     rows = rows.select(*keys, average_rank(F.col("a")).alias("a"), average_rank(F.col("b")).alias("b"))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
+    rho = F.try_divide(F.covar_pop("a", "b"), F.sqrt(F.var_pop("a") * F.var_pop("b")))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), rho.alias("rho"))
