@@ -49,6 +49,11 @@ def located(places: DataFrame) -> DataFrame:
     return places.select("poi_id", "category", "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND category IS NOT NULL")
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that no join may broadcast: their size is estimated by the file they come from, which is packed, and from before they were repeated for cells or levels."""
+    return rows.hint("merge")
+
+
 def meet(covered: DataFrame, places: DataFrame, levels: DataFrame) -> DataFrame:
     """Covered rows (PLACE and others) with the places (poi_id, px, py) of their category in their cell; ``levels``: the distinct (category, level) in use."""
     spread = located(places).select("poi_id", "category", F.col("x").alias("px"), F.col("y").alias("py")).join(levels, "category")
@@ -111,7 +116,7 @@ def first_radius(asked: DataFrame, places: DataFrame, wanted: float, box: tuple[
     counts = fine.select("category", "cx", "cy", "n", each).select("category", "level", up("cx"), up("cy"), "n").groupBy(*PLACE).agg(F.sum("n").alias("n")).where(F.col("n") >= math.ceil(wanted))
     own = asked.select("asked_id", "category", "x", "y", each)
     ax, ay = cells(F.col("level"), F.col("x"), F.col("y"))
-    met = own.withColumns({"cx": ax, "cy": ay}).join(counts, PLACE).groupBy("asked_id").agg(F.min(F.struct("level", "n")).alias("cell"))
+    met = shuffled(own.withColumns({"cx": ax, "cy": ay})).join(counts, PLACE).groupBy("asked_id").agg(F.min(F.struct("level", "n")).alias("cell"))
     size = F.pow(F.lit(2.0), F.col("cell.level"))
     return asked.join(met, "asked_id", "left").withColumn("radius", size * F.sqrt(F.lit(SURPLUS * wanted / math.pi) / F.col("cell.n"))).drop("cell")
 
@@ -121,15 +126,16 @@ def _met(pending: DataFrame, places: DataFrame, scratch: Scratch, name: str, n:
     covered, levels = ringed(pending), ring_levels(pending)
     if n <= CROWD:
         return _gapped(meet(covered, places, levels))
+    covered = shuffled(covered)
     crowds = scratch.cut(covered.groupBy(*PLACE).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1"), f"crowds{name}")
     if crowds.isEmpty():
         return _gapped(meet(covered, places, levels))
-    plain = meet(covered.join(crowds, PLACE, "left_anti"), places, levels)
-    asked = covered.join(crowds, PLACE).withColumn("salt", F.pmod(F.xxhash64("asked_id"), F.col("parts")).cast("int")).drop("parts")
+    plain = meet(shuffled(ringed(pending).join(crowds, PLACE, "left_anti")), places, levels)
+    asked = ringed(pending).join(crowds, PLACE).withColumn("salt", F.pmod(F.xxhash64("asked_id"), F.col("parts")).cast("int")).drop("parts")
     held = located(places).select("poi_id", "category", F.col("x").alias("px"), F.col("y").alias("py")).join(crowds.select("category", "level").distinct(), "category")
     px, py = cells(F.col("level"), F.col("px"), F.col("py"))
     held = held.withColumns({"cx": px, "cy": py}).join(crowds, PLACE).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return _gapped(plain.unionByName(asked.join(held, [*PLACE, "salt"]).drop("level", "cx", "cy", "salt")))
+    return _gapped(plain.unionByName(shuffled(asked).join(held, [*PLACE, "salt"]).drop("level", "cx", "cy", "salt")))
 
 
 def ranked_search(
@@ -169,8 +175,9 @@ def ranked_search(
     pending = first_radius(one, places, k / share, tuple(box)).join(boxes, "category").withColumn("most", most).drop("x0", "x1", "y0", "y1")
     pending = scratch.cut(pending.withColumn("radius", F.least(F.col("most"), F.coalesce("radius", "most"))).repartition(spread), "pending0")
     results: list[DataFrame] = []
-    turn = 0
+    turn = most_asked = 0
     while n := pending.count():
+        most_asked = max(most_asked, n)
         reach = F.col("radius") + F.col("base")
         met = _met(pending.withColumn("reach", reach), places, scratch, str(turn), n)
         if least is not None:
@@ -195,5 +202,6 @@ def ranked_search(
         out = out.unionByName(more)
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in what]
     hashed = lambda df: df.withColumn("__what", F.xxhash64(*what))
-    names = hashed(named).alias("n").join(hashed(one).alias("o"), [F.col("n.__what") == F.col("o.__what"), *same]).select(*[F.col(f"n.{c}") for c in keys], "asked_id")
-    return names.join(out, "asked_id").select(*keys, "poi_id", "dist", "rank")
+    whole = shuffled if most_asked > CROWD else lambda rows: rows
+    names = whole(hashed(named)).alias("n").join(hashed(one).alias("o"), [F.col("n.__what") == F.col("o.__what"), *same]).select(*[F.col(f"n.{c}") for c in keys], "asked_id")
+    return whole(names).join(out, "asked_id").select(*keys, "poi_id", "dist", "rank")

@@ -1,6 +1,10 @@
 """Ties, and plans whose work follows the rows and not their pairs."""
 
-from terramill.operators import validate
+import math
+
+from pyspark.sql import functions as F
+
+from terramill.operators import relations, search, validate
 
 
 def test_correlation_of_equal_coordinates_is_null(spark):
@@ -8,3 +12,22 @@ def test_correlation_of_equal_coordinates_is_null(spark):
     answers = spark.createDataFrame(rows, "question_id long, rank long, coordinate double")
     got = {r["question_id"]: (r["n"], r["rho"] and round(r["rho"], 6)) for r in validate.direction_correlation(answers, ["question_id"]).collect()}
     assert got == {1: (3, None), 2: (2, 1.0), 3: (1, None), 4: (3, -0.866025)}
+
+
+def test_search_broadcasts_no_rows_repeated_for_levels(spark):
+    places = spark.range(400).selectExpr("id AS poi_id", "'c' AS category", "double(id * 37 % 5000) AS x", "double(id * 91 % 5000) AS y")
+    asked = spark.range(3000).selectExpr("id AS question_id", "'c' AS category", "double(id % 5000) AS x", "double(id * 7 % 5000) AS y", "id AS anchor_index", "'east' AS direction")
+    scratch = search.Scratch(spark, "test")
+    held, ids = scratch.cut(places, "places"), scratch.cut(asked.withColumnRenamed("question_id", "asked_id"), "asked")
+    first = search.first_radius(ids, held, 10, (0.0, 5000.0, 0.0, 5000.0))
+    plans = [first, search._met(first.withColumn("reach", F.col("radius")), held, scratch, "0", 3000)]
+    for plan, joined in zip(plans, ("level", "cx")):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in text.split("\n") if "BroadcastHashJoin [" in line and joined in line.split("]")[0]], text
+    small = [r for r in places.collect()]
+    got = {}
+    for r in relations.near_cardinal(asked.where("question_id < 2500"), places, 5).collect():
+        got.setdefault(r["question_id"], []).append((r["rank"], r["poi_id"]))
+    for q in asked.where("question_id < 50").collect():
+        fits = sorted((math.hypot(p["x"] - q["x"], p["y"] - q["y"]), p["poi_id"]) for p in small if p["poi_id"] != q["anchor_index"] and abs((math.degrees(math.atan2(p["x"] - q["x"], p["y"] - q["y"])) - 90 + 540) % 360 - 180) <= 70)
+        assert [i for _, i in sorted(got.get(q["question_id"], []))] == [i for _, i in fits[:5]]
