@@ -153,12 +153,23 @@ def redraw_answers(batches: DataFrame, truth: DataFrame, n_answers: int, seed: i
     ``batches``: batch_id, questions ARRAY<ARRAY<STRING>>, poi_ids. ``truth``:
     question ARRAY<STRING>, poi_id (``question_places``). Questions without truth bring no answers.
     """
-    asked = batches.select("batch_id", F.explode("questions").alias("question")).distinct()
-    met = asked.join(truth.select("question", "poi_id").distinct(), "question")
-    met = met.withColumn("qid", question_id())
-    drawn = per_group(met, ["batch_id", "qid"], [draw_order(seed, "qid", "poi_id"), "poi_id"], n_answers).select("batch_id", "poi_id", F.lit(0).alias("at")).distinct()
-    old = batches.select("batch_id", F.posexplode("poi_ids").alias("at", "poi_id")).where("poi_id IS NOT NULL")
-    old = old.join(met.select("batch_id", "poi_id"), ["batch_id", "poi_id"], "left_anti").groupBy("batch_id", "poi_id").agg((F.min("at") + 1).alias("at"))
+    scratch = Scratch(batches.sparkSession, "redrawn")
+    # places are drawn once for each question, however many batches ask it; questions get short numbers
+    long = scratch.cut(truth.select(question_id().alias("qid"), "poi_id"), "long")
+    codes = scratch.cut(long.select("qid").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
+    asked = batches.select("batch_id", F.explode("questions").alias("question")).where(F.forall("question", lambda f: f.isNotNull())).select("batch_id", question_id().alias("qid"))
+    asked = scratch.cut(asked.join(codes, "qid").select("batch_id", "code").distinct(), "asked")
+    used = scratch.cut(codes.join(asked.select("code").distinct(), "code", "left_semi"), "used")
+    long = long.join(used, "qid")
+    draw = Window.partitionBy("code").orderBy(draw_order(seed, "qid", "poi_id"), "poi_id")
+    drawn = long.select("code", "poi_id", F.dense_rank().over(draw).alias("__rn")).where(F.col("__rn") <= n_answers)
+    drawn = scratch.cut(drawn.select("code", "poi_id").distinct(), "drawn")
+    drawn = asked.join(drawn, "code").select("batch_id", "poi_id", F.lit(0).alias("at")).distinct()
+    old = scratch.cut(batches.select("batch_id", F.posexplode("poi_ids").alias("at", "poi_id")).where("poi_id IS NOT NULL"), "old")
+    # the questions that an old answer fits, of those only that its batch asks: never all places of a question
+    fits = old.select("batch_id", "poi_id").hint("merge").join(long.select("code", "poi_id"), "poi_id")
+    fits = fits.hint("merge").join(asked, ["batch_id", "code"], "left_semi").select("batch_id", "poi_id").distinct()
+    old = old.join(fits, ["batch_id", "poi_id"], "left_anti").groupBy("batch_id", "poi_id").agg((F.min("at") + 1).alias("at"))
     every = drawn.select("batch_id", "at", "poi_id").unionByName(old.select("batch_id", "at", "poi_id"))
     return every.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("at", "poi_id")))["poi_id"].alias("poi_ids"))
 

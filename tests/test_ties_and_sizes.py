@@ -1,10 +1,11 @@
 """Ties, and plans whose work follows the rows and not their pairs."""
 
+import hashlib
 import math
 
 from pyspark.sql import functions as F
 
-from terramill.operators import relations, search, validate
+from terramill.operators import relations, search, semantic, validate
 
 
 def test_correlation_of_equal_coordinates_is_null(spark):
@@ -31,3 +32,25 @@ def test_search_broadcasts_no_rows_repeated_for_levels(spark):
     for q in asked.where("question_id < 50").collect():
         fits = sorted((math.hypot(p["x"] - q["x"], p["y"] - q["y"]), p["poi_id"]) for p in small if p["poi_id"] != q["anchor_index"] and abs((math.degrees(math.atan2(p["x"] - q["x"], p["y"] - q["y"])) - 90 + 540) % 360 - 180) <= 70)
         assert [i for _, i in sorted(got.get(q["question_id"], []))] == [i for _, i in fits[:5]]
+
+
+def most_rows(plan):
+    """The most rows that a node of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return most_rows(plan.plan())
+    metric, children = plan.metrics().get("numOutputRows"), plan.children()
+    return max([metric.get().value() if metric.isDefined() else 0, *(most_rows(children.apply(i)) for i in range(children.size()))])
+
+
+def test_redrawn_answers_list_no_pairs_of_batches_and_places(spark):
+    truth = spark.range(400).selectExpr("array('category bar') AS question", "id AS poi_id")
+    batches = spark.range(300).selectExpr("id AS batch_id", "array(array('category bar'), array('category bar', null), array('none')) AS questions", "array(id, id + 1000, id + 1000, null, 7) AS poi_ids")
+    rows = semantic.redraw_answers(batches, truth, 3)
+    got = {r["batch_id"]: r["poi_ids"] for r in rows.collect()}
+    qid = hashlib.md5(b"category bar").hexdigest()
+    first = sorted(sorted(range(400), key=lambda i: hashlib.md5(f"42:{qid}:{i}".encode()).hexdigest())[:3])
+    assert got == {i: [*first, i + 1000] for i in range(300)}
+    assert most_rows(rows._jdf.queryExecution().executedPlan()) < 20 * 300
