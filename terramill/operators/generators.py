@@ -11,8 +11,9 @@ four parallel answer lists, ranked from 1.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,14 @@ from terramill.functions import geometry as G
 from terramill.operators import corpus
 from terramill.operators import relations as R
 from terramill.operators.sampling import draw_order, first_answered, per_group
-from terramill.operators.search import radius_join
+from terramill.operators.search import Index, radius_join
 from terramill.session import Scratch
 
 # Distances; so are the wording of the questions (two blanks in street_cross) and the names of the columns below.
 DISTANCES = [100, 300, 500, 1000]
 DIRECTIONS = list(G.CARDINAL)
+#: Templates that are made at the same time.
+TOGETHER = 3
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,11 @@ class World:
         if self.categories is None:
             object.__setattr__(self, "categories", corpus.categories(self.places))
 
+    @cached_property
+    def index(self) -> Index:
+        """The places for ranked searches, prepared once for all templates."""
+        return Index(self.places).keep(R.K)
+
     def named(self) -> DataFrame:
         return self.places.where("poi_name IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND category IS NOT NULL")
 
@@ -106,7 +114,7 @@ def _positions(asked: DataFrame) -> DataFrame:
 
 
 def point_near(w: World, nb_q: int = 110, ratio: dict | None = None) -> DataFrame:
-    asked, found = _anchored(w, nb_q, ratio, lambda rows: R.near(_positions(rows), w.places))
+    asked, found = _anchored(w, nb_q, ratio, lambda rows: R.near(_positions(rows), w.index))
     return pack(asked, found, ["question_id"], w.places, "point_near", F.concat("category", F.lit(" near "), "anchor_name"))
 
 
@@ -125,7 +133,7 @@ def _check_directions(directions: list[str]) -> None:
 def point_near_cardinal(w: World, nb_q: int = 110, ratio: dict | None = None, directions: list[str] | None = None, half_width: float = R.HALF_WIDTH) -> DataFrame:
     directions = directions or DIRECTIONS
     _check_directions(directions)
-    asked, found = _anchored(w, nb_q, ratio, lambda rows: R.near_cardinal(_positions(rows), w.places, half_width=half_width), "direction", directions)
+    asked, found = _anchored(w, nb_q, ratio, lambda rows: R.near_cardinal(_positions(rows), w.index, half_width=half_width), "direction", directions)
     text = F.concat("category", F.lit(" to the "), "direction", F.lit(" of "), "anchor_name")
     return pack(asked, found, ["question_id"], w.places, "point_near_cardinal", text)
 
@@ -151,7 +159,7 @@ def point_towards(w: World, nb_q: int = 110, ratio: dict | None = None, half_wid
 
     def answer(rows: DataFrame) -> DataFrame:
         rows = with_b(rows)
-        found = R.towards(rows.withColumns({"bx": F.col("point_b_x"), "by": F.col("point_b_y")}), w.places, half_width=half_width)
+        found = R.towards(rows.withColumns({"bx": F.col("point_b_x"), "by": F.col("point_b_y")}), w.index, half_width=half_width)
         return found.join(rows.select("question_id", *[f"point_b_{c}" for c in B]), "question_id")
 
     asked, found = _anchored(w, nb_q, ratio, answer)
@@ -209,11 +217,11 @@ def area_inside(w: World, nb_q: int = 110, min_size: float = 1000.0) -> DataFram
 
 
 def area_outside(w: World, nb_q: int = 110, min_size: float = 1000.0, k: int = R.K) -> DataFrame:
-    return _about_areas(w, nb_q, min_size, lambda rows: R.outside(rows, w.areas, w.places, k), "area_outside", F.concat("category", F.lit(" outside "), "area_name"))
+    return _about_areas(w, nb_q, min_size, lambda rows: R.outside(rows, w.areas, w.index, k), "area_outside", F.concat("category", F.lit(" outside "), "area_name"))
 
 
 def area_border(w: World, nb_q: int = 110, min_size: float = 1000.0, k: int = R.K, solid: bool = False) -> DataFrame:
-    return _about_areas(w, nb_q, min_size, lambda rows: R.border(rows, w.areas, w.places, k, solid), "area_border", F.concat("category", F.lit(" at the border of "), "area_name"))
+    return _about_areas(w, nb_q, min_size, lambda rows: R.border(rows, w.areas, w.index, k, solid), "area_border", F.concat("category", F.lit(" at the border of "), "area_name"))
 
 
 def area_direction(w: World, nb_q: int = 110, min_size: float = 1000.0, directions: list[str] | None = None) -> DataFrame:
@@ -231,7 +239,7 @@ def _about_street(w: World, asked: DataFrame, key: str, prefix: str) -> DataFram
 def street_along(w: World, nb_q: int = 110, min_length: float = 500.0, k: int = R.K) -> DataFrame:
     long = w.streets.where(F.col("street_name").isNotNull() & (F.col("length") > min_length)).select("id_street")
     keys = ["id_street", "category"]
-    asked, found = first_answered(w.scratch(), w.by_category(), nb_q, lambda depth: w.for_each_category(w.first(long, ["id_street"], depth)), lambda rows: R.along(rows, w.streets, w.places, k), keys)
+    asked, found = first_answered(w.scratch(), w.by_category(), nb_q, lambda depth: w.for_each_category(w.first(long, ["id_street"], depth)), lambda rows: R.along(rows, w.streets, w.index, k), keys)
     rows = pack(_about_street(w, asked, "id_street", "street"), found, keys, w.places, "street_along", F.concat("category", F.lit(" following "), "street_name"))
     return rows.withColumnRenamed("id_street", "street_index")
 
@@ -246,7 +254,7 @@ def street_cross(w: World, nb_q: int = 110, k: int = R.K) -> DataFrame:
 
     def answer(rows: DataFrame) -> DataFrame:
         low = rows.select(F.least("street_a", "street_b").alias("low"), F.greatest("street_a", "street_b").alias("high"), *keys)
-        found = R.cross(low.select(F.col("low").alias("street_a"), F.col("high").alias("street_b"), "category"), points, w.places, k)
+        found = R.cross(low.select(F.col("low").alias("street_a"), F.col("high").alias("street_b"), "category"), points, w.index, k)
         return found.withColumnsRenamed({"street_a": "low", "street_b": "high"}).join(low, ["low", "high", "category"]).drop("low", "high")
 
     asked, found = first_answered(scratch, w.by_category(), nb_q, lambda depth: w.for_each_category(w.first(pairs, ["street_a", "street_b"], depth)), answer, keys)
@@ -327,11 +335,11 @@ for _f, _needs, _context, _label in [
 
 
 def all_templates(w: World, nb_q: int = 100, names: list[str] | None = None) -> DataFrame:
-    """The union of the templates' questions, columns that one lacks as null, with a question_id for all."""
-    parts = []
-    for t in (TEMPLATES[n] for n in names or TEMPLATES):
-        if all(getattr(w, n) is not None for n in t.needs):
-            parts.append(t.generate(w, nb_q).drop("question_id"))
+    """The union of the templates' questions, columns that one lacks as null, with a question_id for all. Templates are made side by side, as most of their jobs are small."""
+    made = [t for t in (TEMPLATES[n] for n in names or TEMPLATES) if all(getattr(w, n) is not None for n in t.needs)]
+    w.index  # made once, before the threads ask for it
+    with ThreadPoolExecutor(TOGETHER) as pool:
+        parts = list(pool.map(lambda t: t.generate(w, nb_q).drop("question_id"), made))
     # written, as drawing the questions is much work
     rows = w.scratch().cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "union")
     ids = F.md5(F.concat_ws("|", "function", "query", F.array_join(F.col("results_poi_id").cast("array<string>"), ",")))

@@ -109,8 +109,9 @@ def _nearest_to_shapes(asked: DataFrame, shapes: DataFrame, key: str, places: Da
 def contained(asked: DataFrame, areas: DataFrame, places: DataFrame) -> DataFrame:
     """asked (area_id, category, ...) with the places of the category strictly inside the area, and the area's segments."""
     points = places.where("x IS NOT NULL AND y IS NOT NULL")
+    areas = areas.join(asked.select("area_id").distinct(), "area_id", "left_semi")  # others aren't triangulated
+    points = points.join(asked.select("category").distinct(), "category", "left_semi")
     pairs = Hierarchy(areas.select("area_id", "rings")).containing(points)
-    pairs = pairs.join(asked.select("area_id").distinct(), "area_id", "left_semi")
     met = pairs.join(points.select("poi_id", "category", F.col("x").alias("px"), F.col("y").alias("py")), "poi_id").join(asked.distinct(), ["area_id", "category"])
     met = met.join(areas.select("area_id", "segments", "bounds"), "area_id")
     return met.where(G.distance_to(F.col("segments"), F.col("px"), F.col("py")) > 0)

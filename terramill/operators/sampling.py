@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from terramill.session import Scratch
 
 
+#: How many times deeper strata that lack questions are looked at next.
+DEEPER = 8
+
+
 def draw_order(seed: int | str, *keys: str) -> Column:
     """The order of a draw: md5 of seed and keys, joined by colons."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -58,6 +62,7 @@ def first_answered(
     n by largest remainders; what it lacks goes to the others in their shares, so
     that fewer than n come out only if there aren't more. Candidates are looked
     at in their order, as deep as it takes: the result doesn't depend on depth.
+    Only strata that may give more go on, and only with candidates not seen yet.
     """
     weights = {s: float(w) for s, w in strata if w > 0}
     if not weights or n < 1:
@@ -66,23 +71,30 @@ def first_answered(
     quota = allocate(n, weights)
     depth, turn = 2 * max(quota.values()) + 2, 0
     table = scratch.spark.createDataFrame([(s, w, quota[s]) for s, w in weights.items()], "stratum int, weight double, quota long")
+    before, more, counts = 0, list(weights), {}
+    good = answers = None
     while True:
-        seen = scratch.cut(candidates(depth), f"seen{turn}")
-        answers = scratch.cut(answer(seen), f"answers{turn}")
-        good = seen.join(answers.select(*key).distinct(), key, "left_semi")
+        rows = candidates(depth)
+        if turn:
+            rows = rows.where((F.col("place") > before) & F.col("stratum").isin(more))
+        seen = scratch.cut(rows, f"seen{turn}")
+        found = scratch.cut(answer(seen), f"answers{turn}")
+        fits = scratch.cut(seen.join(found.select(*key).distinct(), key, "left_semi"), f"good{turn}")
+        good, answers = (good.unionByName(fits), answers.unionByName(found)) if turn else (fits, found)
         ranked = good.withColumn("turn", F.row_number().over(Window.partitionBy("stratum").orderBy("place"))).join(table, "stratum")
         score = F.struct((F.col("turn") > F.col("quota")).alias("extra"), ((F.col("turn") - 0.5) / F.col("weight")).alias("score"), "stratum")
         chosen = scratch.cut(ranked.withColumn("score", score).orderBy("score").limit(n), f"chosen{turn}")
-        counts = {r[0]: [r[1], 0] for r in seen.groupBy("stratum").agg(F.max("place")).collect()}
-        for r in good.groupBy("stratum").count().collect():
-            counts[r[0]][1] = r[1]
+        for r in seen.groupBy("stratum").agg(F.max("place")).collect():
+            counts[r[0]] = [r[1], counts.get(r[0], [0, 0])[1]]
+        for r in fits.groupBy("stratum").count().collect():
+            counts[r[0]][1] += r[1]
         n_chosen, last = chosen.agg(F.count("*"), F.max("score")).first()
         # where there may be more, the next one would come after all that are chosen
         comes = lambda s: (counts[s][1] + 1 > quota[s], (counts[s][1] + 0.5) / weights[s], s)
         more = [s for s in counts if s in weights and counts[s][0] >= depth and (n_chosen < n or comes(s) < tuple(last))]
         if not more:
             return chosen.drop("turn", "weight", "quota", "score", "place"), answers
-        depth, turn = depth * 4, turn + 1
+        before, depth, turn = depth, depth * DEEPER, turn + 1
 
 
 def numbered(rows: DataFrame, bucket: Column, order: list, group: list[str] | None = None) -> DataFrame:

@@ -101,19 +101,54 @@ def top(rows: DataFrame, keys: list[str], order: list, k: int | None, rank: str
     return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
-def first_radius(asked: DataFrame, places: DataFrame, wanted: float, box: tuple[float, float, float, float]) -> DataFrame:
+class Index:
+    """What searches among the same places share: the located places, their boxes and the counts of their quadtree cells, each made once."""
+
+    def __init__(self, places: DataFrame):
+        spark = places.sparkSession
+        self.sparkSession = spark
+        self.scratch = Scratch(spark, "index")
+        # few rows make much work on either side: both are written in as many parts as there are tasks
+        self.places = self.scratch.cut(located(places).repartition(parallelism(spark)), "places")
+        self.box = tuple(self.places.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first())
+        self.boxes = self.places.groupBy("category").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        self.held: tuple[float, DataFrame] | None = None
+
+    def keep(self, least: float) -> "Index":
+        """Writes the boxes, and the cells of at least ``least`` places, for many searches."""
+        self.boxes = self.scratch.cut(self.boxes, "boxes")
+        if self.box[0] is not None:
+            self.held = least, self.scratch.cut(cell_counts(self.places, least, self.box), "counts")
+        return self
+
+    def counts(self, wanted: float) -> DataFrame:
+        if self.held and self.held[0] <= wanted:
+            return self.held[1].where(F.col("n") >= math.ceil(wanted))
+        return cell_counts(self.places, wanted, self.box)
+
+
+def quadtree(box: tuple[float, float, float, float]) -> list[int]:
+    spread = max(abs(v) for v in box)
+    return list(range(FINEST, max(FINEST + 1, math.ceil(math.log2(max(1.0, spread))) + 1)))
+
+
+def cell_counts(places: DataFrame, wanted: float, box: tuple[float, float, float, float]) -> DataFrame:
+    """(PLACE, n): the cells of all levels with at least ``wanted`` places of a category."""
+    cx, cy = cells(F.lit(FINEST), F.col("x"), F.col("y"))
+    fine = places.select("category", cx.alias("cx"), cy.alias("cy")).groupBy("category", "cx", "cy").agg(F.count("*").alias("n"))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level") - FINEST)).cast("long").alias(c)
+    each = F.explode(F.array(*map(F.lit, quadtree(box)))).alias("level")
+    return fine.select("category", "cx", "cy", "n", each).select("category", "level", up("cx"), up("cy"), "n").groupBy(*PLACE).agg(F.sum("n").alias("n")).where(F.col("n") >= math.ceil(wanted))
+
+
+def first_radius(asked: DataFrame, places: DataFrame, wanted: float, box: tuple[float, float, float, float], counts: DataFrame | None = None) -> DataFrame:
     """asked (asked_id, category, x, y) with the radius that promises SURPLUS times ``wanted`` places; null if its category has fewer.
 
     The density is that of the smallest cell of the quadtree around the position
     with at least ``wanted`` places of the category.
     """
-    spread = max(abs(v) for v in box)
-    levels = list(range(FINEST, max(FINEST + 1, math.ceil(math.log2(max(1.0, spread))) + 1)))
-    cx, cy = cells(F.lit(FINEST), F.col("x"), F.col("y"))
-    fine = places.select("category", cx.alias("cx"), cy.alias("cy")).groupBy("category", "cx", "cy").agg(F.count("*").alias("n"))
-    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level") - FINEST)).cast("long").alias(c)
-    each = F.explode(F.array(*map(F.lit, levels))).alias("level")
-    counts = fine.select("category", "cx", "cy", "n", each).select("category", "level", up("cx"), up("cy"), "n").groupBy(*PLACE).agg(F.sum("n").alias("n")).where(F.col("n") >= math.ceil(wanted))
+    counts = cell_counts(places, wanted, box) if counts is None else counts
+    each = F.explode(F.array(*map(F.lit, quadtree(box)))).alias("level")
     own = asked.select("asked_id", "category", "x", "y", each)
     ax, ay = cells(F.col("level"), F.col("x"), F.col("y"))
     met = shuffled(own.withColumns({"cx": ax, "cy": ay})).join(counts, PLACE).groupBy("asked_id").agg(F.min(F.struct("level", "n")).alias("cell"))
@@ -139,7 +174,7 @@ def _met(pending: DataFrame, places: DataFrame, scratch: Scratch, name: str, n:
 
 
 def ranked_search(
-    asked: DataFrame, places: DataFrame, keys: list[str], k: int, score: Column | None = None, match: Column | None = None, base: Column | None = None, widest: float | None = None,
+    asked: DataFrame, places: DataFrame | Index, keys: list[str], k: int, score: Column | None = None, match: Column | None = None, base: Column | None = None, widest: float | None = None,
     share: float = 1.0, shapes: DataFrame | None = None, shape_key: str | None = None, least: Column | None = None,
 ) -> DataFrame:
     """The asked rows' columns ``keys`` with poi_id, dist and rank of their k best places.
@@ -156,11 +191,9 @@ def ranked_search(
     score = F.col("gap") if score is None else score
     base = F.lit(0.0) if base is None else base
     none = asked.select(*keys, F.lit(0).cast("long").alias("poi_id"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).limit(0)
-    # few rows make much work on either side: both are written in as many parts as there are tasks
     spread = parallelism(spark)
-    places = scratch.cut(located(places).repartition(spread), "places")
-    corners = [f(c) for c in ("x", "y") for f in (F.min, F.max)]
-    box = places.agg(*corners).first()
+    index = places if isinstance(places, Index) else Index(places)
+    places, box, boxes = index.places, index.box, index.boxes
     if box[0] is None:
         return none
     # questions that differ only in their keys are one
@@ -171,8 +204,7 @@ def ranked_search(
     dx = F.greatest(F.abs(F.col("x") - F.col("x0")), F.abs(F.col("x") - F.col("x1")))
     dy = F.greatest(F.abs(F.col("y") - F.col("y0")), F.abs(F.col("y") - F.col("y1")))
     most = F.sqrt(dx * dx + dy * dy) + F.col("base") + 1.0 if widest is None else F.lit(float(widest))
-    boxes = places.groupBy("category").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    pending = first_radius(one, places, k / share, tuple(box)).join(boxes, "category").withColumn("most", most).drop("x0", "x1", "y0", "y1")
+    pending = first_radius(one, places, k / share, box, index.counts(k / share)).join(boxes, "category").withColumn("most", most).drop("x0", "x1", "y0", "y1")
     pending = scratch.cut(pending.withColumn("radius", F.least(F.col("most"), F.coalesce("radius", "most"))).repartition(spread), "pending0")
     results: list[DataFrame] = []
     turn = most_asked = 0

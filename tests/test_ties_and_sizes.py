@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from terramill.operators import relations, search, semantic, validate
+from terramill.operators import relations, sampling, search, semantic, validate
 
 
 def test_correlation_of_equal_coordinates_is_null(spark):
@@ -54,3 +54,17 @@ def test_redrawn_answers_list_no_pairs_of_batches_and_places(spark):
     first = sorted(sorted(range(400), key=lambda i: hashlib.md5(f"42:{qid}:{i}".encode()).hexdigest())[:3])
     assert got == {i: [*first, i + 1000] for i in range(300)}
     assert most_rows(rows._jdf.queryExecution().executedPlan()) < 20 * 300
+
+
+def test_only_strata_that_lack_questions_go_deeper_and_see_no_candidate_twice(spark):
+    every = spark.range(3000).selectExpr("int(id % 3) AS stratum", "int(id / 3) + 1 AS place", "id AS question_id").cache()
+    seen = []
+
+    def answer(rows):
+        seen.extend((r["stratum"], r["question_id"]) for r in rows.collect())
+        return rows.where("stratum < 2 OR place IN (700, 900)").select("question_id")
+
+    chosen, answers = sampling.first_answered(search.Scratch(spark, "test"), [(0, 1.0), (1, 1.0), (2, 1.0)], 9, lambda depth: every.where(F.col("place") <= depth), answer, ["question_id"])
+    assert sorted((r["stratum"], r["question_id"] // 3 + 1) for r in chosen.collect()) == [*((0, i) for i in range(1, 5)), *((1, i) for i in range(1, 4)), (2, 700), (2, 900)]
+    assert len(seen) == len(set(seen)) and len([s for s, _ in seen if s < 2]) < 200
+    assert answers.count() == len([s for s, _ in seen if s < 2]) + 2
