@@ -11,7 +11,6 @@ four parallel answer lists, ranked from 1.
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -28,8 +27,6 @@ from terramill.session import Scratch
 # Distances; so are the wording of the questions (two blanks in street_cross) and the names of the columns below.
 DISTANCES = [100, 300, 500, 1000]
 DIRECTIONS = list(G.CARDINAL)
-#: Templates that are made at the same time.
-TOGETHER = 3
 
 
 @dataclass(frozen=True)
@@ -335,12 +332,11 @@ for _f, _needs, _context, _label in [
 
 
 def all_templates(w: World, nb_q: int = 100, names: list[str] | None = None) -> DataFrame:
-    """The union of the templates' questions, columns that one lacks as null, with a question_id for all. Templates are made side by side, as most of their jobs are small."""
+    """The union of the templates' questions, columns that one lacks as null, with a question_id for all."""
     made = [t for t in (TEMPLATES[n] for n in names or TEMPLATES) if all(getattr(w, n) is not None for n in t.needs)]
-    w.index  # made once, before the threads ask for it
-    with ThreadPoolExecutor(TOGETHER) as pool:
-        parts = list(pool.map(lambda t: t.generate(w, nb_q).drop("question_id"), made))
-    # written, as drawing the questions is much work
-    rows = w.scratch().cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "union")
+    # each is written, as drawing the questions is much work, and one plan of all would be too large for the driver
+    scratch = w.scratch()
+    parts = [scratch.cut(t.generate(w, nb_q).drop("question_id"), t.name) for t in made]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     ids = F.md5(F.concat_ws("|", "function", "query", F.array_join(F.col("results_poi_id").cast("array<string>"), ",")))
     return rows.withColumn("question_id", ids)
